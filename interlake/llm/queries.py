@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from interlake.llm import language_id, line_dedup, mixing, packing, telephony, token_files
+from interlake.llm import language_id, line_dedup, mixing, packing, telephony, token_files, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -32,6 +32,14 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, n_rows=docs.count(), capacity=1024)
 
 
+def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned outside the held-out fifth."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = language_id.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.train(docs, labels, learn=~out)
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least 10 documents hold go from all of them."""
     kept = line_dedup.drop_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
@@ -85,6 +93,7 @@ FROM run JOIN targets t ON run.source IS NOT DISTINCT FROM t.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
+    "op3_toxicity_grammar": op3_toxicity_grammar,
     "op6_line_dedup": op6_line_dedup,
     "op8_water_filling_mix": op8_water_filling_mix,
     "op9_telephony_audio": op9_telephony_audio,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from interlake.llm import embedding_dedup, language_id, line_dedup, mixing, packing, telephony, token_files, toxicity
+from interlake.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, telephony, token_files, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -40,6 +40,11 @@ def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicate documents: five-word shingles, similarity 0.8 or more."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.93 or more among embeddings of one label, with their components."""
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_toxicity_grammar": op3_toxicity_grammar,
+    "op4_dart_minhash": op4_dart_minhash,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op8_water_filling_mix": op8_water_filling_mix,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from interlake.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, telephony, token_files, toxicity
+from interlake.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, suffix_dedup, telephony, token_files, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,6 +56,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes under strings of 100 bytes that stand earlier go from every document."""
+    kept = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"), length=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document in a mix of all sources, weighted 1, 2, 3 in turn, at most 3 epochs."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_dart_minhash": op4_dart_minhash,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_water_filling_mix": op8_water_filling_mix,
     "op9_telephony_audio": op9_telephony_audio,
     "op10_token_files": op10_token_files,

@@ -107,6 +107,19 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", learn: Col
     return {"langs": langs, "prototypes": (proto / np.where(length > 0, length, 1)).astype(np.float32), "centre": centre.astype(np.float32), "dims": dims, "seed": seed}
 
 
+def _scores(texts: list[str], model: dict) -> tuple[list[str], np.ndarray]:
+    """Predicted language and score of each text."""
+    vectors, letters = bundles(texts, dims=model["dims"], seed=model["seed"])
+    if not model["langs"]:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    moved = vectors - model["centre"]
+    length = np.linalg.norm(moved, axis=1, keepdims=True)
+    cosine = (moved / np.where(length > 0, length, 1)) @ model["prototypes"].T
+    best = cosine.argmax(1)
+    value = np.clip((1 + cosine[np.arange(len(best)), best].astype(np.float64)) / 2, 0, 1)
+    return [model["langs"][i] if ok else UNKNOWN for i, ok in zip(best, letters, strict=True)], np.where(letters, value, 0.0)
+
+
 def predict(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text.
 
@@ -118,20 +131,8 @@ def predict(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)  # dims floats per language
 
     def score(batch):
-        m = sent.value
-        vectors, letters = bundles([t or "" for t in batch.column(1).to_pylist()], dims=m["dims"], seed=m["seed"])
-        if not m["langs"]:
-            return {"doc_id": batch.column(0), "lang_pred": [UNKNOWN] * len(letters), "score": [0.0] * len(letters)}
-        moved = vectors - m["centre"]
-        length = np.linalg.norm(moved, axis=1, keepdims=True)
-        cosine = (moved / np.where(length > 0, length, 1)) @ m["prototypes"].T
-        best = cosine.argmax(1)
-        value = np.clip((1 + cosine[np.arange(len(best)), best]) / 2, 0, 1)
-        return {
-            "doc_id": batch.column(0),
-            "lang_pred": [m["langs"][i] if ok else UNKNOWN for i, ok in zip(best, letters, strict=True)],
-            "score": np.where(letters, value, 0.0).astype(np.float64),
-        }
+        names, scores = _scores([t or "" for t in batch.column(1).to_pylist()], sent.value)
+        return {"doc_id": batch.column(0), "lang_pred": names, "score": scores}
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -139,6 +140,22 @@ def predict(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str =
     return base.mapInArrow(by_batch(score, arrow), f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: dict, *, text: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and scores above min_score; in one pass over the table."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    at, arrow = docs.columns.index(text), to_arrow_schema(docs.schema)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            good = _scores([t or "" for t in batch.column(at).to_pylist()], sent.value)[1] > min_score
+            if good.any():
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(good)).columns, schema=arrow)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True where crc32(doc_id as text) modulo folds is fold; false for null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))

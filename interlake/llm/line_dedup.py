@@ -155,6 +155,16 @@ def hot_keys(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_cha
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
 
 
+def rewrite(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars", min_docs: int = 10, min_chars: int = 1, filter_bits: int = 25, broadcast_keys: int = 1 << 19) -> DataFrame:
+    """The same rows and columns with the text that drop_lines() keeps and its number of characters; a null text stays null."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    packed = docs.select(F.struct(F.col(f"`{text}`").isNull().alias("_null"), *others).alias("row"), F.col(f"`{text}`").alias("text"))
+    kept = drop_lines(packed, doc_id="row", text="text", min_docs=min_docs, min_chars=min_chars, filter_bits=filter_bits, broadcast_keys=broadcast_keys)
+    new = F.when(~F.col("row._null"), F.col("kept"))
+    made = {text: new, n_chars: F.length(new).cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {text: new}
+    return kept.select(*[(made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def drop_lines(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int = 25, broadcast_keys: int = 1 << 19
 ) -> DataFrame:

@@ -183,3 +183,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = reps.join(parts, reps["rep"] == parts["node"], "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     known = sketch.select("doc_id", "same").join(classes, "same").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return base.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
+
+
+def keep_representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, of the document that represents each class: that of the smallest doc_id."""
+    kept = near_duplicates(docs, doc_id=doc_id, text=text, **options).filter("kept").select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -160,9 +160,9 @@ def rewrite(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars", mi
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     packed = docs.select(F.struct(F.col(f"`{text}`").isNull().alias("_null"), *others).alias("row"), F.col(f"`{text}`").alias("text"))
     kept = drop_lines(packed, doc_id="row", text="text", min_docs=min_docs, min_chars=min_chars, filter_bits=filter_bits, broadcast_keys=broadcast_keys)
-    new = F.when(~F.col("row._null"), F.col("kept"))
+    new = F.when(~F.col("doc_id._null"), F.col("kept"))
     made = {text: new, n_chars: F.length(new).cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {text: new}
-    return kept.select(*[(made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return kept.select(*[(made[c] if c in made else F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_lines(

@@ -22,6 +22,7 @@ from interlake.llm._text import mix, shingle_sets
 from interlake.llm.components import connected_components
 
 _U = np.uint64
+BLOCK = 1024  # members of a bucket that one task compares with as many others
 FIRST_BAND = -10  # the first band of time ends at 2^-10; later ones double
 
 
@@ -93,8 +94,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, same, keys): a digest of the shingle set, and the band keys, of every document with words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """(doc_id, same, keys, darts): a digest of the shingle set, the band keys, and 16 bits of every dart, of every document with words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("keys", pa.list_(pa.int64())), ("darts", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -104,10 +105,12 @@ def _sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
                     own = [sets[i] for i in full]
-                    keys = band_keys(signatures(own, bands * rows), bands, rows).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[first + np.array(full)], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], schema=schema)
+                    signature = signatures(own, bands * rows)
+                    keys = band_keys(signature, bands, rows).view(np.int64)
+                    darts = [row.tobytes() for row in (signature >> _U(16)).astype(np.uint16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[first + np.array(full)], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(darts, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, same binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, same binary, keys array<long>, darts binary")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -141,6 +144,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
+def _joining(members: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Pairs (a, b) of members (key, rep, component, darts, shingles) of one bucket that join different components by an exact similarity.
+
+    Signatures are compared first; pairs whose estimate is near enough are computed. Of the pairs that
+    join the same components a task returns one, so it never returns more rows than it read.
+    """
+    least = k * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / k))
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    spread = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "component", "darts", "shingles")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        own, rep, component = (rows[c].to_numpy() for c in ("own", "rep", "component"))
+        darts = np.frombuffer(b"".join(rows["darts"].to_pylist()), np.uint16).reshape(len(rep), k)
+        lo, hi = rows["lo"][0].as_py(), rows["hi"][0].as_py()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        a, b = [], []
+        columns = np.ascontiguousarray(darts[right].T)
+        raw: list = rows["shingles"].to_pylist()
+        sets: dict[int, frozenset] = {}
+        joined: dict[int, int] = {}
+
+        def shingles(i: int) -> frozenset:
+            if i not in sets:
+                sets[i] = frozenset(np.frombuffer(raw[i], np.uint64).tolist())
+            return sets[i]
+
+        def root(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
+        for i in left.tolist():
+            agree = np.zeros(len(right), np.int16)
+            for c in range(k):
+                agree += columns[c] == darts[i, c]
+            j = right[(agree >= least) & (component[right] != component[i])]
+            for other in (j[j > i] if lo == hi else j).tolist():
+                p, q = root(int(component[i])), root(int(component[other]))
+                if p != q:
+                    x, y = shingles(i), shingles(other)
+                    common = len(x & y)
+                    if common >= threshold * (len(x) + len(y) - common):
+                        joined[max(p, q)] = min(p, q)
+                        a.append(int(rep[i]))
+                        b.append(int(rep[other]))
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=schema)
+
+    return spread.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
     """(doc_id, class_id, kept) of every row: classes are the components of pairs with a Jaccard similarity of at least the threshold.
 
@@ -150,34 +207,37 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows share a class.
 
     Documents of equal shingle sets become one first. Candidates share a band key. A bucket is not
-    expanded into pairs: its members are compared with its smallest, its largest and one drawn member, and
-    what is confirmed joins components. Only members of a bucket that are then still in different
-    components are compared with each other, all of them, so that no link between
-    classes is lost; a pair within a component can't change it.
+    expanded into pairs: its members are compared with three of them (the smallest, the one that meets
+    most others, a drawn one), and what is confirmed joins components. Members of a bucket that are
+    then still in different components meet in blocks inside tasks, all of them, by their signatures;
+    pairs whose estimate lies within five standard widths below the threshold are computed exactly.
+    So no link between classes is lost; a pair within a component can't change it.
     """
     base = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     sketch = checkpointed(_sketch(base, words, bands, rows))
-    same = sketch.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    same = sketch.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("darts").alias("darts"))
     reps = checkpointed(same)
     place = reps.select("rep", F.explode("keys").alias("key"))
-    drawn = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("r")))["r"]
-    lead = place.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), drawn.alias("drawn"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    member = checkpointed(place.join(lead, "key"))
-    ends = F.explode(F.array("first", "last", "drawn"))
+    sizes = place.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    place = checkpointed(place.join(sizes, "key"))
+    weight = place.groupBy("rep").agg(F.sum("n").alias("mass"))
+    # The member that meets most others is the likeliest centre of a group; the others stand in as leaders of their own.
+    central = F.max(F.struct("mass", "rep"))["rep"].alias("central")
+    drawn = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("r")))["r"].alias("drawn")
+    lead = place.join(weight, "rep").groupBy("key").agg(F.min("rep").alias("first"), central, drawn)
+    member = place.join(lead, "key")
+    ends = F.explode(F.array("first", "central", "drawn"))
     pairs = checkpointed(member.select("rep", ends.alias("lead")).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).filter("a <> b").distinct())
-    nodes = member.select(F.col("rep").alias("doc_id")).distinct()
+    nodes = place.select(F.col("rep").alias("doc_id")).distinct()
     sets = checkpointed(_sets(base.join(nodes, "doc_id", "left_semi"), words))
     links = checkpointed(_verified(pairs, sets, threshold))
     parts = connected_components(links)
 
     # What is left: members of one bucket in different components.
-    placed = member.select("key", "rep").join(parts, member["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = place.select("key", "rep").join(parts, place["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = placed.join(mixed, "key")
-    other = rest.select("key", F.col("rep").alias("rep2"), F.col("component").alias("component2"))
-    left = rest.join(other, "key").filter("component < component2").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    left = left.join(pairs, ["a", "b"], "left_anti")
-    more = checkpointed(_verified(left, sets, threshold))
+    rest = placed.join(mixed, "key").join(reps.select("rep", "darts"), "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    more = checkpointed(_joining(rest, threshold, bands * rows))
     if not more.isEmpty():
         parts = connected_components(links.union(more))
     classes = reps.join(parts, reps["rep"] == parts["node"], "left").select("same", F.coalesce("component", "rep").alias("class_id"))

@@ -208,11 +208,16 @@ def fit(labelled: DataFrame, lexicon: Lexicon, *, sample_rows: int = 20_000) ->
     return weights
 
 
-def train(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", **options) -> dict:
-    """Lexicon and channel weights from the labelled rows for which `learn` (on doc_id) holds. Null labels and texts are left out."""
+def train(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", broadcast_labels: int = 1 << 20, **options) -> dict:
+    """Lexicon and channel weights from the labelled rows for which `learn` (on doc_id) holds. Null labels and texts are left out.
+
+    Labels (two numbers each) go to the texts by broadcast if there are `broadcast_labels` at most; else both sides shuffle.
+    """
     marks = only(labels, doc_id=doc_id, toxic=label).filter("toxic is not null")
     if learn is not None:
         marks = marks.filter(learn)
+    if marks.limit(broadcast_labels + 1).count() <= broadcast_labels:
+        marks = F.broadcast(marks)
     labelled = only(docs, doc_id=doc_id, text=text).filter("text is not null").join(marks, "doc_id")
     lexicon = learn_lexicon(labelled, **options)
     return {"lexicon": lexicon, "weights": fit(labelled, lexicon)}

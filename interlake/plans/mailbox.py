@@ -62,6 +62,15 @@ def messages(spark: SparkSession, sf_dir: str, *, body: bool = False) -> DataFra
     return e.withColumn("_doc", F.col("id") % n).join(docs.select(F.col("doc_id").alias("_doc"), F.left("text", F.lit(400)).alias("_text")), "_doc", "left").withColumn("body_text", F.concat("phrase", F.coalesce("_text", F.lit("")))).drop("_doc", "_text")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding, cluster) of every message; label 9 plays the part of noise."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = table.count()
+    ids = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), (F.col("event_id") % n).alias("vec_id"))
+    cluster = F.when(F.col("label") == 9, -1).otherwise(F.col("label"))
+    return ids.join(table, "vec_id").select("id", F.col("embedding").cast("array<double>").alias("embedding"), cluster.alias("cluster"))
+
+
 def _case(key: str, values: list[str], default: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + f" ELSE {default} END"
 
@@ -80,3 +89,10 @@ mail AS (SELECT id, '<m' || id || '@mail.test>' AS message_id, CASE WHEN parent
   {_case("k % 13", SUBJECTS, "'Project ' || (k % 7) || ' notes'")} AS subject, {_case("k % 16", PHRASES, "''")} AS phrase,
   k % 10 = 9 AS has_attachments, CASE WHEN k % 10 = 9 THEN 1 ELSE 0 END AS attachment_count FROM ev)
 """
+
+#: To stand after MAIL_SQL: body_text, and the vectors and clusters of messages.
+BODY_SQL = """, bodies AS (SELECT mail.*, phrase || coalesce(left(d.text, 400), '') AS body_text FROM mail LEFT JOIN documents d ON d.doc_id = mail.id % (SELECT count(*) FROM documents))
+"""
+VECTORS_SQL = """, vectors AS (SELECT mail.id, CAST(embedding AS DOUBLE[]) AS embedding, CASE WHEN label = 9 THEN -1 ELSE label END AS cluster
+  FROM mail JOIN embeddings e ON e.vec_id = mail.id % (SELECT count(*) FROM embeddings))
+"""

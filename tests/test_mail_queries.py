@@ -5,7 +5,10 @@ from __future__ import annotations
 import duckdb
 import pytest
 from interlake.operators import mail as m
+from interlake.operators import priority as p
+from interlake.operators import rules as r
 from interlake.plans import queries as q
+from interlake.plans import scoring
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -15,17 +18,43 @@ def rows(values):
     return sorted(tuple(round(x, 6) if isinstance(x, float) else str(x) for x in r) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(q.QUERIES))
+QUERIES, ORACLES = q.QUERIES | scoring.QUERIES, q.ORACLES | scoring.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_oracle(spark, name):
     db = duckdb.connect()
     db.execute("SET TimeZone = 'UTC'")
-    db.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
-    got = q.QUERIES[name](spark, SF)
-    want = db.sql(q.ORACLES[name])
+    for table in ("events", "documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = QUERIES[name](spark, SF)
+    want = db.sql(ORACLES[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     listed = ", ".join(f'"{c}"' for c in columns)
-    assert rows(got.select(*columns).collect()) == rows(db.sql(f"SELECT {listed} FROM ({q.ORACLES[name]})").fetchall())
+    assert rows(got.select(*columns).collect()) == rows(db.sql(f"SELECT {listed} FROM ({ORACLES[name]})").fetchall())
+
+
+def test_worked_scores(spark):
+    """Persons weigh relationship, services importance; a tie in the rank goes to the smaller id."""
+    mail = spark.createDataFrame([(1, "a@x", False), (2, "b@x", False), (3, "a@x", True), (4, None, False)], "id long, from_email string, is_sent boolean")
+    features = spark.createDataFrame([(1, 0.8, 0.6, False, 0.0), (2, 0.0, 0.6, True, 0.8), (4, None, None, False, None)], "id long, relationship_strength double, urgency_score double, is_service boolean, service_importance double")
+    actions = spark.createDataFrame([(1, "PENDING")], "id long, action string")
+    vectors = spark.createDataFrame([(2, [0.0, 0.0], 1), (4, None, -1)], "id long, embedding array<double>, cluster int")
+    got = {r.id: r for r in p.priority_scores(mail, features, actions, vectors).collect()}
+    assert {i: round(r.feature_score, 6) for i, r in got.items()} == {1: 0.72, 2: 0.7, 4: 0.0}
+    assert (got[1].replied_similarity, got[1].cluster_novelty, got[1].sender_novelty) == (0.5, 0.5, 0.5)
+    tied = spark.createDataFrame([(3, 0.5), (1, 0.5), (2, 0.9), (4, 1.0), (5, 0.0)], "id long, priority_score double")
+    assert {r.id: r.priority_rank for r in p.ranked(tied, parts=4).collect()} == {4: 1, 2: 2, 1: 3, 3: 4, 5: 5}
+
+
+def test_rules_with_nulls_and_empty_tables(spark):
+    schema = "id long, from_email string, subject string, body_text string, is_sent boolean"
+    strengths = spark.createDataFrame([(1, 0.9)], "id long, relationship_strength double")
+    mail = spark.createDataFrame([(1, "a@corp.test", None, None, False), (2, None, "Accepted: x", "", False), (3, None, None, None, False)], schema)
+    got = {row.id: (row.handleability, row.reason, row.llm_priority) for row in r.handleability(mail, strengths).collect()}
+    assert got == {1: ("human_required", "important_relationship", None), 2: ("ai_full", "calendar_response", None), 3: ("needs_llm", "ambiguous", 5)}
+    assert r.handleability(spark.createDataFrame([], schema), strengths).count() == 0
 
 
 def test_response_buckets(spark):

@@ -7,8 +7,8 @@ import pytest
 from interlake.operators import mail as m
 from interlake.operators import priority as p
 from interlake.operators import rules as r
+from interlake.plans import entity_queries, scoring, text_queries
 from interlake.plans import queries as q
-from interlake.plans import scoring
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -18,10 +18,12 @@ def rows(values):
     return sorted(tuple(round(x, 6) if isinstance(x, float) else str(x) for x in r) for r in values)
 
 
-QUERIES, ORACLES = q.QUERIES | scoring.QUERIES, q.ORACLES | scoring.ORACLES
+PLANS = [q, scoring, entity_queries, text_queries]
+QUERIES = {n: f for p in PLANS for n, f in p.QUERIES.items()}
+ORACLES = {n: s for p in PLANS for n, s in p.ORACLES.items()}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     db = duckdb.connect()
     db.execute("SET TimeZone = 'UTC'")

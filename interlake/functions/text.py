@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WS = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"
 INLINE_WS = r"[\x09\x0B-\x0D\x1C-\x20\x85\p{Z}]"
@@ -69,7 +70,7 @@ def collapse_whitespace(c: Column) -> Column:
     return strip(F.regexp_replace(gaps, " ?\n ?", "\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -80,7 +81,7 @@ def normalize_chars(c: Column) -> Column:
     return F.regexp_replace(plain, ZERO_WIDTH, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 

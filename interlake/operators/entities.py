@@ -134,8 +134,8 @@ def priority_contexts(mail: DataFrame, scores: DataFrame, contacts: DataFrame, t
         (F.hour("date_parsed").between(9, 17) & (F.weekday("date_parsed") < 5)).alias("is_business_hours"),
         F.round(F.when(real, person).otherwise(0.1), 6).alias("people_score"),
         F.when(age < 24, 0.8).when(age < 72, 0.5).when(age.isNotNull(), 0.2).otherwise(0.0).alias("temporal_score"),
-        F.round(F.when(real, near).otherwise(1.0 - _or("sender_novelty", 0.5)), 6).alias("relationship_score"),
-        F.round(F.when(real, F.least(F.lit(1.0), _or("priority_score", 0.5) * 1.5)).otherwise(_or("priority_score", 0.5) * 0.5), 6).alias("adjusted_priority"),
+        F.round(F.when(real, near).otherwise(1.0 - _or("sender_novelty", 0.5)), 12).alias("relationship_score"),
+        F.round(F.when(real, F.least(F.lit(1.0), _or("priority_score", 0.5) * 1.5)).otherwise(_or("priority_score", 0.5) * 0.5), 12).alias("adjusted_priority"),
     )
 
 

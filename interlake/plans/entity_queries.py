@@ -115,8 +115,8 @@ SELECT id, from_email AS sender_email, CAST(coalesce(emails_from, 0) AS DOUBLE)
   thread_id, email_count AS thread_length, round(age, 6) AS age_hours, hour(date_parsed) BETWEEN 9 AND 17 AND isodow(date_parsed) < 6 AS is_business_hours,
   round(CASE WHEN really THEN 0.5::DOUBLE + CASE WHEN is_important THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN reply_rate > 0.5 THEN 0.2::DOUBLE ELSE 0 END ELSE 0.1::DOUBLE END, 6) AS people_score,
   CASE WHEN age < 24 THEN 0.8::DOUBLE WHEN age < 72 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END AS temporal_score,
-  round(CASE WHEN really THEN 0.5::DOUBLE + CASE WHEN reply_rate > 0 THEN least(0.5::DOUBLE, reply_rate) ELSE 0 END ELSE 1 - coalesce(nullif(sender_novelty, 0), 0.5::DOUBLE) END, 6) AS relationship_score,
-  round(CASE WHEN really THEN least(1.0::DOUBLE, coalesce(nullif(priority_score, 0), 0.5::DOUBLE) * 1.5::DOUBLE) ELSE coalesce(nullif(priority_score, 0), 0.5::DOUBLE) * 0.5::DOUBLE END, 6) AS adjusted_priority FROM known"""
+  round(CASE WHEN really THEN 0.5::DOUBLE + CASE WHEN reply_rate > 0 THEN least(0.5::DOUBLE, reply_rate) ELSE 0 END ELSE 1 - coalesce(nullif(sender_novelty, 0), 0.5::DOUBLE) END, 12) AS relationship_score,
+  round(CASE WHEN really THEN least(1.0::DOUBLE, coalesce(nullif(priority_score, 0), 0.5::DOUBLE) * 1.5::DOUBLE) ELSE coalesce(nullif(priority_score, 0), 0.5::DOUBLE) * 0.5::DOUBLE END, 12) AS adjusted_priority FROM known"""
 ORACLES["inbox_stats"] = MAIL_SQL + _cte("priority_score") + _cte("tasks_from_signals") + _cte("real_person") + """SELECT (SELECT count(*) FROM mail WHERE NOT is_sent) AS total_emails, (SELECT count(*) FROM tasks_from_signals) AS pending_tasks,
   (SELECT count(*) FROM priority_score WHERE priority_score > 0.7) AS urgent_emails, (SELECT round(avg(priority_score), 6) FROM priority_score) AS avg_priority_score, (SELECT count(*) FROM real_person WHERE is_real_person) AS from_real_people, 0 AS unread_count"""
 ORACLES["cluster_meta"] = MAIL_SQL + VECTORS_SQL + CONTENT_SQL + _cte("time_features") + _cte("action_label") + _cte("relationship_features") + """, long AS (SELECT id, 'content' AS dimension, CAST(cluster AS BIGINT) AS cluster_id FROM content UNION ALL SELECT id, 'temporal', day_of_week FROM time_features)

@@ -10,13 +10,13 @@ from interlake.plans.mailbox import MAIL_SQL, messages
 from interlake.sources.mailbox_files import parse_messages, parse_push
 
 
-def parse_message(spark, sf_dir):
-    """The mailbox as raw texts, parsed again."""
+def parse_message(spark, sf_dir, whole=False):
+    """The mailbox as raw texts, parsed again; the body is the opening phrase, or with whole=True the whole text."""
     listed = lambda name: F.coalesce(F.array_join(name, ", "), F.lit(""))
     lines = [("Message-ID", F.col("message_id")), ("In-Reply-To", F.coalesce("in_reply_to", F.lit(""))), ("From", F.concat(F.coalesce("from_name", F.lit("")), F.lit(" <"), "from_email", F.lit(">")))]
     lines += [("To", listed("to_emails")), ("Cc", listed("cc_emails")), ("Subject", F.col("subject")), ("X-Gmail-Labels", F.array_join("labels", ","))]
-    raw = F.concat(*[part for name, value in lines for part in (F.lit(name + ": "), value, F.lit("\n"))], F.lit("\n"), "phrase")
-    parsed = parse_messages(messages(spark, sf_dir).select("id", raw.alias("raw"))).select("id", "record.*")
+    raw = F.concat(*[part for name, value in lines for part in (F.lit(name + ": "), value, F.lit("\n"))], F.lit("\n"), "body_text" if whole else "phrase")
+    parsed = parse_messages(messages(spark, sf_dir, body=whole, whole=whole).select("id", raw.alias("raw"))).select("id", "record.*")
     sender = t.parse_address(F.col("from"))
     joined = lambda found: F.array_join(found, ",")
     return parsed.select(

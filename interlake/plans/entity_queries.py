@@ -24,8 +24,8 @@ def _content(spark, sf_dir):
     return vectors(spark, sf_dir).select("id", "cluster").join(messages(spark, sf_dir).filter("NOT is_sent").select("id"), "id")
 
 
-def tasks_from_signals(spark, sf_dir):
-    return e.tasks_from_signals(scoring.QUERIES["detect_patterns"](spark, sf_dir), messages(spark, sf_dir), _contacts(spark, sf_dir), _people(spark, sf_dir))
+def tasks_from_signals(spark, sf_dir, whole=False):
+    return e.tasks_from_signals(scoring.QUERIES["detect_patterns"](spark, sf_dir, whole), messages(spark, sf_dir), _contacts(spark, sf_dir), _people(spark, sf_dir))
 
 
 def projects_from_threads(spark, sf_dir):
@@ -36,15 +36,15 @@ def projects_from_clusters(spark, sf_dir):
     return e.projects_from_clusters(messages(spark, sf_dir), _content(spark, sf_dir), _people(spark, sf_dir), projects_from_threads(spark, sf_dir))
 
 
-def priority_contexts(spark, sf_dir):
+def priority_contexts(spark, sf_dir, whole=False):
     mail = messages(spark, sf_dir)
-    return e.priority_contexts(mail, scoring.QUERIES["priority_score"](spark, sf_dir), _contacts(spark, sf_dir), m.thread_stats(mail), _people(spark, sf_dir))
+    return e.priority_contexts(mail, scoring.QUERIES["priority_score"](spark, sf_dir, whole), _contacts(spark, sf_dir), m.thread_stats(mail), _people(spark, sf_dir))
 
 
-def inbox_stats(spark, sf_dir):
-    scores = scoring.QUERIES["priority_score"](spark, sf_dir)
+def inbox_stats(spark, sf_dir, whole=False):
+    scores = scoring.QUERIES["priority_score"](spark, sf_dir, whole)
     contexts = _people(spark, sf_dir).select(F.col("is_real_person").cast("double").alias("sender_importance"))
-    return e.inbox_stats(messages(spark, sf_dir), tasks_from_signals(spark, sf_dir), scores, contexts)
+    return e.inbox_stats(messages(spark, sf_dir), tasks_from_signals(spark, sf_dir, whole), scores, contexts)
 
 
 def cluster_meta(spark, sf_dir):
@@ -65,8 +65,8 @@ def detect_projects(spark, sf_dir):
 
 QUERIES = {
     "tasks_from_signals": tasks_from_signals,
-    "task_counts": lambda spark, sf_dir: e.task_counts(tasks_from_signals(spark, sf_dir)),
-    "task_page": lambda spark, sf_dir: e.task_page(tasks_from_signals(spark, sf_dir)),
+    "task_counts": lambda spark, sf_dir, whole=False: e.task_counts(tasks_from_signals(spark, sf_dir, whole)),
+    "task_page": lambda spark, sf_dir, whole=False: e.task_page(tasks_from_signals(spark, sf_dir, whole)),
     "projects_from_threads": projects_from_threads,
     "projects_from_clusters": projects_from_clusters,
     "priority_contexts": priority_contexts,

@@ -22,8 +22,8 @@ def _chosen(key, values: list[str], default):
     return out
 
 
-def messages(spark: SparkSession, sf_dir: str, *, body: bool = False) -> DataFrame:
-    """Messages of the mailbox; with body=True also body_text, from the documents table."""
+def messages(spark: SparkSession, sf_dir: str, *, body: bool = False, whole: bool = False) -> DataFrame:
+    """Messages of the mailbox; with body=True also body_text, from the first 400 characters of the documents table's texts (FIXTURES.md) or the whole ones."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
     e = events.select(F.col("event_id").alias("id"), F.col("ts").alias("date_parsed"), "user_id", "event_type", "value", k.alias("k"))
@@ -59,7 +59,7 @@ def messages(spark: SparkSession, sf_dir: str, *, body: bool = False) -> DataFra
         return e
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n = docs.count()
-    return e.withColumn("_doc", F.col("id") % n).join(docs.select(F.col("doc_id").alias("_doc"), F.left("text", F.lit(400)).alias("_text")), "_doc", "left").withColumn("body_text", F.concat("phrase", F.coalesce("_text", F.lit("")))).drop("_doc", "_text")
+    return e.withColumn("_doc", F.col("id") % n).join(docs.select(F.col("doc_id").alias("_doc"), (F.col("text") if whole else F.left("text", F.lit(400))).alias("_text")), "_doc", "left").withColumn("body_text", F.concat("phrase", F.coalesce("_text", F.lit("")))).drop("_doc", "_text")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +90,11 @@ mail AS (SELECT id, '<m' || id || '@mail.test>' AS message_id, CASE WHEN parent
   k % 10 = 9 AS has_attachments, CASE WHEN k % 10 = 9 THEN 1 ELSE 0 END AS attachment_count FROM ev)
 """
 
-#: To stand after MAIL_SQL: body_text, and the vectors and clusters of messages.
+#: To stand after MAIL_SQL: body_text (cut, or whole), and the vectors and clusters of messages.
 BODY_SQL = """, bodies AS (SELECT mail.*, phrase || coalesce(left(d.text, 400), '') AS body_text FROM mail LEFT JOIN documents d ON d.doc_id = mail.id % (SELECT count(*) FROM documents))
 """
+WHOLE_BODY_SQL = """, bodies AS (SELECT mail.*, phrase || coalesce(d.text, '') AS body_text FROM mail LEFT JOIN documents d ON d.doc_id = mail.id % (SELECT count(*) FROM documents))
+"""
 VECTORS_SQL = """, vectors AS (SELECT mail.id, CAST(embedding AS DOUBLE[]) AS embedding, CASE WHEN label = 9 THEN -1 ELSE label END AS cluster
   FROM mail JOIN embeddings e ON e.vec_id = mail.id % (SELECT count(*) FROM embeddings))
 """

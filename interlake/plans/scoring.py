@@ -9,31 +9,31 @@ from interlake.plans.mailbox import BODY_SQL, MAIL_SQL, VECTORS_SQL, messages, v
 from interlake.plans.queries import CONTACT_SQL, ORACLES as MAIL_ORACLES, ROLES_SQL
 
 
-def _services(spark, sf_dir):
-    return r.with_service(messages(spark, sf_dir, body=True).filter("NOT is_sent")).select("id", "is_service", "service_confidence", "service_type", "service_importance")
+def _services(spark, sf_dir, whole=False):
+    return r.with_service(messages(spark, sf_dir, body=True, whole=whole).filter("NOT is_sent")).select("id", "is_service", "service_confidence", "service_type", "service_importance")
 
 
-def _patterns(spark, sf_dir):
-    return r.with_patterns(messages(spark, sf_dir, body=True).filter("NOT is_sent")).select("id", *r.PATTERNS)
+def _patterns(spark, sf_dir, whole=False):
+    return r.with_patterns(messages(spark, sf_dir, body=True, whole=whole).filter("NOT is_sent")).select("id", *r.PATTERNS)
 
 
-def _handled(spark, sf_dir):
-    return r.handleability(messages(spark, sf_dir, body=True), m.relationship_features(messages(spark, sf_dir)))
+def _handled(spark, sf_dir, whole=False):
+    return r.handleability(messages(spark, sf_dir, body=True, whole=whole), m.relationship_features(messages(spark, sf_dir)))
 
 
-def _priorities(spark, sf_dir):
+def _priorities(spark, sf_dir, whole=False):
     mail = messages(spark, sf_dir)
-    return p.priority_scores(mail, m.relationship_features(mail).join(_services(spark, sf_dir), "id"), m.action_label(mail), vectors(spark, sf_dir))
+    return p.priority_scores(mail, m.relationship_features(mail).join(_services(spark, sf_dir, whole), "id"), m.action_label(mail), vectors(spark, sf_dir))
 
 
 QUERIES = {
     "detect_service": _services,
     "detect_patterns": _patterns,
     "handleability": _handled,
-    "category_counts": lambda spark, sf_dir: r.category_counts(_handled(spark, sf_dir)),
+    "category_counts": lambda spark, sf_dir, whole=False: r.category_counts(_handled(spark, sf_dir, whole)),
     "real_person": lambda spark, sf_dir: r.real_person(messages(spark, sf_dir), m.contact_profile(messages(spark, sf_dir))),
     "priority_score": _priorities,
-    "priority_rank": lambda spark, sf_dir: p.ranked(_priorities(spark, sf_dir)).select("id", "priority_score", "priority_rank"),
+    "priority_rank": lambda spark, sf_dir, whole=False: p.ranked(_priorities(spark, sf_dir, whole)).select("id", "priority_score", "priority_rank"),
 }
 
 

@@ -23,6 +23,7 @@ from interlake.llm._text import mix, prefix_hash, span_hash
 
 GRAM = 24  # bytes of an anchor
 SHARD = 1 << 20  # bytes of which one suffix array is made
+STRETCH = 1 << 24  # hashes whose places fit beside them
 HOT = 20_000  # snippets of one anchor that one task takes
 _U = np.uint64
 
@@ -38,16 +39,9 @@ def anchors(data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     prefix = prefix_hash(text)
     at = np.arange(n - gram + 1)
     grams = span_hash(prefix, at, at + gram)
-    low = _U((1 << 24) - 1)
-    key = (grams & ~low) | (at.astype(np.uint64) & low)  # of equal hashes the first place wins
-    wide, have = length - gram + 1, 1
-    best = key
-    while have * 2 <= wide:
-        best = np.minimum(best[:-have], best[have:])
-        have *= 2
-    if have < wide:
-        best = np.minimum(best[: len(best) - (wide - have)], best[wide - have :])
-    place = (best & low).astype(np.int64)
+    wide = length - gram + 1
+    # A place has 24 bits, so a longer text is gone through in stretches that overlap by a window.
+    place = np.concatenate([a + _first_smallest(grams[a : a + STRETCH], wide) for a in range(0, len(grams) - wide + 1, STRETCH - wide + 1)])
     row = np.repeat(np.arange(len(data)), sizes)[: len(place)]
     inside = np.arange(len(place)) + length <= offsets[row + 1]
     fresh = np.ones(len(place), bool)
@@ -57,6 +51,19 @@ def anchors(data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return row[start], start - offsets[row[start]], stop - start, grams[place[start]], span_hash(prefix, start, stop + length - 1)
 
 
+def _first_smallest(grams: np.ndarray, wide: int) -> np.ndarray:
+    """Place of the smallest of every `wide` hashes in a row, by their upper 40 bits; of equal ones the first."""
+    low = _U((1 << 24) - 1)
+    best = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    have = 1
+    while have * 2 <= wide:
+        best = np.minimum(best[:-have], best[have:])
+        have *= 2
+    if have < wide:
+        best = np.minimum(best[: len(best) - (wide - have)], best[wide - have :])
+    return (best & low).astype(np.int64)
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of all suffixes in their order.
 
@@ -68,11 +75,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << _U(8)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = n - 1 - np.argsort(key[::-1], kind="stable")  # of equal keys the shorter suffix first
     ordered = key[order]
+    # A suffix of under 8 bytes is told from one that goes on with zero bytes by its end, which sorts below them.
+    fresh = (ordered[1:] != ordered[:-1]) | (order[:-1] > n - 8)
     group = np.zeros(n + 1, np.int64)  # of each suffix the place of the last of its group; after the end -1
     group[n] = -1
-    _regroup(order, np.concatenate([[True], ordered[1:] != ordered[:-1]]), np.arange(n), group)
+    _regroup(order, np.concatenate([[True], fresh]), np.arange(n), group)
     h = 8
     while True:
         tied = np.flatnonzero(group[order] != np.arange(n))  # all places of open groups but the last of each

@@ -67,7 +67,7 @@ def tokenized_pieces(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id",
     def run(batches):
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            ids, offsets = encode(texts, tokenizer)
+            ids, offsets = encode(texts, tokenizer, added=True)
             rows = []
             for i, key in enumerate(keys):
                 own = np.concatenate([ids[offsets[i] : offsets[i + 1]], tail])

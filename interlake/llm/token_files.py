@@ -142,7 +142,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, doc_id: str =
                 system.create_dir(root, recursive=True)
                 sink = system.open_output_stream(trial)
                 writer = Writer(sink, id_bytes=id_bytes, level=level)
-            ids, offsets = encode(texts, tokenizer)
+            ids, offsets = encode(texts, tokenizer, added=True)
             for i, key in enumerate(batch.column(0).to_pylist()):
                 own = np.concatenate([ids[offsets[i] : offsets[i + 1]], tail])
                 writer.add(key, own)

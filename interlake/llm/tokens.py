@@ -6,6 +6,7 @@ once by the library's own model and remembered, so a batch costs one table look-
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -132,8 +133,25 @@ def word_cache(path: str) -> WordCache:
     return WordCache(path)
 
 
-def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts end to end, and the n+1 offsets of the texts. Special tokens' strings are ordinary text."""
+@lru_cache(2)
+def added_tokens(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """Pattern and ids of the vocabulary's added tokens; of several at one place the longest counts."""
+    found = Tokenizer.from_file(path).get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word for t in found.values()):
+        raise ValueError("added tokens that take blanks in or stand as single words only aren't supported")
+    ids = {t.content: i for i, t in found.items()}
+    return (re.compile("(" + "|".join(re.escape(c) for c in sorted(ids, key=len, reverse=True)) + ")") if ids else None), ids
+
+
+def encode(texts: list[str], path: str, *, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, and the n+1 offsets of the texts.
+
+    With added=True the vocabulary's added tokens in a text get their own ids, as by the library's defaults; else their strings are ordinary text.
+    """
+    if added:
+        pattern, known = added_tokens(path)
+        if pattern and any(c in t for t in texts for c in known):
+            return _encode_split([pattern.split(t) for t in texts], path, known)
     cache = word_cache(path)
     parts, sizes = [], []
     for _, part in chunks(texts):
@@ -145,25 +163,46 @@ def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
         end = np.append(start[1:], len(cps))
         h = span_hash(prefix_hash(cps), start, end)
         h[h == 0] = 1
-        slot = cache.find(h)
-        if (slot < 0).any():
-            missing = np.flatnonzero(slot < 0)
-            new, first = np.unique(h[missing], return_index=True)
-            joined, first = "".join(part), missing[first]
-            before = cache.n
-            cache.add(new, [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-            slot = cache.find(h)
-            if cache.n < before + len(new):  # the cache began anew: look the rest up again
-                missing = np.flatnonzero(slot < 0)
-                new, first = np.unique(h[missing], return_index=True)
-                first = missing[first]
-                cache.add(new, [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-                slot = cache.find(h)
-        begin, size = cache.begin[slot], cache.begin[slot + 1] - cache.begin[slot]
-        upto = np.cumsum(size)
-        ids = cache.pool[np.repeat(begin - (upto - size), size) + np.arange(upto[-1])]
-        parts.append(ids)
+        joined, size = None, np.zeros(len(h), np.int64)
+        for a in range(0, len(h), cache.most):  # a run's words fit an empty cache; its ids are taken before the next may empty it
+            run = slice(a, a + cache.most)
+            slot = cache.find(h[run])
+            if (slot < 0).any():
+                new, first = _distinct(h[run], slot < 0)
+                if cache.n + len(new) > cache.most:
+                    cache.reset()
+                    new, first = _distinct(h[run], np.ones(len(slot), bool))
+                joined = joined if joined is not None else "".join(part)
+                cache.add(new, [joined[i:j] for i, j in zip(start[a + first].tolist(), end[a + first].tolist(), strict=True)])
+                slot = cache.find(h[run])
+            begin, size[run] = cache.begin[slot], cache.begin[slot + 1] - cache.begin[slot]
+            upto = np.cumsum(size[run])
+            parts.append(cache.pool[np.repeat(begin - (upto - size[run]), size[run]) + np.arange(upto[-1])])
         word_doc = np.searchsorted(offsets, start, "right") - 1
         sizes.append(np.bincount(word_doc, weights=size, minlength=len(part)).astype(np.int64))
     all_sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum(all_sizes)])
+
+
+def _distinct(h: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of the marked places, and the first place of each."""
+    at = np.flatnonzero(among)
+    new, first = np.unique(h[at], return_index=True)
+    return new, at[first]
+
+
+def _encode_split(split: list[list[str]], path: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """encode() of texts split at added tokens: every second piece of each is one."""
+    ids, offsets = encode([piece for pieces in split for piece in pieces[::2]], path)
+    out, sizes, k = [], [], 0
+    for pieces in split:
+        own = []
+        for i, piece in enumerate(pieces):
+            if i % 2:
+                own.append(np.array([known[piece]], np.uint32))
+            else:
+                own.append(ids[offsets[k] : offsets[k + 1]])
+                k += 1
+        out += own
+        sizes.append(sum(map(len, own)))
+    return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])

@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from interlake.llm import suffix_dedup
+import public_tokenizers
+from interlake.llm import suffix_dedup, tokens
+from tokenizers import Tokenizer
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string"
 
 
@@ -41,3 +44,27 @@ def test_repeats_beyond_16_mib(spark):
 def test_suffixes_of_zero_bytes():
     for text in (b"\0\0", b"ab\0\0\0", b"\0" * 40, b"\0a\0\0a\0\0\0", bytes(random.Random(5).choices(b"\0\1", k=300)) + b"\0" * 9):
         assert suffix_dedup.suffix_array(np.frombuffer(text, np.uint8)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def _equals_library(texts, **how):
+    plain = Tokenizer.from_file(TOKENIZER)
+    plain.encode_special_tokens = not how.get("added", False)
+    ids, offsets = tokens.encode(texts, TOKENIZER, **how)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_more_words_than_the_cache_holds(monkeypatch):
+    cache = tokens.WordCache(TOKENIZER, most=50)
+    monkeypatch.setattr(tokens, "word_cache", lambda path: cache)
+    rnd = random.Random(6)
+    _equals_library([" ".join(f"w{i}" for i in range(30))])
+    _equals_library([" ".join(f"w{i}" for i in range(10, 45))])  # part is known, and the rest doesn't fit beside it
+    _equals_library([" ".join(f"w{i}" for i in range(500)), "", "w1 w2", " ".join(f"x{rnd.randrange(400)}" for _ in range(900))])
+
+
+def test_added_tokens_as_by_the_library():
+    end = "<|endoftext|>"
+    rnd = random.Random(7)
+    texts = [end, f"a {end} b{end}{end}c", f"it'{end}s", f" {end} \n", "<|endoftext|", ""] + ["".join(rnd.choice([end, "a", " ", "'s", "\n", "é", "<|"]) for _ in range(12)) for _ in range(300)]
+    _equals_library(texts, added=True)
+    _equals_library(texts)

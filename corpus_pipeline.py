@@ -21,8 +21,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that at least 10 documents hold go; n_chars counts what is left."""
-    return line_dedup.rewrite(docs, min_docs=10, min_chars=1)
+    """Lines that at least 10 documents hold stay in the first of them only, so that one of many copies stays whole; n_chars counts what is left."""
+    return line_dedup.rewrite(docs, min_docs=10, min_chars=1, first_by="doc_id")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,15 @@ def _document_digests(text: str | None, least: int) -> list[bytes]:
     return [digest(k) for k in keys]
 
 
+def _first_lines(text: str | None, least: int) -> list[tuple[bytes, int]]:
+    """_document_digests() with the first line of each key."""
+    first: dict[bytes, int] = {}
+    for n, k in enumerate(line_keys(text)[1]):
+        if len(k) >= least and (least <= 1 or len(k.decode("utf-8", "surrogatepass")) >= least):
+            first.setdefault(k, n)
+    return [(digest(k), n) for k, n in first.items()]
+
+
 def _places(digests: list[bytes], bits: int) -> np.ndarray:
     """Two places in a filter of 2^bits bits for each digest."""
     halves = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
@@ -132,13 +141,14 @@ class Suspects:
         return ((self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(1)
 
 
-def hot_keys(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int = 25) -> DataFrame:
+def hot_keys(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int = 25, order: str | None = None) -> DataFrame:
     """Digests of the keys that at least min_docs rows hold, counted exactly among the suspects.
 
-    Returns (key binary, n long). With min_docs 1 every key counts and no filter is needed.
+    Returns (key binary, n long), and with `order` also the key's first place: at (the least value of that
+    column) and line. With min_docs 1 every key counts and no filter is needed.
     """
     spark = docs.sparkSession
-    docs = only(docs, text=text)
+    docs = only(docs, text=text, **({"at": order} if order else {}))
     suspects = None
     if min_docs > 1:
         pieces = repeat_filter(lambda t: _document_digests(t, min_chars), docs, "text", filter_bits)
@@ -151,24 +161,38 @@ def hot_keys(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_cha
             out += found if suspects is None else [d for d, yes in zip(found, suspects(found), strict=True) if yes]
         return {"key": out} if out else None
 
+    def emit_places(batch):
+        out = []
+        for value, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = _first_lines(value, min_chars)
+            yes = [True] * len(found) if suspects is None else suspects([d for d, _ in found])
+            out += [(d, at, n) for (d, n), y in zip(found, yes, strict=True) if y]
+        return dict(zip(("key", "at", "line"), zip(*out, strict=True), strict=True)) if out else None
+
+    if order:
+        schema = pa.schema([("key", pa.binary()), ("at", _arrow_type(docs, "at")), ("line", pa.int32())])
+        places = docs.mapInArrow(by_batch(emit_places, schema), f"key binary, at {docs.schema['at'].dataType.simpleString()}, line int")
+        found = places.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "line")).alias("first"))
+        return found.filter(F.col("n") >= min_docs).select("key", "n", "first.at", "first.line")
     rows = docs.mapInArrow(by_batch(emit, pa.schema([("key", pa.binary())])), "key binary")
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
 
 
-def rewrite(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars", min_docs: int = 10, min_chars: int = 1, filter_bits: int = 25, broadcast_keys: int = 1 << 19) -> DataFrame:
+def rewrite(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars", min_docs: int = 10, min_chars: int = 1, filter_bits: int = 25, broadcast_keys: int = 1 << 19, first_by: str | None = None) -> DataFrame:
     """The same rows and columns with the text that drop_lines() keeps and its number of characters; a null text stays null."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    packed = docs.select(F.struct(F.col(f"`{text}`").isNull().alias("_null"), *others).alias("row"), F.col(f"`{text}`").alias("text"))
-    kept = drop_lines(packed, doc_id="row", text="text", min_docs=min_docs, min_chars=min_chars, filter_bits=filter_bits, broadcast_keys=broadcast_keys)
+    packed = docs.select(F.struct(F.col(f"`{text}`").isNull().alias("_null"), *others).alias("row"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{first_by}`").alias("at")] if first_by else []))
+    kept = drop_lines(packed, doc_id="row", text="text", min_docs=min_docs, min_chars=min_chars, filter_bits=filter_bits, broadcast_keys=broadcast_keys, first_by="at" if first_by else None)
     new = F.when(~F.col("doc_id._null"), F.col("kept"))
     made = {text: new, n_chars: F.length(new).cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {text: new}
     return kept.select(*[(made[c] if c in made else F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_lines(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int = 25, broadcast_keys: int = 1 << 19
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int = 25, broadcast_keys: int = 1 << 19, first_by: str | None = None
 ) -> DataFrame:
-    """Drop every line whose key at least `min_docs` rows hold, in all of them.
+    """Drop every line whose key at least `min_docs` rows hold, in all of them; with first_by, its first occurrence
+    (least value of that column, which must be unique, then first line) stays.
 
     Returns (doc_id, n_lines, n_dropped, kept). Rows count as documents, also repeated ones. A null
     text is one empty line and gives the kept text ''. Keys shorter than min_chars stay.
@@ -177,37 +201,45 @@ def drop_lines(
     line numbers come back to it by a join.
     """
     spark = docs.sparkSession
-    hot = checkpointed(hot_keys(docs, text=text, min_docs=min_docs, min_chars=min_chars, filter_bits=filter_bits).select("key"))
-    base = only(docs, doc_id=doc_id, text=text)
+    hot = checkpointed(hot_keys(docs, text=text, min_docs=min_docs, min_chars=min_chars, filter_bits=filter_bits, order=first_by).drop("n"))
+    base = only(docs, doc_id=doc_id, text=text, **({"at": first_by} if first_by else {}))
     id_type = base.schema["doc_id"].dataType.simpleString()
     some = hot.limit(broadcast_keys + 1).collect()
     schema = f"doc_id {id_type}, n_lines long, n_dropped long, kept string"
     arrow = pa.schema([("doc_id", _arrow_type(base)), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
     if len(some) <= broadcast_keys:
-        known = spark.sparkContext.broadcast(frozenset(bytes(r["key"]) for r in some))
+        known = spark.sparkContext.broadcast({bytes(r["key"]): (r["at"], r["line"]) if first_by else None for r in some})
 
         def cut(batch):
             hot_here = known.value
             rows = []
-            for value in batch.column(1).to_pylist():
+            for value, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist() if first_by else [None] * batch.num_rows, strict=True):
                 lines, keys = line_keys(value)
-                rows.append(_without(lines, [bool(k) and digest(k) in hot_here for k in keys]))
+                rows.append(_without(lines, [bool(k) and hot_here.get(digest(k), (at, n)) != (at, n) for n, k in enumerate(keys)]))
             return {"doc_id": batch.column(0), "n_lines": [r[0] for r in rows], "n_dropped": [r[1] for r in rows], "kept": [r[2] for r in rows]}
 
         return base.mapInArrow(by_batch(cut, arrow), schema)
 
     def number(batch):
-        ids, keys, at = [], [], []
-        for i, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        ids, keys, at, own = [], [], [], []
+        for i, value, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist() if first_by else [None] * batch.num_rows, strict=True):
             for n, k in enumerate(line_keys(value)[1]):
                 if k:
                     ids.append(i)
                     keys.append(digest(k))
                     at.append(n)
-        return {"doc_id": ids, "key": keys, "line": at} if ids else None
-
-    lines = base.mapInArrow(by_batch(number, pa.schema([("doc_id", arrow.field("doc_id").type), ("key", pa.binary()), ("line", pa.int32())])), f"doc_id {id_type}, key binary, line int")
-    gone = lines.join(hot, "key").groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
+                    own.append(place)
+        return {"doc_id": ids, "key": keys, "line": at, "own": own} if ids else None
+
+    fields = [("doc_id", arrow.field("doc_id").type), ("key", pa.binary()), ("line", pa.int32())] + ([("own", _arrow_type(base, "at"))] if first_by else [])
+    listed = f"doc_id {id_type}, key binary, line int" + (f", own {base.schema['at'].dataType.simpleString()}" if first_by else "")
+    lines = base.mapInArrow(by_batch(number, pa.schema(fields)), listed)
+    if first_by:
+        met = lines.join(hot.withColumnRenamed("line", "first_line"), "key")
+        dropped = met.filter(~(F.col("own").eqNullSafe(F.col("at")) & (F.col("line") == F.col("first_line"))))
+        gone = dropped.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    else:
+        gone = lines.join(hot, "key").groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
     both = base.join(gone, base["doc_id"].eqNullSafe(gone["doc_id"]), "left").select(base["doc_id"], "text", "gone")
 
     def cut_listed(batch):
@@ -215,7 +247,7 @@ def drop_lines(
         for value, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             lines, keys = line_keys(value)
             listed = frozenset(gone or ())
-            rows.append(_without(lines, [bool(k) and digest(k) in listed for k in keys]))
+            rows.append(_without(lines, [n in listed if first_by else bool(k) and digest(k) in listed for n, k in enumerate(keys)]))
         return {"doc_id": batch.column(0), "n_lines": [r[0] for r in rows], "n_dropped": [r[1] for r in rows], "kept": [r[2] for r in rows]}
 
     return both.mapInArrow(by_batch(cut_listed, arrow), schema)
@@ -226,10 +258,10 @@ def _without(lines: list[bytes], drop: list[bool]) -> tuple[int, int, str]:
     return len(lines), len(lines) - len(kept), b"\n".join(kept).decode("utf-8", "surrogatepass")
 
 
-def _arrow_type(df: DataFrame) -> pa.DataType:
+def _arrow_type(df: DataFrame, column: str = "doc_id") -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return to_arrow_type(df.schema["doc_id"].dataType)
+    return to_arrow_type(df.schema[column].dataType)
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 1, filter_bits: int = 25) -> DataFrame:

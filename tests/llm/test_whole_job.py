@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from interlake.llm import suffix_dedup, tokens
+from interlake.llm import line_dedup, suffix_dedup, tokens
 from tokenizers import Tokenizer
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -68,3 +69,17 @@ def test_added_tokens_as_by_the_library():
     texts = [end, f"a {end} b{end}{end}c", f"it'{end}s", f" {end} \n", "<|endoftext|", ""] + ["".join(rnd.choice([end, "a", " ", "'s", "\n", "é", "<|"]) for _ in range(12)) for _ in range(300)]
     _equals_library(texts, added=True)
     _equals_library(texts)
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    clean = "\n".join(f"line {i} of a clean text that many hold, number {i * i}" for i in range(20))
+    texts = [None, "alone here"] + [clean] * 15 + ["two only", "two only", "twice\ntwice", ""] + [f"own {i}\n FOOTER \nfooter" for i in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    want = dict(enumerate(texts)) | {i: "" for i in range(3, 17)} | {i: f"own {i - 21}" for i in range(22, 33)}
+    want[21] = "own 0\n FOOTER "
+    for most in (1 << 19, 0):
+        got = {r.doc_id: r for r in line_dedup.rewrite(docs, first_by="doc_id", broadcast_keys=most).collect()}
+        assert {i: r.text for i, r in got.items()} == want
+        assert all(r.n_chars == len(r.text) for r in got.values() if r.text is not None)
+    staged = corpus_pipeline.keep_one_of_near_copies(spark, corpus_pipeline.drop_common_lines(spark, docs, ""), "")
+    assert [r.doc_id for r in staged.collect() if r.text == clean] == [2]

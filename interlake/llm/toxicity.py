@@ -10,6 +10,7 @@ reported. A document's score is a logistic function of the weights on its channe
 from __future__ import annotations
 
 import re
+import sys
 from functools import lru_cache
 from itertools import product
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from interlake.llm._spark import by_batch, checkpointed, only
-from interlake.llm._text import chunks, codepoints, prefix_hash, span_hash, word_spans
+from interlake.llm._text import chunks, codepoints, doc_starts, prefix_hash, span_hash
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -72,6 +73,27 @@ def clauses(text: str) -> list[list[str]]:
     return out
 
 
+@lru_cache(1)
+def _word_chars() -> np.ndarray:
+    """True for the code points of which _TOKEN makes words."""
+    return np.array([chr(cp).isalnum() and not chr(cp).isdecimal() for cp in range(sys.maxunicode + 1)])
+
+
+def token_spans(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of every word that clauses() finds: runs of letters, two with one apostrophe between them as one."""
+    word, fresh = _word_chars()[cps], doc_starts(len(cps), offsets)
+    start = np.flatnonzero(word & (~np.concatenate([[False], word[:-1]]) | fresh))
+    end = np.flatnonzero(word & (~np.concatenate([word[1:], [False]]) | np.concatenate([fresh[1:], [True]]))) + 1
+    doc = np.searchsorted(offsets, start, "right") - 1
+    linked = np.zeros(len(start), bool)  # with the next run, by one apostrophe
+    near = np.flatnonzero((start[1:] == end[:-1] + 1) & (doc[1:] == doc[:-1]))
+    linked[near] = cps[end[near]] == 0x27
+    place = np.arange(len(start))
+    chain = np.maximum.accumulate(np.where(np.concatenate([[False], linked[:-1]])[: len(start)], 0, place)) if len(start) else place
+    head = np.flatnonzero((place - chain) % 2 == 0)  # of a chain of runs the first and second are one word, the third and fourth, ...
+    return start[head], end[np.where(linked[head], head + 1, head)], doc[head]
+
+
 class Lexicon:
     """Weights of insult words and roots."""
 
@@ -119,7 +141,7 @@ class Lexicon:
         out = np.zeros(len(texts), bool)
         for first, part in chunks([t.lower() for t in texts]):
             cps, offsets = codepoints(part)
-            start, end, doc = word_spans(cps, offsets)
+            start, end, doc = token_spans(cps, offsets)
             prefix = prefix_hash(cps)
             hit = _among(span_hash(prefix, start, end), self.word_hash)
             for n, table in self.root_hash.items():

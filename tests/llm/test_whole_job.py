@@ -7,7 +7,8 @@ import random
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from interlake.llm import line_dedup, suffix_dedup, tokens
+from interlake.llm import line_dedup, suffix_dedup, tokens, toxicity
+from interlake.llm._text import codepoints
 from tokenizers import Tokenizer
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +72,20 @@ def test_added_tokens_as_by_the_library():
     _equals_library(texts)
 
 
+def test_toxicity_prefilter_misses_nothing():
+    lexicon = toxicity.Lexicon({"idiot": 2.0, "moron": 1.5}, {"bloc": 1.0, "nitwit": 1.0})
+    rnd = random.Random(8)
+    parts = ["idiot", "moron", "nitwit", "blocks", "kill", "you", "2", "4", "\u00b2", "'", "_", " ", ".", "\u0130", "\u00e9", "\u0301", "s"]
+    texts = ["idiot2", "4moron", "nitwit'x", "nitwit\u00b2", ""] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 6))) for _ in range(5000)]
+    assert np.array_equal(lexicon.features(texts), np.log1p(np.array([lexicon.channels(t) for t in texts])))
+    assert lexicon.features(["idiot2", "4moron"]).any(1).all()
+    lowered = [t.lower() for t in texts]
+    cps, offsets = codepoints(lowered)
+    start, end, doc = toxicity.token_spans(cps, offsets)
+    joined = "".join(lowered)
+    assert [(d, joined[a:b]) for a, b, d in zip(start, end, doc)] == [(i, w) for i, t in enumerate(texts) for clause in toxicity.clauses(t) for w in clause]
+
+
 def test_pipeline_keeps_one_of_many_copies(spark):
     clean = "\n".join(f"line {i} of a clean text that many hold, number {i * i}" for i in range(20))
     texts = [None, "alone here"] + [clean] * 15 + ["two only", "two only", "twice\ntwice", ""] + [f"own {i}\n FOOTER \nfooter" for i in range(12)]

@@ -2,12 +2,15 @@
 
 1. Every window of `length` bytes names an anchor, the k-gram of smallest hash in it, so equal
    windows name equal anchors. Runs of windows with one anchor make a snippet, which travels
-   as two hashes (anchor, contents), document and place.
-2. By anchor: snippets whose contents stand earlier are removed whole. Only anchors with several
-   different snippets go on, one snippet of each kind.
+   as hashes (anchor, contents, both sides of the anchor), document and place. A task marks the
+   snippets that it has seen in an earlier place itself, so an anchor that stands everywhere
+   sends a row a task, not a row a document.
+2. By anchor: snippets whose contents stand earlier are removed whole. Only those go on, one of each
+   kind, that share the anchor and one of its sides with a snippet of other contents: a window is
+   longer than the anchor by two sides, so equal windows hold one of them whole.
 3. Those snippets' bytes are dealt out by anchor. A task sorts its suffixes shard by shard
-   (Larsson-Sadakane refinement), finds common prefixes (Kasai), and looks the windows of an anchor that
-   an earlier shard began up in that shard's sorted windows by binary search.
+   (Larsson-Sadakane refinement), finds the windows' common prefixes (Kasai), and looks the windows of an
+   anchor that an earlier shard began up in that shard's sorted windows by binary search.
 4. What is removed comes back to each document as ranges.
 """
 
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +29,24 @@ GRAM = 24  # bytes of an anchor
 SHARD = 1 << 20  # bytes of which one suffix array is made
 STRETCH = 1 << 24  # hashes whose places fit beside them
 HOT = 20_000  # snippets of one anchor that one task takes
+GROUP = 1 << 18  # bytes of texts that are hashed together
+SEEN = 18  # bits of the table of snippets that a task has seen
 _U = np.uint64
 
 
-def anchors(data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, number of windows, hash of the anchor, hash of the contents) of every snippet."""
+def snippets(data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(row, first window, number of windows, hash of the anchor, hash of the contents, hashes of the sides) of every snippet.
+
+    A side is the (length - anchor) / 2 bytes before or behind the anchor, with the anchor; 0 if no window of the
+    snippet holds it. 32 bits of each make one number.
+    """
     sizes = np.array([len(d) for d in data], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    text = np.frombuffer(b"".join(data), np.uint8)
+    joined = b"".join(data)
+    text = np.frombuffer(joined, np.uint8)
     n, gram = len(text), min(GRAM, length)
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     prefix = prefix_hash(text)
     at = np.arange(n - gram + 1)
     grams = span_hash(prefix, at, at + gram)
@@ -48,7 +59,49 @@ def anchors(data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     fresh[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
     start = np.flatnonzero(fresh & inside)
     stop = np.flatnonzero(np.concatenate([(fresh | ~inside)[1:], [True]]) & inside) + 1
-    return row[start], start - offsets[row[start]], stop - start, grams[place[start]], span_hash(prefix, start, stop + length - 1)
+    anchor, end, side = place[start], stop + length - 1, (length - gram) // 2
+    before, behind = anchor - start >= side, end - anchor - gram >= side
+    sides = np.where(before, _half(span_hash(prefix, np.where(before, anchor - side, anchor), anchor + gram)), _U(0)) << _U(32)
+    sides |= np.where(behind, _half(span_hash(prefix, anchor, np.where(behind, anchor + gram + side, anchor + gram))), _U(0))
+    digest = xxhash.xxh3_64_intdigest
+    contents = np.fromiter((digest(joined[i:j]) for i, j in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
+    return row[start], start - offsets[row[start]], stop - start, grams[anchor], contents, sides
+
+
+def anchors(data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """snippets() without the sides."""
+    return snippets(data, length)[:5]
+
+
+def _half(h: np.ndarray) -> np.ndarray:
+    """32 bits of each hash, never 0."""
+    return np.maximum(h >> _U(32), _U(1))
+
+
+class Seen:
+    """Snippets that a task has gone through, as many as the table holds: tells those that stand in an earlier place, with misses but no errors."""
+
+    def __init__(self, bits: int):
+        self.mask = _U((1 << bits) - 1)
+        self.h, self.same = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.doc, self.lo = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+
+    def later(self, h: np.ndarray, same: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """True where a snippet of equal hashes, of these or of earlier calls, has a smaller (doc, lo)."""
+        out = np.zeros(len(h), bool)
+        by = np.lexsort((lo, doc, same, h))
+        new = np.ones(len(by), bool)
+        new[1:] = (h[by[1:]] != h[by[:-1]]) | (same[by[1:]] != same[by[:-1]])
+        head = by[np.flatnonzero(new)][np.cumsum(new) - 1]  # of each the first of its kind
+        out[by] = (doc[by] != doc[head]) | (lo[by] != lo[head])
+        first = by[new]
+        slot = (h[first] & self.mask).astype(np.int64)
+        known = (self.h[slot] == h[first]) & (self.same[slot] == same[first])
+        after = known & ((self.doc[slot] < doc[first]) | ((self.doc[slot] == doc[first]) & (self.lo[slot] < lo[first])))
+        out[first[after]] = True
+        put, slot = first[~after], slot[~after]
+        self.h[slot], self.same[slot], self.doc[slot], self.lo[slot] = h[put], same[put], doc[put], lo[put]
+        return out
 
 
 def _first_smallest(grams: np.ndarray, wide: int) -> np.ndarray:
@@ -71,59 +124,82 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     are still equal are refined, by the group of the suffix h bytes on, and h doubles.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << _U(8)) | padded[i : i + n]
-    order = n - 1 - np.argsort(key[::-1], kind="stable")  # of equal keys the shorter suffix first
+    key = _eights(text, 0)
+    order = np.argsort(key, kind="stable")
     ordered = key[order]
     # A suffix of under 8 bytes is told from one that goes on with zero bytes by its end, which sorts below them.
-    fresh = (ordered[1:] != ordered[:-1]) | (order[:-1] > n - 8)
     group = np.zeros(n + 1, np.int64)  # of each suffix the place of the last of its group; after the end -1
     group[n] = -1
-    _regroup(order, np.concatenate([[True], fresh]), np.arange(n), group)
+    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if n else np.zeros(0, bool)
+    short = np.flatnonzero(order > n - 8)
+    for i in short[np.argsort(-order[short])].tolist():  # of equal keys the shorter suffix first
+        a = np.searchsorted(ordered, ordered[i], "left")
+        b = np.searchsorted(ordered, ordered[i], "right")
+        own = order[a:b]
+        own = np.concatenate([np.sort(own[own > n - 8])[::-1], own[own <= n - 8]])
+        order[a:b] = own
+        fresh[a : a + np.count_nonzero(own > n - 8) + 1][: b - a] = True
+    _regroup(order, fresh, np.arange(n), group)
+    open_places = np.flatnonzero(group[order] != np.arange(n))  # all places of open groups but the last of each
     h = 8
-    while True:
-        tied = np.flatnonzero(group[order] != np.arange(n))  # all places of open groups but the last of each
-        if not len(tied):
-            break
+    while len(open_places):
         is_open = np.zeros(n, bool)
-        is_open[tied] = True
-        is_open[group[order[tied]]] = True
+        is_open[open_places] = True
+        is_open[group[order[open_places]]] = True
         places = np.flatnonzero(is_open)
         suffixes = order[places]
-        first, second = group[suffixes], group[np.minimum(suffixes + h, n)]
-        by = np.lexsort((second, first))
-        order[places] = suffixes[by]
-        first, second = first[by], second[by]
+        both = group[suffixes] * (n + 1) + group[np.minimum(suffixes + h, n)] + 1
+        by = np.argsort(both)
+        both, suffixes = both[by], suffixes[by]
+        order[places] = suffixes
         new = np.ones(len(by), bool)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        _regroup(order[places], new, places, group)
+        new[1:] = both[1:] != both[:-1]
+        _regroup(suffixes, new, places, group)
+        open_places = places[group[suffixes] != places]
         h *= 2
     return order
 
 
+def _eights(text: np.ndarray, fill: int) -> np.ndarray:
+    """The 8 bytes from each place on as one number in the bytes' order; behind the end `fill`."""
+    padded = np.concatenate([text, np.full(8, fill, np.uint8)])
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(text)]).view(">u8").ravel().astype(np.uint64)
+
+
 def _regroup(suffixes: np.ndarray, new: np.ndarray, places: np.ndarray, group: np.ndarray) -> None:
     """Give each suffix the last place of its group; new: where a group begins."""
-    last = np.append(np.flatnonzero(new)[1:] - 1, len(new) - 1)
-    group[suffixes] = places[last][np.cumsum(new) - 1]
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:] - 1, len(new) - 1)
+    group[suffixes] = np.repeat(places[last], np.diff(np.append(begin, len(new))))
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix, `most` at most, of each suffix with the one before it in the order, for the suffixes starts[i] + 0 .. counts[i] - 1; -1 elsewhere.
+    """Common prefix, `most` at most, of each window with the window before it in the order; -1 for what is no window.
 
-    Kasai: the common prefix of the next suffix is shorter by one at most. All runs go side by side.
+    Windows are starts[i] + 0 .. counts[i] - 1; order holds the suffixes that are windows, in their order. Kasai: the common
+    prefix of the next suffix is shorter by one at most, if the suffix behind its neighbour is a window, too. All runs go side by side.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    window = np.zeros(n + 1, bool)
+    window[order] = True
+    eights = _eights(text, 0)
     out = np.full(n, -1, np.int64)
-    have = np.zeros(len(starts), np.int64)
+    have, last = np.zeros(len(starts), np.int64), np.full(len(starts), n - 1, np.int64)
     for step in range(int(counts.max(initial=0))):
         live = np.flatnonzero(counts > step)
         i = starts[live] + step
         j = before[i]
-        size = np.where(j < 0, 0, np.maximum(have[live] - 1, 0))
+        size = np.where((j >= 0) & window[last[live] + 1], np.maximum(have[live] - 1, 0), 0)
+        going = np.flatnonzero((j >= 0) & (size < most))
+        while len(going):  # eight bytes at a time, as long as both texts have them
+            a, b = i[going] + size[going], j[going] + size[going]
+            there = np.maximum(a, b) <= n - 8
+            going, a, b = going[there], a[there], b[there]
+            going = going[eights[a] == eights[b]]
+            size[going] += 8
+            going = going[size[going] < most]
         going = np.flatnonzero((j >= 0) & (size < most))
         while len(going):
             a, b = i[going] + size[going], j[going] + size[going]
@@ -132,7 +208,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, cou
             going = going[same]
             size[going] += 1
             going = going[size[going] < most]
+        size = np.minimum(size, most)
         out[i] = have[live] = size
+        last[live] = np.where(j >= 0, j, n - 1)
     return out
 
 
@@ -162,19 +240,12 @@ def _repeats(rows: list[tuple], length: int, earlier: _Earlier, cut_key) -> list
     sizes, counts = np.array([len(d) for d in data]), np.array([r[3] for r in rows])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     text = np.frombuffer(b"".join(data), np.uint8)
-    order = suffix_array(text)
-    shared = common_prefixes(text, order, starts, counts, length)
-    # Suffixes that cross a snippet's end are no windows, but may stand between equal ones: their common prefix counts, too.
-    tail = np.flatnonzero(shared[order] < 0)
-    tail = tail[tail > 0]
-    shared[order[tail]] = _plain_prefix(text, order[tail - 1], order[tail], length)
-    groups = np.cumsum(shared[order] < length)
-    window = np.zeros(len(text), bool)
     owner = np.repeat(np.arange(len(rows)), sizes)
     within = np.arange(len(text)) - starts[owner]
-    window[within < counts[owner]] = True
-    at = np.flatnonzero(window[order])
-    at_text, group = order[at], groups[at]
+    window = within < counts[owner]
+    at_text = suffix_array(text)
+    at_text = at_text[window[at_text]]
+    group = np.cumsum(common_prefixes(text, at_text, starts, counts, length)[at_text] < length)
     docs, firsts = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
     place = firsts[owner[at_text]] + within[at_text]
     by = np.lexsort((place, docs[owner[at_text]], group))
@@ -211,30 +282,17 @@ def _as_strings(windows: np.ndarray) -> np.ndarray:
     return wide.view(f"S{wide.shape[1]}").ravel()
 
 
-def _plain_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Common prefixes of pairs of suffixes, `most` at most."""
-    size = np.zeros(len(a), np.int64)
-    going = np.arange(len(a))
-    n = len(text)
-    while len(going):
-        i, j = a[going] + size[going], b[going] + size[going]
-        same = (i < n) & (j < n)
-        same[same] = text[i[same]] == text[j[same]]
-        going = going[same]
-        size[going] += 1
-        going = going[size[going] < most]
-    return size
-
-
 def _text_bytes(value: str | None) -> bytes:
     return (value or "").encode("utf-8", "surrogatepass")
 
 
 def repeated_ranges(docs: DataFrame, *, length: int = 100) -> DataFrame:
     """(doc_id, lo, nw): windows lo .. lo + nw - 1 of a document that stand earlier in the corpus. docs: (doc_id long, text)."""
-    arrow = pa.schema([("h", pa.int64()), ("same", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("nw", pa.int32())])
+    names = ("h", "same", "sides", "doc_id", "lo", "nw")
+    arrow = pa.schema([*((c, pa.int64()) for c in names[:4]), ("lo", pa.int32()), ("nw", pa.int32()), ("later", pa.bool_())])
 
     def scan(batches):
+        seen = Seen(SEEN)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1).to_pylist()
@@ -242,22 +300,29 @@ def repeated_ranges(docs: DataFrame, *, length: int = 100) -> DataFrame:
             for i, value in enumerate(texts):
                 held.append(_text_bytes(value))
                 size += len(held[-1])
-                if size > 1 << 20 or i == len(texts) - 1:
-                    row, lo, nw, h, same = anchors(held, length)
+                if size > GROUP or i == len(texts) - 1:
+                    row, lo, nw, h, same, sides = snippets(held, length)
                     if len(row):
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(same.view(np.int64)), pa.array(ids[first + row], pa.int64()), pa.array(lo, pa.int32()), pa.array(nw, pa.int32())], schema=arrow)
+                        doc = ids[first + row]
+                        later = seen.later(h, same, doc, lo)
+                        h = np.where(later, mix(h ^ mix(doc.astype(np.uint64) + mix(lo.astype(np.uint64)))), h)  # these need no company, only a place
+                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h, same, sides)] + [pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(nw, pa.int32()), pa.array(later)], schema=arrow)
                     held, first, size = [], i + 1, 0
 
-    found = docs.mapInArrow(scan, "h long, same long, doc_id long, lo int, nw int").repartition("h")
+    found = docs.mapInArrow(scan, "h long, same long, sides long, doc_id long, lo int, nw int, later boolean").repartition("h")
     by_anchor = Window.partitionBy("h")
-    found = found.withColumn("n", F.count(F.lit(1)).over(by_anchor)).filter("n > 1").drop("n")
+    found = found.withColumn("n", F.count(F.lit(1)).over(by_anchor)).filter("n > 1 or later").drop("n")
     kinds = Window.partitionBy("h", "same")
     where = F.struct("doc_id", "lo")
     found = found.withColumn("first", F.min(where).over(kinds)).withColumn("kinds", F.min("same").over(by_anchor) != F.max("same").over(by_anchor))
-    found = checkpointed(found.withColumn("later", where > F.col("first")).filter("later or kinds").select("h", "doc_id", "lo", "nw", "later"))
+    found = checkpointed(found.withColumn("later", F.col("later") | (where > F.col("first"))).filter("later or kinds").select("h", "same", "sides", "doc_id", "lo", "nw", "later"))
     copies = found.filter("later").select("doc_id", "lo", "nw")
 
-    some = found.filter("not later").select("h", "doc_id", "lo", "nw").distinct()
+    some = found.filter("not later").withColumn("before", F.shiftrightunsigned("sides", 32)).withColumn("behind", F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))).drop("later", "sides").distinct()
+    for side in ("before", "behind"):
+        alike = Window.partitionBy("h", side)
+        some = some.withColumn(f"met_{side}", (F.col(side) != 0) & (F.min("same").over(alike) != F.max("same").over(alike)))
+    some = checkpointed(some.filter("met_before or met_behind").select("h", "doc_id", "lo", "nw"))
     hot = some.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("subs")).filter("subs > 1")
     wanted = some.join(hot, "h", "left").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "nw", F.coalesce("subs", F.lit(1)).alias("subs"))).alias("cuts"))
     snippet = pa.schema([("h", pa.int64()), ("sub", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("nw", pa.int32()), ("data", pa.binary())])

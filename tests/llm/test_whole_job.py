@@ -98,3 +98,44 @@ def test_pipeline_keeps_one_of_many_copies(spark):
         assert all(r.n_chars == len(r.text) for r in got.values() if r.text is not None)
     staged = corpus_pipeline.keep_one_of_near_copies(spark, corpus_pipeline.drop_common_lines(spark, docs, ""), "")
     assert [r.doc_id for r in staged.collect() if r.text == clean] == [2]
+
+
+def test_suffix_dedup_by_small_shards_and_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD", 2000)
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    monkeypatch.setattr(suffix_dedup, "GROUP", 700)
+    monkeypatch.setattr(suffix_dedup, "SEEN", 3)
+    rnd = random.Random(12)
+    passage = "".join(rnd.choices("abcd", k=260))
+    texts = ["a" * 400, "ab" * 150, None, ""]
+    for i in range(60):  # one anchor with many different contents, whole copies, and parts of the passage
+        cut = rnd.randrange(1, 160)
+        texts.append("".join(rnd.choices("xyz", k=rnd.randrange(120))) + passage[cut : cut + rnd.randrange(60, 200)] + "".join(rnd.choices("xyz\0", k=rnd.randrange(90))))
+    texts += texts[5:25]
+    rnd.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(4)
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(b[k : k + 100])
+        want[i] = (int(gone.sum()), np.frombuffer(b, np.uint8)[~gone].tobytes())
+    got = suffix_dedup.drop_repeats(docs).collect()
+    assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in got} == want
+
+
+def test_seen_tells_only_later_places():
+    rnd = np.random.default_rng(3)
+    seen = suffix_dedup.Seen(4)
+    first: dict[tuple, tuple] = {}
+    for _ in range(40):
+        h, same = rnd.integers(0, 6, 30).astype(np.uint64), rnd.integers(0, 3, 30).astype(np.uint64)
+        doc, lo = rnd.integers(0, 50, 30), rnd.integers(0, 5, 30)
+        got = seen.later(h, same, doc, lo)
+        for key, where in zip(zip(h.tolist(), same.tolist()), zip(doc.tolist(), lo.tolist())):
+            first[key] = min(first.get(key, where), where)
+        for key, where, later in zip(zip(h.tolist(), same.tolist()), zip(doc.tolist(), lo.tolist()), got.tolist()):
+            assert not later or where > first[key]

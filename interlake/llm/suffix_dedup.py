@@ -38,7 +38,7 @@ def snippets(data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """(row, first window, number of windows, hash of the anchor, hash of the contents, hashes of the sides) of every snippet.
 
     A side is the (length - anchor) / 2 bytes before or behind the anchor, with the anchor; 0 if no window of the
-    snippet holds it. 32 bits of each make one number.
+    snippet holds it. 16 bits of each make one number: they only tell apart what has one anchor.
     """
     sizes = np.array([len(d) for d in data], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -61,8 +61,8 @@ def snippets(data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     stop = np.flatnonzero(np.concatenate([(fresh | ~inside)[1:], [True]]) & inside) + 1
     anchor, end, side = place[start], stop + length - 1, (length - gram) // 2
     before, behind = anchor - start >= side, end - anchor - gram >= side
-    sides = np.where(before, _half(span_hash(prefix, np.where(before, anchor - side, anchor), anchor + gram)), _U(0)) << _U(32)
-    sides |= np.where(behind, _half(span_hash(prefix, anchor, np.where(behind, anchor + gram + side, anchor + gram))), _U(0))
+    sides = np.where(before, _part(span_hash(prefix, np.where(before, anchor - side, anchor), anchor + gram)), _U(0)) << _U(16)
+    sides |= np.where(behind, _part(span_hash(prefix, anchor, np.where(behind, anchor + gram + side, anchor + gram))), _U(0))
     digest = xxhash.xxh3_64_intdigest
     contents = np.fromiter((digest(joined[i:j]) for i, j in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
     return row[start], start - offsets[row[start]], stop - start, grams[anchor], contents, sides
@@ -73,9 +73,9 @@ def anchors(data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return snippets(data, length)[:5]
 
 
-def _half(h: np.ndarray) -> np.ndarray:
-    """32 bits of each hash, never 0."""
-    return np.maximum(h >> _U(32), _U(1))
+def _part(h: np.ndarray) -> np.ndarray:
+    """16 bits of each hash, never 0."""
+    return np.maximum(h >> _U(48), _U(1))
 
 
 class Seen:
@@ -84,7 +84,7 @@ class Seen:
     def __init__(self, bits: int):
         self.mask = _U((1 << bits) - 1)
         self.h, self.same = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
-        self.doc, self.lo = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        self.doc, self.lo = np.full(1 << bits, np.iinfo(np.int64).max), np.zeros(1 << bits, np.int64)
 
     def later(self, h: np.ndarray, same: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """True where a snippet of equal hashes, of these or of earlier calls, has a smaller (doc, lo)."""
@@ -289,7 +289,7 @@ def _text_bytes(value: str | None) -> bytes:
 def repeated_ranges(docs: DataFrame, *, length: int = 100) -> DataFrame:
     """(doc_id, lo, nw): windows lo .. lo + nw - 1 of a document that stand earlier in the corpus. docs: (doc_id long, text)."""
     names = ("h", "same", "sides", "doc_id", "lo", "nw")
-    arrow = pa.schema([*((c, pa.int64()) for c in names[:4]), ("lo", pa.int32()), ("nw", pa.int32()), ("later", pa.bool_())])
+    arrow = pa.schema([*((c, pa.int32() if c in ("sides", "lo", "nw") else pa.int64()) for c in names), ("later", pa.bool_())])
 
     def scan(batches):
         seen = Seen(SEEN)
@@ -306,10 +306,11 @@ def repeated_ranges(docs: DataFrame, *, length: int = 100) -> DataFrame:
                         doc = ids[first + row]
                         later = seen.later(h, same, doc, lo)
                         h = np.where(later, mix(h ^ mix(doc.astype(np.uint64) + mix(lo.astype(np.uint64)))), h)  # these need no company, only a place
-                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h, same, sides)] + [pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(nw, pa.int32()), pa.array(later)], schema=arrow)
+                        columns = (h.view(np.int64), same.view(np.int64), sides.astype(np.uint32).view(np.int32), doc, lo, nw, later)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
                     held, first, size = [], i + 1, 0
 
-    found = docs.mapInArrow(scan, "h long, same long, sides long, doc_id long, lo int, nw int, later boolean").repartition("h")
+    found = docs.mapInArrow(scan, "h long, same long, sides int, doc_id long, lo int, nw int, later boolean").repartition("h")
     by_anchor = Window.partitionBy("h")
     found = found.withColumn("n", F.count(F.lit(1)).over(by_anchor)).filter("n > 1 or later").drop("n")
     kinds = Window.partitionBy("h", "same")
@@ -318,10 +319,12 @@ def repeated_ranges(docs: DataFrame, *, length: int = 100) -> DataFrame:
     found = checkpointed(found.withColumn("later", F.col("later") | (where > F.col("first"))).filter("later or kinds").select("h", "same", "sides", "doc_id", "lo", "nw", "later"))
     copies = found.filter("later").select("doc_id", "lo", "nw")
 
-    some = found.filter("not later").withColumn("before", F.shiftrightunsigned("sides", 32)).withColumn("behind", F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))).drop("later", "sides").distinct()
-    for side in ("before", "behind"):
+    some = found.filter("not later").drop("later").distinct()
+    own = F.xxhash64("doc_id", "lo")  # what has no side meets nothing there
+    for side, value in (("before", F.shiftrightunsigned("sides", 16)), ("behind", F.col("sides").bitwiseAND(F.lit(0xFFFF)))):
+        some = some.withColumn(side, F.when(value != 0, value.cast("long")).otherwise(own))
         alike = Window.partitionBy("h", side)
-        some = some.withColumn(f"met_{side}", (F.col(side) != 0) & (F.min("same").over(alike) != F.max("same").over(alike)))
+        some = some.withColumn(f"met_{side}", F.min("same").over(alike) != F.max("same").over(alike))
     some = checkpointed(some.filter("met_before or met_behind").select("h", "doc_id", "lo", "nw"))
     hot = some.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("subs")).filter("subs > 1")
     wanted = some.join(hot, "h", "left").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "nw", F.coalesce("subs", F.lit(1)).alias("subs"))).alias("cuts"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """Folder that the driver and all executors see: spark.checkpoint.dir, or what setCheckpointDir() was given.
+
+    Where neither is set, a local master takes a temporary folder (driver and executors are one process there); a cluster gets an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="interlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -36,24 +40,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `rows` at most, so that Python objects of few rows live at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch | None], schema: pa.Schema):
     """For mapInArrow: call fn on each batch; it returns columns by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
+        for batch in sliced(batches):
+            out = fn(batch)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
 
     return run
 
 
-def spread(df: DataFrame, rows_to_read: bool = True) -> DataFrame:
-    """Deal the rows out evenly, without a key."""
-    return df.repartition()
-
-
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under fixed names, so that clashing extra columns play no part."""
     return df.select(*[F.col(f"`{src}`").alias(name) for name, src in columns.items()])

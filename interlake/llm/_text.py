@@ -8,12 +8,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 # The code points with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
+LONG_WORD = 64
 _ODD = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -92,6 +94,14 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
+def word_hashes(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span; spans of over LONG_WORD code points by xxHash, as long ones of a certain pattern have equal sums."""
+    h = span_hash(prefix_hash(cps), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(cps[start[i] : end[i]].tobytes())
+    return h
+
+
 def doc_starts(n: int, offsets: np.ndarray) -> np.ndarray:
     """True where a text begins."""
     out = np.zeros(n, bool)
@@ -122,7 +132,7 @@ def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
     for _, part in chunks([t.lower() for t in texts]):
         cps, offsets = codepoints(part)
         start, end, doc = word_spans(cps, offsets)
-        h = span_hash(prefix_hash(cps), start, end)
+        h = word_hashes(cps, start, end)
         bounds = np.searchsorted(doc, np.arange(len(part) + 1))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             out.append(np.unique(_roll(h[a:b], min(words, b - a))) if b > a else np.empty(0, np.uint64))

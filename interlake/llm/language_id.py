@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from interlake.llm._spark import by_batch, only
+from interlake.llm._spark import by_batch, only, sliced
 from interlake.llm._text import LETTER, char_classes, chunks, codepoints, mix
 
 SYMBOLS = 64  # classes of letters: 0 between words, 1-26 a-z, the rest by hash of the code point
 UNKNOWN = "und"
+TEXTS, GRAMS = 512, 4096  # texts, and different trigrams, whose counts are held side by side
 
 
 @lru_cache(1)
@@ -48,7 +49,8 @@ def gram_vectors(grams: np.ndarray, dims: int, seed: int) -> np.ndarray:
 def bundles(texts: list[str], *, dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """A row of float32 per text, its bundle scaled to length 1 (zero without letters); and where there are letters."""
     out, letters = np.zeros((len(texts), dims), np.float32), np.zeros(len(texts), bool)
-    for first, part in chunks([t.lower() for t in texts], 1 << 18):
+    runs = ((a + first, part) for a in range(0, len(texts), TEXTS) for first, part in chunks([t.lower() for t in texts[a : a + TEXTS]], 1 << 18))
+    for first, part in runs:
         cps, offsets = codepoints(part)
         sym = _symbols()[cps].astype(np.int32)
         doc = np.repeat(np.arange(len(part)), np.diff(offsets))
@@ -67,8 +69,12 @@ def bundles(texts: list[str], *, dims: int, seed: int) -> tuple[np.ndarray, np.n
         distinct = np.flatnonzero(flag)
         index = np.zeros(SYMBOLS**3, np.int32)
         index[distinct] = np.arange(len(distinct))
-        counts = np.bincount(at * len(distinct) + index[gram], minlength=len(part) * len(distinct)).reshape(len(part), -1)
-        out[first : first + len(part)] = counts.astype(np.float32) @ gram_vectors(distinct, dims, seed).astype(np.float32)
+        which = index[gram]
+        for a in range(0, len(distinct), GRAMS):
+            some = distinct[a : a + GRAMS]
+            here = slice(None) if len(some) == len(distinct) else (which >= a) & (which < a + len(some))
+            counts = np.bincount(at[here] * len(some) + which[here] - a, minlength=len(part) * len(some)).reshape(len(part), -1)
+            out[first : first + len(part)] += counts.astype(np.float32) @ gram_vectors(some, dims, seed).astype(np.float32)
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(length > 0, length, 1), letters
 
@@ -86,7 +92,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", learn: Col
     def add(batches):
         sums: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             langs = np.array(batch.column(1).to_pylist(), object)
             vectors, _ = bundles(batch.column(0).to_pylist(), dims=dims, seed=seed)
             for name in set(langs.tolist()):
@@ -148,7 +154,7 @@ def keep_known(docs: DataFrame, model: dict, *, text: str = "text", min_score: f
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             good = _scores([t or "" for t in batch.column(at).to_pylist()], sent.value)[1] > min_score
             if good.any():
                 yield pa.RecordBatch.from_arrays(batch.filter(pa.array(good)).columns, schema=arrow)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interlake.llm._spark import by_batch, checkpointed, only
+from interlake.llm._spark import by_batch, checkpointed, only, sliced
 
 BLANKS = b" \t\n\x0b\x0c\r"
 _PIECE = 1 << 16  # bytes of a filter that travel together
@@ -50,12 +50,25 @@ def _places(digests: list[bytes], bits: int) -> np.ndarray:
     return (halves >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _are_set(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """True for the rows of `at` whose bits are all set."""
+    return ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(1)
+
+
+def _set(packed: np.ndarray, at: np.ndarray) -> None:
+    if len(at):
+        at = np.sort(at)
+        byte = at >> 3
+        first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        packed[byte[first]] |= np.bitwise_or.reduceat(np.uint8(128) >> (at & 7).astype(np.uint8), first)
+
+
 class TwoFilters:
     """Keys seen once, and keys seen again while in the first filter."""
 
     def __init__(self, bits: int):
         self.bits = bits
-        self.once, self.twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        self.once, self.twice = (np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(2))
 
     def add(self, digests: list[bytes]) -> None:
         """Add the distinct keys of one document or of several, each with its repeats."""
@@ -66,13 +79,13 @@ class TwoFilters:
         _, first = np.unique(rows, return_index=True)
         again = np.ones(len(rows), bool)
         again[first] = False
-        again |= self.once[at].all(1)
-        self.twice[at[again].ravel()] = True
-        self.once[at.ravel()] = True
+        again |= _are_set(self.once, at)
+        _set(self.twice, at[again].ravel())
+        _set(self.once, at.ravel())
 
     def pieces(self):
         """(piece number, packed and compressed bits of both filters), for pieces that aren't empty."""
-        once, twice = np.packbits(self.once), np.packbits(self.twice)
+        once, twice = self.once, self.twice
         for i in range(0, len(once), _PIECE):
             if once[i : i + _PIECE].any():
                 yield i // _PIECE, zlib.compress(once[i : i + _PIECE].tobytes(), 1), zlib.compress(twice[i : i + _PIECE].tobytes(), 1)
@@ -89,7 +102,7 @@ def repeat_filter(keys_of, df: DataFrame, column: str, bits: int) -> DataFrame:
 
     def fill(batches):
         own = TwoFilters(bits)
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             waiting: list[bytes] = []
             for value in batch.column(0).to_pylist():
                 waiting += keys_of(value)
@@ -138,7 +151,7 @@ class Suspects:
         if self.packed is None:
             self.packed = np.frombuffer(zlib.decompress(self.broadcast.value), np.uint8)
         at = _places(digests, self.bits)
-        return ((self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(1)
+        return _are_set(self.packed, at)
 
 
 def hot_keys(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int = 25, order: str | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interlake.llm._spark import checkpointed, only
+from interlake.llm._spark import checkpointed, only, sliced
 from interlake.llm._text import mix, shingle_sets
 from interlake.llm.components import connected_components
 
@@ -98,17 +98,16 @@ def _sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("keys", pa.list_(pa.int64())), ("darts", pa.binary())])
 
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), [t or "" for t in batch.column(1).to_pylist()]
-            for first in range(0, len(texts), 256):
-                sets = shingle_sets(texts[first : first + 256], words)
-                full = [i for i, s in enumerate(sets) if len(s)]
-                if full:
-                    own = [sets[i] for i in full]
-                    signature = signatures(own, bands * rows)
-                    keys = band_keys(signature, bands, rows).view(np.int64)
-                    darts = [row.tobytes() for row in (signature >> _U(16)).astype(np.uint16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[first + np.array(full)], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(darts, pa.binary())], schema=schema)
+        for batch in sliced(batches, 256):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], words)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            if full:
+                own = [sets[i] for i in full]
+                signature = signatures(own, bands * rows)
+                keys = band_keys(signature, bands, rows).view(np.int64)
+                darts = [row.tobytes() for row in (signature >> _U(16)).astype(np.uint16)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(full)], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(darts, pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, same binary, keys array<long>, darts binary")
 
@@ -117,7 +116,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, shingles): the sorted distinct shingle hashes, as bytes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 256):
             sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], words)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "shingles": [s.tobytes() for s in sets]}, schema=pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())]))
 
@@ -129,7 +128,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def check(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             a, b, sa, sb = (batch.column(i).to_pylist() for i in range(4))
             good = []
             for i, (p, q) in enumerate(zip(sa, sb, strict=True)):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interlake.llm._spark import only
+from interlake.llm._spark import only, sliced
 from interlake.llm.tokens import encode
 
 SHARD = 16384  # pieces that one packing task gets, about
@@ -65,7 +65,7 @@ def tokenized_pieces(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id",
     tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             ids, offsets = encode(texts, tokenizer, added=True)
             rows = []

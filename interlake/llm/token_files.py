@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from interlake.llm._spark import checkpointed, new_folder, only
+from interlake.llm._spark import checkpointed, new_folder, only, sliced
 from interlake.llm.tokens import encode
 
 # Fixed values of the published formats.
@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, doc_id: str =
         writer = sink = None
         name, trial = f"{root}/part-{part:06d}.zst", f"{root}/.part-{part:06d}.{attempt}"
         n_docs = n_tokens = 0
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             if texts and writer is None:
                 system.create_dir(root, recursive=True)

@@ -12,7 +12,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-from interlake.llm._text import LETTER, NUMBER, SPACE, char_classes, chunks, codepoints, doc_starts, prefix_hash, span_hash
+from interlake.llm._text import LETTER, SPACE, char_classes, chunks, codepoints, doc_starts, word_hashes
+
 
 def word_starts(cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """True where a word of the byte-level pre-tokeniser's pattern starts.
@@ -59,21 +60,38 @@ def word_starts(cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """Ids of words by the words' 64-bit hashes: an open-addressing table in numpy."""
+    """Ids of words by the words' 64-bit hashes: an open-addressing table in numpy. A hit counts only if the word itself is the same."""
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1 << 18):
         self.model = Tokenizer.from_file(path).model
         self.most = most
         self.bytes_to_chars = _byte_alphabet()
         self.reset()
 
     def reset(self) -> None:
-        self.bits = 22
+        self.bits = 20
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.slot = np.zeros(1 << self.bits, np.int32)
         self.n = 0
         self.begin = np.zeros(self.most + 1, np.int64)
         self.pool = np.zeros(1 << 20, np.uint32)
+        self.text_begin = np.zeros(self.most + 1, np.int64)
+        self.text = np.zeros(1 << 20, np.uint32)
+
+    def ids(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes_to_chars))]
+
+    def holds(self, slot: np.ndarray, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """True where the word in the slot is the span's own."""
+        size = end - start
+        out = self.text_begin[slot + 1] - self.text_begin[slot] == size
+        upto = np.cumsum(size)
+        at = np.arange(int(upto[-1]) if len(upto) else 0)
+        there = np.repeat(self.text_begin[slot] - (upto - size), size) + at
+        other = self.text[np.minimum(there, len(self.text) - 1)] != cps[np.repeat(start - (upto - size), size) + at]
+        if other.any():
+            out[np.searchsorted(upto, np.flatnonzero(other), "right")] = False
+        return out
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Slot of each hash, -1 where it is new."""
@@ -94,19 +112,24 @@ class WordCache:
             step += 1
         return out
 
+    def _put(self, pool: np.ndarray, begin: np.ndarray, flat: np.ndarray, sizes: list[int]) -> np.ndarray:
+        """The pool with `flat` behind what it holds, and where each of its parts begins."""
+        used = int(begin[self.n])
+        while used + len(flat) > len(pool):
+            pool = np.concatenate([pool, np.zeros_like(pool)])
+        pool[used : used + len(flat)] = flat
+        begin[self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        return pool
+
     def add(self, h: np.ndarray, words: list[str]) -> None:
         if self.n + len(words) > self.most:
             self.reset()
             if len(words) > self.most:
                 raise ValueError("more distinct words in a batch than the cache holds")
-        mask, tokenize, table = (1 << self.bits) - 1, self.model.tokenize, self.bytes_to_chars
-        found = [[t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(table))] for w in words]
-        flat = np.array([i for ids in found for i in ids], np.uint32)
-        used = int(self.begin[self.n])
-        while used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[used : used + len(flat)] = flat
-        self.begin[self.n + 1 : self.n + 1 + len(words)] = used + np.cumsum([len(x) for x in found])
+        mask = (1 << self.bits) - 1
+        found = [self.ids(w) for w in words]
+        self.pool = self._put(self.pool, self.begin, np.array([i for ids in found for i in ids], np.uint32), [len(x) for x in found])
+        self.text = self._put(self.text, self.text_begin, codepoints(words)[0], [len(w) for w in words])
         new = np.arange(self.n, self.n + len(words), dtype=np.int32)
         self.n += len(words)
         at, todo, step = (h & np.uint64(mask)).astype(np.int64), np.arange(len(h)), 0
@@ -161,7 +184,7 @@ def encode(texts: list[str], path: str, *, added: bool = False) -> tuple[np.ndar
             continue
         start = np.flatnonzero(word_starts(cps, offsets))
         end = np.append(start[1:], len(cps))
-        h = span_hash(prefix_hash(cps), start, end)
+        h = word_hashes(cps, start, end)
         h[h == 0] = 1
         joined, size = None, np.zeros(len(h), np.int64)
         for a in range(0, len(h), cache.most):  # a run's words fit an empty cache; its ids are taken before the next may empty it
@@ -176,8 +199,16 @@ def encode(texts: list[str], path: str, *, added: bool = False) -> tuple[np.ndar
                 cache.add(new, [joined[i:j] for i, j in zip(start[a + first].tolist(), end[a + first].tolist(), strict=True)])
                 slot = cache.find(h[run])
             begin, size[run] = cache.begin[slot], cache.begin[slot + 1] - cache.begin[slot]
-            upto = np.cumsum(size[run])
-            parts.append(cache.pool[np.repeat(begin - (upto - size[run]), size[run]) + np.arange(upto[-1])])
+            held = cache.holds(slot, cps, start[run], end[run])
+            if held.all():
+                upto = np.cumsum(size[run])
+                parts.append(cache.pool[np.repeat(begin - (upto - size[run]), size[run]) + np.arange(upto[-1])])
+                continue
+            joined = joined if joined is not None else "".join(part)
+            for i, k in enumerate(begin.tolist()):  # words whose hash another word has go to the model one by one
+                own = cache.pool[k : k + size[a + i]] if held[i] else np.array(cache.ids(joined[start[a + i] : end[a + i]]), np.uint32)
+                size[a + i] = len(own)
+                parts.append(own)
         word_doc = np.searchsorted(offsets, start, "right") - 1
         sizes.append(np.bincount(word_doc, weights=size, minlength=len(part)).astype(np.int64))
     all_sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)

@@ -139,3 +139,40 @@ def test_seen_tells_only_later_places():
             first[key] = min(first.get(key, where), where)
         for key, where, later in zip(zip(h.tolist(), same.tolist()), zip(doc.tolist(), lo.tolist()), got.tolist()):
             assert not later or where > first[key]
+
+
+def _thue_morse(n: int) -> tuple[str, str]:
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_of_equal_hash(monkeypatch):
+    one, other = _thue_morse(2048)
+    _equals_library([one, other, f"{other} {one}", "end"])
+    from interlake.llm._text import shingle_sets
+
+    a, b = shingle_sets([one, other])
+    assert a.tolist() != b.tolist()
+    hashes = tokens.word_hashes
+    monkeypatch.setattr(tokens, "word_hashes", lambda *args: hashes(*args) % np.uint64(37) + np.uint64(1))  # most words share a hash
+    monkeypatch.setattr(tokens, "word_cache", lambda path, cache=tokens.WordCache(TOKENIZER): cache)
+    rnd = random.Random(11)
+    _equals_library([" ".join("".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 3))) for _ in range(50)) for _ in range(30)])
+
+
+def test_language_blocks_give_the_whole_bundle(monkeypatch):
+    from interlake.llm import language_id
+
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abc dé1\n") for _ in range(rnd.randint(0, 300))) for _ in range(60)]
+    whole, letters = language_id.bundles(texts, dims=64, seed=1)
+    monkeypatch.setattr(language_id, "TEXTS", 7)
+    monkeypatch.setattr(language_id, "GRAMS", 5)
+    parts, again = language_id.bundles(texts, dims=64, seed=1)
+    assert np.allclose(whole, parts, atol=1e-6) and (letters == again).all()
+    signs = language_id._letters(64, 1).astype(int)
+    for t, row in zip(texts, whole):  # letter by letter: every run of other signs between letters is one gap
+        symbols = [int(language_id._symbols()[ord(c)]) for c in t.lower()]
+        squeezed = [s for i, s in enumerate(symbols) if s or (i and symbols[i - 1])]
+        total = sum((np.roll(signs[a], 2) * np.roll(signs[b], 1) * signs[c] for a, b, c in zip(squeezed, squeezed[1:], squeezed[2:])), np.zeros(64))
+        assert np.allclose(row, total / (np.linalg.norm(total) or 1), atol=1e-5)

@@ -1,7 +1,8 @@
 """Corpus pipeline: language identification, line dedup, near-dedup, mixing to weights, packing.
 
 Each stage takes all that its predecessor kept and returns the columns of documents; the last returns
-the placed pieces. SQL can't express the pipeline; its tests hold it against brute force.
+the placed pieces. SQL can't express the pipeline; its tests hold it against brute force. Null texts have no
+letter and go in the first stage, as do empty ones; ties go by doc_id; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from interlake.llm.queries import TOKENIZER
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or nearer to no language than to any (score 0.5 or less), go."""
+    """Documents without a letter go, as do those that are nearer to no language than to any (score 0.5 or less; that needs a single learned language)."""
     model = language_id.train(docs, learn=~language_id.held_out(F.col("doc_id"), 4, 2))
     return language_id.keep_known(docs, model, min_score=0.5)
 
@@ -36,9 +37,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
-    pieces = packing.tokenized_pieces(docs, tokenizer=TOKENIZER, most=1024, end_id=2)
-    return packing.pack(pieces, n_rows=docs.count(), capacity=1024)
+    """Token pieces with their ids (two bytes each), sequence, offset and, of documents that the mix takes several times, the number of the copy."""
+    pieces = packing.tokenized_pieces(docs, tokenizer=TOKENIZER, most=1024, end_id=2, id_bytes=2)
+    return packing.pack(pieces, n_rows=packing.expected_pieces(docs), capacity=1024, number_copies=True)
 
 
 STAGES = [

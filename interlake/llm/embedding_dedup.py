@@ -1,10 +1,11 @@
 """Embedding near-dedup by randomised-rotation binary codes with stored correction factors.
 
-A vector is scaled to length 1, rotated at random and stored as its signs, with the inner product
-of the rotated vector and its own code. From code and factor follows an unbiased estimate of the
-cosine with any other vector, and a bound on its error; a pair is computed exactly, in double
-precision, only where estimate + bound reaches the threshold. Pairs meet in buckets of sign bits
-of further rotations.
+A vector is scaled to length 1, rotated at random and stored once as its sign bits, with the inner
+product of the rotated vector and its own code. From code and factor follows an unbiased estimate of the
+cosine with any other vector, and a bound on its error. The other vector is taken in steps of
+1/15 of its range, so an estimate is four counts of common bits for every 64 dimensions. A pair is
+computed exactly, in double precision, only where estimate + bound reaches the threshold. Pairs meet
+in buckets of sign bits of further rotations.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interlake.llm._spark import checkpointed
+from interlake.llm._spark import checkpointed, sliced
 from interlake.llm.components import connected_components
 
 BUCKET = 256  # vectors that a bucket holds on average, about
@@ -38,6 +39,40 @@ def encode(unit: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return signs, np.abs(turned).sum(1) / math.sqrt(unit.shape[1])
 
 
+def pack_signs(signs: np.ndarray) -> np.ndarray:
+    """Rows of signs as rows of 64-bit words; bits beyond the dimensions are 0."""
+    bits = np.packbits(signs > 0, axis=1, bitorder="little")
+    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+
+
+class Query:
+    """Rotated unit rows in 4-bit steps: four planes of bits, the step and the least value of each row."""
+
+    def __init__(self, turned: np.ndarray):
+        self.dims = turned.shape[1]
+        self.least = turned.min(1)
+        self.step = np.maximum((turned.max(1) - self.least) / 15, 1e-300)
+        level = np.rint((turned - self.least[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.planes = [pack_signs(((level >> k) & 1).astype(np.int8)) for k in range(4)]
+        self.total = level.sum(1, dtype=np.int64)
+
+    def estimate(self, rows: slice, codes: np.ndarray, ones: np.ndarray, factor: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated cosines of these rows with coded ones, and a bound of their error at `sure` standard widths of code and steps.
+
+        codes: 64-bit words of signs, ones: how many of each are set, factor: inner products of the rows and their codes.
+        """
+        common = np.zeros((rows.stop - rows.start, len(codes)), np.int32)
+        for k, plane in enumerate(self.planes):
+            for w in range(codes.shape[1]):
+                common += np.bitwise_count(plane[rows, w][:, None] & codes[None, :, w]).astype(np.int32) << k
+        # Of signs s and levels q: the sum of s * (least + step * q), with s = 2 * bit - 1.
+        plain = self.least[rows, None] * (2 * ones - self.dims)[None, :] + self.step[rows, None] * (2 * common - self.total[rows, None])
+        scale = 1 / (math.sqrt(self.dims) * factor)
+        width = np.sqrt(np.maximum(0.0, 1 - factor**2)) / (factor * math.sqrt(max(1, self.dims - 1)))
+        rough = self.step[rows, None] / math.sqrt(12) / factor[None, :]
+        return plain * scale[None, :], sure * np.hypot(width[None, :], rough)
+
+
 def estimate(turned: np.ndarray, signs: np.ndarray, factor: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
     """Estimated cosines of rotated unit rows with coded ones, and the bound of each coded one's error at `sure` standard widths."""
     d = turned.shape[1]
@@ -65,17 +100,14 @@ def bucket_keys(unit: np.ndarray, bits: int, tables: int, seed: int = 1000) -> n
     return turned.reshape(len(unit), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def usable(vectors: list) -> np.ndarray:
-    """True for vectors with finite components that aren't all zero."""
-    return np.array([v is not None and len(v) > 0 and all(x is not None for x in v) and bool(np.isfinite(np.array(v, float)).all()) and bool(np.any(v)) for v in vectors], bool)
-
-
 def _links(a: dict, b: dict | None, threshold: float, sure: float):
     """Pairs (i, j) with exact cosine >= threshold, of a with itself (i < j) or of a with b."""
     other = b or a
-    turned = a["unit"] @ rotation(a["unit"].shape[1], 1)
-    for first in range(0, len(turned), 512):
-        got, width = estimate(turned[first : first + 512], other["signs"], other["factor"], sure)
+    query = Query(a["unit"] @ rotation(a["unit"].shape[1], 1))
+    ones = np.bitwise_count(other["codes"]).sum(1, dtype=np.int64)
+    for first in range(0, len(a["unit"]), 256):
+        rows = slice(first, min(first + 256, len(a["unit"])))
+        got, width = query.estimate(rows, other["codes"], ones, other["factor"], sure)
         i, j = np.nonzero(got + width >= threshold)
         i += first
         if b is None:
@@ -86,11 +118,16 @@ def _links(a: dict, b: dict | None, threshold: float, sure: float):
             yield i[good], j[good]
 
 
+def _unit(raw: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square overflows or vanishes."""
+    raw = raw / np.abs(raw).max(1, keepdims=True)
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+
 def _block(rows: pa.Table) -> dict:
     raw = np.array(rows["vector"].to_pylist(), np.float64)
-    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-    signs, factor = encode(unit)
-    return {"id": rows["rep"].to_numpy(), "n": rows["n"].to_numpy(), "keys": np.array(rows["keys"].to_pylist(), np.int64), "unit": unit, "signs": signs, "factor": factor}
+    codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint64).reshape(len(raw), -1)
+    return {"id": rows["rep"].to_numpy(), "n": rows["n"].to_numpy(), "keys": np.array(rows["keys"].to_pylist(), np.int64), "unit": _unit(raw), "codes": codes, "factor": rows["factor"].to_numpy()}
 
 
 def _forest(n: int, pairs) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -113,7 +150,7 @@ def _forest(n: int, pairs) -> tuple[np.ndarray, list[tuple[int, int]]]:
 
 
 def link_vectors(
-    df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", label: str | None = "label", threshold: float = 0.93, recall: float = 0.995, sure: float = 4.0
+    df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", label: str | None = "label", threshold: float = 0.93, recall: float = 0.999, sure: float = 4.0
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
@@ -127,32 +164,38 @@ def link_vectors(
     cluster or a hot label makes, is compared in blocks by several tasks. Each pair counts in
     the first table where it meets. What leaves a task is a number of links for each vector and
     the edges of a spanning forest, never the pairs. Repeated vec_ids count as rows of their own
-    but share a result; vec_id must not be null.
+    but share a result; vec_id must not be null. Labels of up to 256 different vectors have one
+    bucket, so none of their links is missed.
     """
-    rows = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"), (F.col(label).cast("string") if label else F.lit("")).alias("label"))
+    kind = "float" if df.schema[vector].dataType.simpleString() == "array<float>" else "double"  # whatever the column holds, unrounded
+    rows = df.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{vector}`").cast(f"array<{kind}>").alias("vector"), (F.col(f"`{label}`").cast("string") if label else F.lit("")).alias("label"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.col("vector").isNotNull() & F.col("label").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
     # -0.0 equals 0.0: grouping takes care of that for scalars only.
-    able = rows.filter(good).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast("float")))
+    able = rows.filter(good).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast(kind)))
     reps = able.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     per_label = reps.groupBy("label").agg(F.count(F.lit(1)).alias("of_label"))
     reps = checkpointed(reps.join(per_label, "label"))
 
-    keyed = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("rep", pa.int64()), ("n", pa.int64()), ("vector", pa.list_(pa.float32())), ("keys", pa.list_(pa.int64()))])
+    keyed = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("rep", pa.int64()), ("n", pa.int64()), ("vector", pa.list_(pa.float32() if kind == "float" else pa.float64())), ("keys", pa.list_(pa.int64())), ("code", pa.binary()), ("factor", pa.float64())])
 
     def key(batches):
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             t = pa.Table.from_batches([batch])
             sizes, dims = t["of_label"].to_numpy(), np.array([len(v) for v in t["vector"]])
             keys: list = [None] * len(sizes)
+            codes: list = [None] * len(sizes)
+            factors = np.zeros(len(sizes))
             for size, d in sorted(set(zip(sizes.tolist(), dims.tolist(), strict=True))):
                 at = np.flatnonzero((sizes == size) & (dims == d))
                 raw = np.array(t["vector"].take(at).to_pylist(), np.float64)
-                for i, k in zip(at, bucket_keys(raw / np.linalg.norm(raw, axis=1, keepdims=True), *plan(size, threshold, recall)), strict=True):
-                    keys[i] = k
-            yield pa.RecordBatch.from_arrays([t["label"].combine_chunks(), pa.array(dims, pa.int32()), t["rep"].combine_chunks(), t["n"].combine_chunks(), t["vector"].combine_chunks(), pa.array(keys, pa.list_(pa.int64()))], schema=keyed)
+                unit = _unit(raw)
+                signs, factors[at] = encode(unit)
+                for i, k, code in zip(at, bucket_keys(unit, *plan(size, threshold, recall)), pack_signs(signs), strict=True):
+                    keys[i], codes[i] = k, code.tobytes()
+            yield pa.RecordBatch.from_arrays([t["label"].combine_chunks(), pa.array(dims, pa.int32()), t["rep"].combine_chunks(), t["n"].combine_chunks(), t["vector"].combine_chunks(), pa.array(keys, pa.list_(pa.int64())), pa.array(codes, pa.binary()), pa.array(factors)], schema=keyed)
 
-    coded = reps.select("label", "rep", "n", "vector", "of_label").mapInArrow(key, "label string, dims int, rep long, n long, vector array<float>, keys array<long>")
+    coded = reps.select("label", "rep", "n", "vector", "of_label").mapInArrow(key, f"label string, dims int, rep long, n long, vector array<{kind}>, keys array<long>, code binary, factor double")
     places = coded.select("*", F.posexplode("keys").alias("t", "key"))
     sizes = places.groupBy("label", "dims", "t", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     spread = places.join(sizes, ["label", "dims", "t", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -185,12 +228,12 @@ def link_vectors(
         b = np.concatenate([ids[linked], ids[[j for _, j in forest]]]) if forest else ids[linked]
         return pa.table({"a": a, "b": b, "links": np.concatenate([count[linked], np.zeros(len(forest), np.int64)])}, schema=found_schema)
 
-    got = checkpointed(spread.select("label", "dims", "t", "key", "lo", "hi", "own", "rep", "n", "vector", "keys").groupBy("label", "dims", "t", "key", "lo", "hi").applyInArrow(compare, "a long, b long, links long"))
+    got = checkpointed(spread.select("label", "dims", "t", "key", "lo", "hi", "own", "rep", "n", "vector", "keys", "code", "factor").groupBy("label", "dims", "t", "key", "lo", "hi").applyInArrow(compare, "a long, b long, links long"))
     counts = got.groupBy("a").agg(F.sum("links").alias("links"))
     parts = connected_components(got.filter("a <> b"))
     by_rep = reps.join(counts, reps["rep"] == counts["a"], "left").join(parts, reps["rep"] == parts["node"], "left")
     by_rep = by_rep.select("label", "vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    joined = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast("float"))).join(by_rep, ["label", "vector"], "left")
+    joined = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast(kind))).join(by_rep, ["label", "vector"], "left")
     return joined.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept")
     )

@@ -150,17 +150,27 @@ def _joining(members: DataFrame, threshold: float, k: int) -> DataFrame:
     join the same components a task returns one, so it never returns more rows than it read.
     """
     least = k * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / k))
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    spread = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "component", "darts", "shingles")
+    # The largest component of a bucket needs no comparison with itself: its members stand in one block each, and only the others go to all blocks.
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "component"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = parts.groupBy("key").agg(largest["component"].alias("main"), blocks(largest["n"]).alias("mains"), blocks(F.sum("n") - largest["n"]).alias("others"))
+    dealt = members.join(sizes, "key").withColumn("is_main", F.col("component") == F.col("main"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own, is_main = F.col("own"), F.col("is_main")
+    with_main = F.transform(upto(F.when(is_main, F.col("others")).otherwise(F.col("mains"))), lambda i: F.struct(F.lit(1).alias("kind"), F.when(is_main, own).otherwise(i).alias("lo"), F.when(is_main, i).otherwise(own).alias("hi"), is_main.alias("left")))
+    among = F.transform(upto(F.col("others")), lambda i: F.struct(F.lit(0).alias("kind"), F.least(own, i).alias("lo"), F.greatest(own, i).alias("hi"), (own <= i).alias("left")))
+    spread = dealt.withColumn("task", F.explode(F.when(is_main, with_main).otherwise(F.concat(with_main, among))))
+    spread = spread.select("key", "task.kind", "task.lo", "task.hi", "task.left", "rep", "component", "darts", "shingles")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(rows: pa.Table) -> pa.Table:
-        own, rep, component = (rows[c].to_numpy() for c in ("own", "rep", "component"))
+        is_left, rep, component = (rows[c].to_numpy() for c in ("left", "rep", "component"))
         darts = np.frombuffer(b"".join(rows["darts"].to_pylist()), np.uint16).reshape(len(rep), k)
-        lo, hi = rows["lo"][0].as_py(), rows["hi"][0].as_py()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        alone = rows["kind"][0].as_py() == 0 and rows["lo"][0].as_py() == rows["hi"][0].as_py()  # one block with itself
+        left = np.flatnonzero(is_left)
+        right = left if alone else np.flatnonzero(~is_left)
         a, b = [], []
         columns = np.ascontiguousarray(darts[right].T)
         raw: list = rows["shingles"].to_pylist()
@@ -182,7 +192,7 @@ def _joining(members: DataFrame, threshold: float, k: int) -> DataFrame:
             for c in range(k):
                 agree += columns[c] == darts[i, c]
             j = right[(agree >= least) & (component[right] != component[i])]
-            for other in (j[j > i] if lo == hi else j).tolist():
+            for other in (j[j > i] if alone else j).tolist():
                 p, q = root(int(component[i])), root(int(component[other]))
                 if p != q:
                     x, y = shingles(i), shingles(other)
@@ -194,7 +204,7 @@ def _joining(members: DataFrame, threshold: float, k: int) -> DataFrame:
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=schema)
 
-    return spread.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    return spread.groupBy("key", "kind", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:

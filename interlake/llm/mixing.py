@@ -54,7 +54,7 @@ def mix(
     A source may hold any share of the rows: running sums are made per source and `buckets` ranges
     of the seeded order, on top of a running sum over the buckets' totals. Repeated rows count each.
     """
-    sized = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size")))
+    sized = checkpointed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size")))
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     n = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     table = by_source.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (n % len(weights) + 1).cast("int")))

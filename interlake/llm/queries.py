@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from interlake.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, suffix_dedup, telephony, token_files, toxicity
+from interlake.llm._spark import new_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,7 +30,7 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of at most 1024."""
     docs = table(spark, sf_dir, "documents")
     pieces = packing.tokenized_pieces(docs, tokenizer=TOKENIZER, most=1024, end_id=2)
-    return packing.pack(pieces, n_rows=docs.count(), capacity=1024)
+    return packing.pack(pieces, n_rows=packing.expected_pieces(docs), capacity=1024)
 
 
 def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +69,10 @@ def op8_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text's bytes stored as telephony audio, read back, decoded and described."""
-    stored = telephony.store_payloads(table(spark, sf_dir, "documents"))
+    """Each text's bytes stored as telephony audio in a table in the shared folder, read back, decoded, resampled and described."""
+    folder = new_folder(spark, "telephony")
+    telephony.store_payloads(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(folder)
+    stored = spark.read.parquet(folder)
     read = telephony.decode_media(stored.select(F.struct("doc_id", "n_bytes").alias("row"), "media"), key="row", with_pcm=False, digests=True)
     return read.select("row.doc_id", "row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 

@@ -115,7 +115,9 @@ def parse_wave(media: bytes) -> tuple[int, int, int, bytes]:
         at += 8 + size + (size & 1)
     if fmt is None or data is None:
         raise ValueError("no fmt or no data chunk")
-    tag, _, rate, _, block = struct.unpack_from("<HHIIH", fmt)
+    tag, channels, rate, _, block = struct.unpack_from("<HHIIH", fmt)
+    if channels != 1:
+        raise ValueError("only mono files are read")
     return tag, rate, block, data
 
 
@@ -131,6 +133,8 @@ def expand(files: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
         else:
             raise ValueError(f"unknown WAVE format {tag}")
     for block, rows in by_block.items():
+        if block <= 4 or any(len(files[i][2]) % block for i in rows):
+            raise ValueError(f"ADPCM data that aren't whole blocks of {block} bytes")
         counts = [len(files[i][2]) // block for i in rows]
         pcm = decode_adpcm(np.frombuffer(b"".join(files[i][2][: k * block] for i, k in zip(rows, counts, strict=True)), np.uint8).reshape(-1, block))
         at = 0
@@ -175,7 +179,7 @@ def store_payloads(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 def decode_media(df: DataFrame, *, key: str = "doc_id", media: str = "media", up: int = 2, with_pcm: bool = True, digests: bool = False) -> DataFrame:
     """(key, rate, pcm binary: 16-bit little-endian at `up` times the rate, feature) of every media file; with digests also those of file and payload.
 
-    Null media give nulls. A file that isn't a WAVE file of a known format fails the job.
+    Null media give nulls. A file that isn't a mono WAVE file of a known format with whole blocks fails the job.
     """
     base = only(df, key=key, media=media)
     kind = base.schema["key"].dataType

@@ -160,7 +160,8 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, *, with_i
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, from the files that the manifest names.
 
     start counts the ids of all documents before, over all files in order; the manifest has a row
-    per file.
+    per file (some hundred thousand at 100 TB), and that is all that one task sums up. Files are
+    dealt out by ranges, one a task, so that reading is as wide as writing was.
     """
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("file", F.coalesce(F.sum("n_tokens").over(upto), F.lit(0)).alias("base"))
@@ -183,7 +184,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, *, with_i
                         yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return files.repartition(F.col("file")).mapInArrow(run, ddl)
+    return files.repartitionByRange(max(1, manifest.count()), "file").mapInArrow(run, ddl)
 
 
 def round_trip(docs: DataFrame, *, tokenizer: str, **options) -> DataFrame:

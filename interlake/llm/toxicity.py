@@ -137,7 +137,7 @@ class Lexicon:
         return out
 
     def candidates(self, texts: list[str]) -> np.ndarray:
-        """True for texts with a listed word or root (by hash; never a miss): only these need the grammar."""
+        """True for texts with a listed word or root, by the hashes of the words that clauses() finds: only these need the grammar."""
         out = np.zeros(len(texts), bool)
         for first, part in chunks([t.lower() for t in texts]):
             cps, offsets = codepoints(part)
@@ -169,14 +169,15 @@ def _among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
 
 
-def learn_lexicon(labelled: DataFrame, *, most: int = 20_000, support: int = 5, odds: float = 2.0, surprise: float = 20.0) -> Lexicon:
+def learn_lexicon(labelled: DataFrame, *, most: int = 1 << 20, support: int = 5, odds: float = 2.0, surprise: float = 20.0) -> Lexicon:
     """Insult words and roots from rows (text, toxic 0/1): all of them are counted.
 
     A word's evidence is the number of toxic texts that hold it, or of different words that
     follow it in them if those are fewer, so that copies of one text count once; against it
     stands the number of clean texts that hold the word. Roots (first 4 to 6 letters) add up
-    their words. Kept are those with enough support, log odds and log-likelihood ratio, the `most`
-    most frequent: that bounds what goes to the driver and out again.
+    their words. All with enough support, log odds and log-likelihood ratio are kept. They go to the
+    driver and out again: a lexicon of over `most` words or roots is an error, as its size is checked
+    before, and no entry is left out (raise `support` then).
     """
     words = labelled.select("toxic", F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
     following = F.arrays_zip(F.col("w").alias("w"), F.slice(F.col("w"), F.lit(2), F.size("w")).alias("next"))
@@ -194,14 +195,20 @@ def learn_lexicon(labelled: DataFrame, *, most: int = 20_000, support: int = 5,
         t, c = F.col("t"), F.col("c")
         odd = F.log((t + 0.5) / (c + 0.5)) - F.log(F.lit(share / (1 - share)))
         ratio = 2 * (t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0))
-        return df.filter(t >= least).withColumn("weight", odd).filter((odd >= odds) & (ratio >= surprise)).orderBy(F.desc("t"), "word").limit(most)
+        return df.filter(t >= least).withColumn("weight", odd).filter((odd >= odds) & (ratio >= surprise))
 
-    found = strong(both, support).collect()
+    def gathered(df: DataFrame) -> list:
+        got = df.limit(most + 1).collect()
+        if len(got) > most:
+            raise ValueError(f"more than {most} lexicon entries: raise support, odds or surprise")
+        return got
+
+    found = gathered(strong(both, support))
     roots = both.select(F.explode(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in ROOTS])).alias("word"), F.col("word").alias("whole"), "t", "c").filter("word is not null")
     roots = roots.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count_if(F.col("t") > 0).alias("n")).filter(F.col("n") >= 4)
-    rooted = strong(roots, 2 * support).collect()
-    words_kept = {r["word"]: min(r["weight"], 6.0) for r in found}
-    roots_kept = {r["word"]: min(r["weight"], 6.0) for r in rooted}
+    rooted = gathered(strong(roots, 2 * support))
+    words_kept = {r["word"]: r["weight"] for r in found}
+    roots_kept = {r["word"]: r["weight"] for r in rooted}
     return Lexicon(words_kept, roots_kept)
 
 
@@ -249,7 +256,7 @@ def score(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str = "
     """(doc_id, score, predicted) of every whole text; null and empty ones get the bias alone."""
     base = only(docs, doc_id=doc_id, text=text)
     kind = base.schema["doc_id"].dataType
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most `most` words and roots
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most `most` words and as many roots
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = pa.schema([("doc_id", to_arrow_type(kind)), ("score", pa.float64()), ("predicted", pa.int32())])

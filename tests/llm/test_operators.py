@@ -149,7 +149,7 @@ def test_embedding_links(spark):
     labels = [None if i % 17 == 0 else i % 2 for i in range(len(vectors))]
     rows = [(i, v, lab, 5, "k") for i, (v, lab) in enumerate(zip(vectors, labels, strict=True))]
     got = {r["vec_id"]: r for r in embedding_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n int, rep string")).collect()}
-    usable = embedding_dedup.usable(vectors)
+    usable = [v is not None and None not in v and bool(np.isfinite(v).all()) and bool(np.any(v)) for v in vectors]
     root, links = list(range(len(rows))), [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
@@ -322,3 +322,75 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.train(docs, labels)).count() == 0
     assert embedding_dedup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def _brute_links(vectors, labels, threshold=0.93):
+    """(links of each row, root of each row), by plain cosines."""
+    x = np.array(vectors, float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= threshold) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    while True:
+        new = np.minimum(root, np.where(near, root[None, :], len(x)).min(1))
+        if (new == root).all():
+            return near.sum(1), root
+        root = new
+
+
+def test_embedding_links_by_buckets_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 32)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    rnd = np.random.default_rng(16)
+    centres = rnd.standard_normal((120, 24))
+    vectors = [(c + 0.13 * rnd.standard_normal(24)).tolist() for c in centres for _ in range(5)]
+    vectors += [(centres[0] + 0.05 * rnd.standard_normal(24)).tolist() for _ in range(200)]  # a dense cluster that fills its buckets
+    labels = [i % 3 // 2 for i in range(len(vectors))]
+    order = rnd.permutation(len(vectors))
+    rows = [(int(i), vectors[i], labels[i]) for i in order]
+    got = {r.vec_id: r for r in embedding_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    links, root = _brute_links(vectors, labels)
+    found = np.array([got[i].n_links for i in range(len(vectors))])
+    assert (found <= links).all() and found.sum() >= 0.999 * links.sum()
+    assert np.mean([got[i].component_id == root[i] for i in range(len(vectors))]) > 0.99
+
+
+def test_doubles_are_not_rounded(spark):
+    """A pair whose cosine is below the threshold by less than single precision tells."""
+    c = 0.93 - 3e-9
+    rows = [(0, [1.0, 0.0], 1), (1, [c, (1 - c * c) ** 0.5], 1), (2, [1e-200, 0.0], 1), (3, [1e200, 0.0], 1)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: 2, 1: 0, 2: 2, 3: 2}
+
+
+def test_bit_estimate_holds_its_bound():
+    rnd = np.random.default_rng(9)
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rnd.standard_normal((2, 300, 100)))
+    signs, factor = embedding_dedup.encode(x)
+    codes = embedding_dedup.pack_signs(signs)
+    got, width = embedding_dedup.Query(q @ embedding_dedup.rotation(100, 1)).estimate(slice(0, 300), codes, np.bitwise_count(codes).sum(1, dtype=np.int64), factor, 4.0)
+    error = got - q @ x.T
+    assert abs(error.mean()) < 0.005 and (np.abs(error) <= width).mean() > 0.999
+
+
+def test_strays_of_a_full_bucket(spark, monkeypatch):
+    """Members of a bucket in other components than the largest meet all of it, block by block."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(1, 1 << 62, 60).astype(np.uint64)
+    sets = [np.sort(np.concatenate([base[i % 7 :], rnd.integers(1, 1 << 62, i % 7).astype(np.uint64)])) for i in range(40)]
+    component = [0] * 25 + list(range(25, 40))
+    darts = (minhash_dedup.signatures(sets, 125) >> np.uint64(16)).astype(np.uint16)
+    rows = [(i % 2, i, component[i], darts[i].tobytes(), sets[i].tobytes()) for i in range(40)]
+    got = minhash_dedup._joining(spark.createDataFrame(rows, "key long, rep long, component long, darts binary, shingles binary"), 0.8, 125).collect()
+
+    def roots(pairs):
+        root = {c: c for c in component}
+        for a, b in list(pairs) * 40:
+            lo, hi = sorted((root[component[a]], root[component[b]]))
+            root = {c: lo if r == hi else r for c, r in root.items()}
+        return root
+
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    want = [(a, b) for a in range(40) for b in range(a) if a % 2 == b % 2 and component[a] != component[b] and alike(a, b)]
+    assert roots([(r.a, r.b) for r in got]) == roots(want) and all(alike(r.a, r.b) for r in got)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Senders and subjects of automatic replies (fixed values; substrings).
@@ -36,22 +36,33 @@ def clamp(c: Column) -> Column:
 def thread_stats(mail: DataFrame) -> DataFrame:
     """One row per thread: counts, span, and the mean gap between messages in a row.
 
-    The gap window and the aggregate share one shuffle by thread.
+    Gaps between neighbours in time add up to last less first, so their mean is that over their number and needs no sort; senders are
+    made distinct before they are listed. Both passes sum up before they shuffle, so a hot thread is a row a task.
     """
-    at = Window.partitionBy("thread_id").orderBy("date_parsed", "id")
-    gaps = mail.withColumn("gap", seconds_between(instant(F.col("date_parsed")), instant(F.lag("date_parsed").over(at))))
-    return gaps.groupBy("thread_id").agg(
+    rows = mail.groupBy("thread_id", "from_email").agg(
+        F.min("subject").alias("subject"),
+        F.count(F.lit(1)).alias("n"),
+        F.count("date_parsed").alias("dated"),
+        F.count_if(F.col("is_sent")).alias("sent"),
+        F.count_if(F.col("is_sent") & F.col("in_reply_to").isNotNull()).alias("replies"),
+        F.min("date_parsed").alias("least"),
+        F.max("date_parsed").alias("most"),
+        F.bool_or("has_attachments").alias("has_attachments"),
+        F.sum("attachment_count").alias("attached"),
+    )
+    span = seconds_between(instant(F.max("most")), instant(F.min("least")))
+    return rows.groupBy("thread_id").agg(
         F.min("subject").alias("subject"),
         F.array_join(F.sort_array(F.collect_set("from_email")), ",").alias("participants"),
-        F.count(F.lit(1)).alias("email_count"),
-        F.count_if(F.col("is_sent")).alias("your_email_count"),
-        F.count_if(F.col("is_sent") & F.col("in_reply_to").isNotNull()).alias("your_reply_count"),
-        F.min("date_parsed").alias("started_at"),
-        F.max("date_parsed").alias("last_activity"),
-        F.round(seconds_between(instant(F.max("date_parsed")), instant(F.min("date_parsed"))), 6).alias("thread_duration_seconds"),
-        F.round(F.avg(F.when(F.col("gap") >= 0, F.col("gap"))), 6).alias("avg_response_time_seconds"),
+        F.sum("n").alias("email_count"),
+        F.sum("sent").alias("your_email_count"),
+        F.sum("replies").alias("your_reply_count"),
+        F.min("least").alias("started_at"),
+        F.max("most").alias("last_activity"),
+        F.round(span, 6).alias("thread_duration_seconds"),
+        F.round(F.when(F.sum("dated") > 1, span / (F.sum("dated") - 1)), 6).alias("avg_response_time_seconds"),
         F.bool_or("has_attachments").alias("has_attachments"),
-        F.coalesce(F.sum("attachment_count"), F.lit(0)).cast("long").alias("total_attachment_count"),
+        F.coalesce(F.sum("attached"), F.lit(0)).cast("long").alias("total_attachment_count"),
     )
 
 
@@ -97,8 +108,8 @@ def reverse_tracking(mail: DataFrame) -> DataFrame:
         human = human & ~subject.contains(word)
     answers = mail.filter(~F.col("is_sent") & F.col("in_reply_to").isNotNull()).filter(human).select(F.col("in_reply_to").alias("message_id"), F.col("date_parsed").alias("answer_at"))
     own = mail.filter("is_sent").select("id", "message_id", "date_parsed")
-    seconds = seconds_between(instant(F.min("answer_at")), instant(F.first("date_parsed")))
-    first = own.join(answers, "message_id").filter("answer_at > date_parsed").groupBy("id").agg(seconds.alias("s"))
+    first = own.join(answers, "message_id").filter("answer_at > date_parsed").groupBy("id", "date_parsed").agg(F.min("answer_at").alias("answer_at"))
+    first = first.select("id", seconds_between(instant(F.col("answer_at")), instant(F.col("date_parsed"))).alias("s"))
     return first.select("id", F.round("s", 6).alias("response_seconds"), response_bucket(F.col("s")).alias("timing"))
 
 
@@ -113,22 +124,28 @@ def roles(mail: DataFrame) -> DataFrame:
     return rows.select("*", F.lower(F.trim("p.email")).alias("email"), F.col("p.role").alias("role")).drop("p").filter(F.col("email").contains("@"))
 
 
-def contact_profile(mail: DataFrame) -> DataFrame:
-    """One row per address: messages from and to, threads, replies, first and last contact; one exploded pass and one aggregate."""
+def contact_profile(mail: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
+    """One row per address: messages from and to, threads, replies, first and last contact, importance (never of `own` addresses).
+
+    One exploded pass, summed up by address and thread first: the own address is in nearly every row, but only once in a thread.
+    """
     sender = F.col("role") == "from"
-    out = roles(mail).groupBy("email").agg(
+    by_thread = roles(mail).groupBy("email", "thread_id").agg(
         F.max(F.when(sender, F.col("from_name"))).alias("name"),
         F.count_if(sender).alias("emails_from"),
         F.count_if(~sender).alias("emails_to"),
-        F.count_distinct("thread_id").alias("threads_with"),
         F.count_if(sender & F.col("in_reply_to").isNotNull()).alias("reply_count"),
         F.min("date_parsed").alias("first_contact"),
         F.max("date_parsed").alias("last_contact"),
     )
+    out = by_thread.groupBy("email").agg(
+        F.max("name").alias("name"), F.sum("emails_from").alias("emails_from"), F.sum("emails_to").alias("emails_to"), F.count("thread_id").alias("threads_with"),
+        F.sum("reply_count").alias("reply_count"), F.min("first_contact").alias("first_contact"), F.max("last_contact").alias("last_contact"),
+    )
     rate = F.when(F.col("emails_to") > 0, F.least(F.lit(1.0), F.col("reply_count") / F.col("emails_to"))).when(F.col("emails_from") > 0, 0.0)
     out = out.withColumn("reply_rate", F.round(rate, 6))
     important = (F.col("emails_from") > 0) & (((F.col("reply_rate") >= 0.5) & (F.col("emails_to") >= 2)) | ((F.col("emails_from") >= 3) & (F.col("emails_to") >= 3)) | (F.col("reply_rate") >= 0.8))
-    return out.withColumn("is_important", F.coalesce(important, F.lit(False)))
+    return out.withColumn("is_important", F.coalesce(important, F.lit(False)) & ~F.col("email").isin(*[x.lower() for x in own]))
 
 
 def sender_counts(mail: DataFrame) -> DataFrame:
@@ -152,34 +169,67 @@ def user_initiated(mail: DataFrame) -> DataFrame:
     return mail.filter("is_sent").select(F.explode("to_emails").alias("to")).groupBy(F.lower("to").alias("sender")).agg(F.count(F.lit(1)).alias("user_initiated_count"))
 
 
-def sender_stats(mail: DataFrame) -> DataFrame:
+def sender_reply_rate(mail: DataFrame, reciprocity: str = "as_written") -> DataFrame:
+    """(sender, sender_reply_rate): the share of own messages that somebody has answered.
+
+    As written it is by the own address (and so nearly always 0 once joined with those who write to it); "counterpart" has it by recipient.
+    """
+    answered = mail.filter(~F.col("is_sent") & F.col("in_reply_to").isNotNull()).select(F.col("in_reply_to").alias("message_id")).distinct().withColumn("_answered", F.lit(1.0))
+    own = mail.filter("is_sent").join(answered, "message_id", "left").withColumn("_answered", F.coalesce("_answered", F.lit(0.0)))
+    who = F.lower("from_email") if reciprocity == "as_written" else F.lower(F.explode("to_emails"))
+    return own.select(who.alias("sender"), "_answered").groupBy("sender").agg(F.avg("_answered").alias("sender_reply_rate"))
+
+
+def sender_stats(mail: DataFrame, reciprocity: str = "as_written") -> DataFrame:
     """The statistics above side by side for every sender of received mail; missing ones are 0."""
-    out = sender_counts(mail).join(user_replies(mail), "sender", "left").join(user_initiated(mail), "sender", "left")
-    return out.fillna(0, ["user_replied_count", "user_initiated_count"]).fillna(0.0, ["avg_response_hours"])
+    out = sender_counts(mail).join(user_replies(mail), "sender", "left").join(user_initiated(mail), "sender", "left").join(sender_reply_rate(mail, reciprocity), "sender", "left")
+    return out.fillna(0, ["user_replied_count", "user_initiated_count"]).fillna(0.0, ["avg_response_hours", "sender_reply_rate"])
+
+
+def time_bucket(hour: Column) -> Column:
+    return F.when(hour.between(5, 11), "morning").when(hour.between(12, 16), "afternoon").when(hour.between(17, 20), "evening").otherwise("night")
+
+
+def business_hours(hour: Column, day: Column) -> Column:
+    """Monday to Friday from 9 to before 17."""
+    return (day <= 4) & (hour >= 9) & (hour < 17)
+
+
+def with_strength(rows: DataFrame) -> DataFrame:
+    """Adds user_replied_rate, user_initiated_ratio, days_since_last and strength to messages with their sender's statistics and as_of."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    every, begun = n("emails_all"), n("user_initiated_count")
+    rows = rows.withColumns({
+        "user_replied_rate": F.when(every > 0, n("user_replied_count") / every).otherwise(0.0),
+        "user_initiated_ratio": F.when(every + begun > 0, begun / (every + begun)).otherwise(0.0),
+        "days_since_last": n(floor_days(instant(F.col("as_of")), instant(F.col("last_received")))),
+    })
+    recency = 1 - F.least(F.col("days_since_last") / 90.0, F.lit(1.0))
+    total = 0.35 * F.least(n("emails_30d") / 10.0, F.lit(1.0)) + 0.45 * F.col("user_replied_rate") + 0.10 * F.coalesce("sender_reply_rate", F.lit(0.0)) + 0.05 * recency + 0.05 * F.col("user_initiated_ratio")
+    return rows.withColumn("strength", clamp(total))
+
+
+def urgency(strength: Column, days: Column, busy: Column, attached: Column) -> Column:
+    """0 to 1 from relationship, age in days, business hours and an attachment."""
+    recent = F.greatest(F.lit(0.0), 1 - days / 7.0)
+    return clamp(0.4 * strength + 0.3 * recent + 0.2 * F.when(busy, 1.0).otherwise(0.5) + 0.1 * F.when(attached, 1.0).otherwise(0.0))
 
 
 def time_features(mail: DataFrame) -> DataFrame:
     """Hour, weekday (Monday 0), time of day, weekend and business hours of received messages."""
     hour, day = F.coalesce(F.hour("date_parsed"), F.lit(0)).cast("long"), F.coalesce(F.weekday("date_parsed"), F.lit(0)).cast("long")
-    part = F.when(hour.between(5, 11), "morning").when(hour.between(12, 16), "afternoon").when(hour.between(17, 20), "evening").otherwise("night")
-    return mail.filter(~F.col("is_sent")).select("id", hour.alias("hour"), day.alias("day_of_week"), part.alias("time_bucket"), (day >= 5).alias("is_weekend"), ((day <= 4) & (hour >= 9) & (hour < 17)).alias("is_business_hours"))
+    return mail.filter(~F.col("is_sent")).select("id", hour.alias("hour"), day.alias("day_of_week"), time_bucket(hour).alias("time_bucket"), (day >= 5).alias("is_weekend"), business_hours(hour, day).alias("is_business_hours"))
 
 
-def relationship_features(mail: DataFrame) -> DataFrame:
-    """(id, relationship_strength, urgency_score) of received messages."""
+def relationship_features(mail: DataFrame, reciprocity: str = "as_written") -> DataFrame:
+    """(id, relationship_strength, urgency_score) of received messages; the only join is that with the sender's statistics."""
     as_of = mail.agg(F.max("date_parsed").alias("as_of"))
     got = mail.filter(~F.col("is_sent")).withColumn("sender", F.lower("from_email"))
-    base = got.join(sender_stats(mail), "sender", "left").join(time_features(mail).select("id", "is_business_hours"), "id").crossJoin(F.broadcast(as_of))
-    days = lambda c: floor_days(instant(F.col("as_of")), instant(F.col(c)))
-    frequency = F.least(F.col("emails_30d") / 10.0, F.lit(1.0))
-    engaged = F.col("user_replied_count") / F.greatest(F.col("emails_all"), F.lit(1))
-    begun = F.least(F.lit(1.0), F.col("user_initiated_count") / F.greatest(F.col("emails_all"), F.lit(1)))
-    strength = clamp(0.35 * frequency + 0.45 * engaged + 0.05 * (1 - F.least(days("last_received") / 90.0, F.lit(1.0))) + 0.05 * begun)
-    base = base.withColumn("strength", strength)
-    recent = F.greatest(F.lit(0.0), 1 - days("date_parsed") / 7.0)
-    attached = F.when(F.array_contains("labels", "Has attachment"), 1.0).otherwise(0.0)
-    urgency = clamp(0.4 * F.col("strength") + 0.3 * recent + 0.2 * F.when(F.col("is_business_hours"), 1.0).otherwise(0.5) + 0.1 * attached)
-    return base.select("id", F.round("strength", 6).alias("relationship_strength"), F.round(urgency, 6).alias("urgency_score"))
+    base = with_strength(got.join(sender_stats(mail, reciprocity), "sender", "left").crossJoin(F.broadcast(as_of)))
+    hour, day = F.coalesce(F.hour("date_parsed"), F.lit(0)), F.coalesce(F.weekday("date_parsed"), F.lit(0))
+    days = floor_days(instant(F.col("as_of")), instant(F.col("date_parsed")))
+    score = urgency(F.col("strength"), days, business_hours(hour, day), F.array_contains("labels", "Has attachment"))
+    return base.select("id", F.round("strength", 6).alias("relationship_strength"), F.round(score, 6).alias("urgency_score"))
 
 
 def label_histogram(mail: DataFrame, top: int = 50) -> DataFrame:

@@ -17,9 +17,10 @@ STATS_SQL = f""", counts AS (SELECT from_email AS sender, count(*) AS emails_all
   FROM mail, (SELECT max(date_parsed) AS a FROM mail) WHERE NOT is_sent GROUP BY 1),
 replies AS (SELECT r.from_email AS sender, count(DISTINCT r.id) AS user_replied_count, round(avg({SECONDS.format("s.date_parsed", "r.date_parsed")} / 3600), 6) AS avg_response_hours
   FROM mail r JOIN mail s ON s.in_reply_to = r.message_id WHERE s.is_sent AND NOT r.is_sent GROUP BY 1),
+rates AS (SELECT lower(from_email) AS sender, avg(CASE WHEN EXISTS (SELECT 1 FROM mail r WHERE r.in_reply_to = s.message_id AND NOT r.is_sent) THEN 1.0::DOUBLE ELSE 0 END) AS sender_reply_rate FROM mail s WHERE is_sent GROUP BY 1),
 begun AS (SELECT lower(t) AS sender, count(*) AS user_initiated_count FROM (SELECT unnest(to_emails) AS t FROM mail WHERE is_sent) GROUP BY 1),
-stats AS (SELECT counts.*, coalesce(user_replied_count, 0) AS user_replied_count, coalesce(avg_response_hours, 0) AS avg_response_hours, coalesce(user_initiated_count, 0) AS user_initiated_count
-  FROM counts LEFT JOIN replies USING (sender) LEFT JOIN begun USING (sender))
+stats AS (SELECT counts.*, coalesce(user_replied_count, 0) AS user_replied_count, coalesce(avg_response_hours, 0) AS avg_response_hours, coalesce(user_initiated_count, 0) AS user_initiated_count, coalesce(sender_reply_rate, 0) AS sender_reply_rate
+  FROM counts LEFT JOIN replies USING (sender) LEFT JOIN begun USING (sender) LEFT JOIN rates USING (sender))
 """
 TIME_SQL = """, hours AS (SELECT id, hour(date_parsed) AS h, isodow(date_parsed) - 1 AS d FROM mail WHERE NOT is_sent),
 times AS (SELECT id, h AS hour, d AS day_of_week, CASE WHEN h BETWEEN 5 AND 11 THEN 'morning' WHEN h BETWEEN 12 AND 16 THEN 'afternoon' WHEN h BETWEEN 17 AND 20 THEN 'evening' ELSE 'night' END AS time_bucket,
@@ -82,8 +83,8 @@ SELECT thread_id, min(subject) AS subject, string_agg(DISTINCT from_email, ',' O
     "sender_stats": MAIL_SQL + STATS_SQL + "SELECT * FROM stats",
     "time_features": MAIL_SQL + TIME_SQL + "SELECT * FROM times",
     "relationship_features": MAIL_SQL + STATS_SQL + TIME_SQL + """, joined AS (SELECT mail.*, stats.*, times.is_business_hours AS busy, (SELECT max(date_parsed) FROM mail) AS as_of FROM mail JOIN stats ON stats.sender = lower(mail.from_email) JOIN times ON times.id = mail.id WHERE NOT is_sent),
-strong AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.35::DOUBLE * least(emails_30d / 10.0::DOUBLE, 1.0) + 0.45::DOUBLE * (user_replied_count / emails_all)
-    + 0.05::DOUBLE * (1 - least(floor((epoch_us(as_of) - epoch_us(last_received)) / 86400000000) / 90.0::DOUBLE, 1.0)) + 0.05::DOUBLE * least(1.0::DOUBLE, user_initiated_count / emails_all))) AS strength FROM joined)
+strong AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.35::DOUBLE * least(emails_30d / 10.0::DOUBLE, 1.0) + 0.45::DOUBLE * (user_replied_count / emails_all) + 0.10::DOUBLE * sender_reply_rate
+    + 0.05::DOUBLE * (1 - least(floor((epoch_us(as_of) - epoch_us(last_received)) / 86400000000) / 90.0::DOUBLE, 1.0)) + 0.05::DOUBLE * (user_initiated_count / (emails_all + user_initiated_count)))) AS strength FROM joined)
 SELECT id, round(strength, 6) AS relationship_strength, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.4::DOUBLE * strength + 0.3::DOUBLE * greatest(0.0::DOUBLE, 1 - floor((epoch_us(as_of) - epoch_us(date_parsed)) / 86400000000) / 7.0::DOUBLE)
   + 0.2::DOUBLE * (CASE WHEN busy THEN 1.0 ELSE 0.5 END) + 0.1::DOUBLE * (CASE WHEN list_contains(labels, 'Has attachment') THEN 1.0 ELSE 0.0 END))), 6) AS urgency_score FROM strong""",
     "label_histogram": MAIL_SQL + "SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM mail) GROUP BY label ORDER BY n DESC, label LIMIT 50",

@@ -7,8 +7,10 @@ expressions read alike.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from functools import reduce
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -151,3 +153,129 @@ def parse_date(c: Column) -> Column:
     bare = strip(F.regexp_replace(F.regexp_replace(c, r"\s*\([^)]+\)\s*$", ""), WS + "+", " "))
     bare = F.regexp_replace(bare, r"^[A-Za-z]{3}, ", "")
     return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in DATE_FORMATS])
+
+
+#: Where a quotation begins or stands, line by line; what a header line begins with (fixed values).
+QUOTE_LINE = r"^>"
+QUOTE_HEAD = r"(?i)^On .+ wrote:$|^-+\s*(?:Forwarded message|Original Message)\s*-+$"
+HEADER_LINE = r"^(?:From|Sent|To|Subject|Date|Cc|Bcc):\s*.+$"
+HTML_SIGNS = ["<html", "<body", "<p", "<div", "<script", "<style", "<table", "<span"]
+
+
+def strip_quotes(c: Column) -> Column:
+    """Text without quoted replies: a fold over the lines that remembers whether it is in a quotation; '' for null.
+
+    Lines with '>' and reply or forward heads begin one, the next other line that isn't blank ends it; header
+    lines go and change nothing. Quotations within a line ("On ... wrote: > ...", " > ...") go first and last.
+    """
+    inline = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?im)On [^>]+wrote:\s*>.*$", "")
+    start = F.struct(F.lit(False).alias("quoted"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, line: Column) -> Column:
+        bare = strip(line)
+        begins = bare.rlike(QUOTE_LINE) | bare.rlike(QUOTE_HEAD)
+        header = bare.rlike(HEADER_LINE)
+        quoted = F.when(begins, True).when(header, acc["quoted"]).otherwise(acc["quoted"] & (bare == ""))
+        keep = ~begins & ~header & ~quoted
+        return F.struct(quoted.alias("quoted"), F.when(keep, F.array_append(acc["kept"], line)).otherwise(acc["kept"]).alias("kept"))
+
+    kept = F.aggregate(F.split(inline, "\n"), start, step, lambda acc: F.array_join(acc["kept"], "\n"))
+    return strip(F.regexp_replace(strip(kept), r"(?m)\s*>\s+\S.*$", ""))
+
+
+class _Visible(HTMLParser):
+    """Collects the text outside of elements that aren't shown."""
+
+    GONE = frozenset("script style head noscript iframe object applet".split())
+    VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, bool]] = []
+        self.hidden = 0
+        self.parts: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.VOID:
+            style = (dict(attrs).get("style") or "").lower()
+            gone = tag in self.GONE or bool(re.search(r"display:\s*none|visibility:\s*hidden", style))
+            self.open.append((tag, gone))
+            self.hidden += gone
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open:
+                last, gone = self.open.pop()
+                self.hidden -= gone
+                if last == tag:
+                    break
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def _visible(page: str | None) -> str:
+    parser = _Visible()
+    parser.feed(page or "")
+    parser.close()
+    return " ".join(" ".join(parser.parts).split())
+
+
+@F.pandas_udf(StringType())
+def visible_text(texts: pd.Series) -> pd.Series:
+    """Text of a page that a reader sees: without scripts, frames, comments and hidden elements, however deep; '' for null.
+
+    Nested hidden elements need a parser: an Arrow UDF.
+    """
+    return texts.map(_visible)
+
+
+def sanitize(c: Column, *, templates: bool = True, quotes: bool = True, signature: bool = True, characters: bool = True) -> Column:
+    """struct(text, original_length, sanitized_length, html_stripped, quotes_removed, signature_removed, reduction_ratio).
+
+    In this order: markup (if there is any), templates, quotations, signature, characters, whitespace. Template removal
+    makes one line of the text, so with it the line rules see that one line; a null or empty text gives '' and zeros.
+    """
+    raw = F.coalesce(c, F.lit(""))
+    marked = reduce(lambda a, b: a | b, [F.lower(raw).contains(sign) for sign in HTML_SIGNS])
+    plain = F.when(marked, visible_text(raw)).otherwise(raw)
+    bare = strip_template(plain) if templates else plain
+    unquoted = strip_quotes(bare) if quotes else bare
+    cut = strip_signature(unquoted)
+    text = cut["text"] if signature else unquoted
+    text = collapse_whitespace(normalize_chars(text) if characters else text)
+    return F.struct(
+        text.alias("text"), F.length(raw).alias("original_length"), F.length(text).alias("sanitized_length"), marked.alias("html_stripped"),
+        (F.length(unquoted) < F.length(bare)).alias("quotes_removed"), (cut["removed"] if signature else F.lit(False)).alias("signature_removed"),
+        F.when(F.length(raw) > 0, 1 - F.length(text) / F.length(raw)).otherwise(0.0).alias("reduction_ratio"),
+    )
+
+
+def legacy_clean(c: Column) -> Column:
+    """The older cleaning: markup, templates, then whole quoted lines."""
+    return strip_quotes(strip_template(html_to_text(c)))
+
+
+def preview_api(c: Column, most: int = 200) -> Column:
+    """The first characters as they are."""
+    return F.left(c, F.lit(most))
+
+
+def parse_address_api(c: Column) -> Column:
+    """struct(email, name) of a whole value 'Name <address>', '<address>' or 'address'; what has no '@' comes back trimmed as it is, '' for null."""
+    bare = strip(F.coalesce(c, F.lit("")))
+    named, framed = r'^"?([^"<]+)"?\s*<([^>]+)>$', r"^<([^>]+)>$"
+    name = strip(F.regexp_extract(bare, named, 1))
+    email = F.when(bare.rlike(named), F.lower(strip(F.regexp_extract(bare, named, 2)))).when(bare.rlike(framed), F.lower(strip(F.regexp_extract(bare, framed, 1)))).when(bare.contains("@"), F.lower(bare)).otherwise(bare)
+    return F.struct(email.alias("email"), F.when(bare.rlike(named) & (name != ""), name).alias("name"))
+
+
+def split_addresses_api(c: Column) -> Column:
+    """Values between commas outside of quotes, trimmed, without empty ones; null gives none."""
+    return F.coalesce(_unquoted(c), F.array().cast("array<string>"))
+
+
+def parse_date_api(c: Column) -> Column:
+    """parse_date(), and ISO dates in UTC with a Z; null for others."""
+    return F.coalesce(parse_date(F.regexp_replace(c, "Z$", "+00:00")), parse_date(c))

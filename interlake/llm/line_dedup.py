@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ from interlake.llm._spark import by_batch, checkpointed, only, sliced
 
 BLANKS = b" \t\n\x0b\x0c\r"
 _PIECE = 1 << 16  # bytes of a filter that travel together
+LEAST_BITS, MOST_BITS = 16, 28  # of a filter; a filter of 2^28 bits takes 32 MB
 
 
 def line_keys(text: str | None) -> tuple[list[bytes], list[bytes]]:
@@ -29,17 +31,19 @@ def digest(key: bytes) -> bytes:
 
 def _document_digests(text: str | None, least: int) -> list[bytes]:
     """Digests of the distinct keys of a text with at least `least` code points."""
-    keys = {k for k in line_keys(text)[1] if len(k) >= least}
-    if least > 1:
-        keys = {k for k in keys if len(k.decode("utf-8", "surrogatepass")) >= least}
-    return [digest(k) for k in keys]
+    return [digest(k) for k in {k for k in line_keys(text)[1] if _long_enough(k, least)}]
+
+
+def _long_enough(key: bytes, least: int) -> bool:
+    """Whether a key has at least `least` code points."""
+    return len(key) >= least and (least <= 1 or len(key.decode("utf-8", "surrogatepass")) >= least)
 
 
 def _first_lines(text: str | None, least: int) -> list[tuple[bytes, int]]:
     """_document_digests() with the first line of each key."""
     first: dict[bytes, int] = {}
     for n, k in enumerate(line_keys(text)[1]):
-        if len(k) >= least and (least <= 1 or len(k.decode("utf-8", "surrogatepass")) >= least):
+        if _long_enough(k, least):
             first.setdefault(k, n)
     return [(digest(k), n) for k, n in first.items()]
 
@@ -91,12 +95,22 @@ class TwoFilters:
                 yield i // _PIECE, zlib.compress(once[i : i + _PIECE].tobytes(), 1), zlib.compress(twice[i : i + _PIECE].tobytes(), 1)
 
 
+def fitting_bits(docs: DataFrame, text: str) -> int:
+    """A filter's size, as a power of two: 16 bits a line, MOST_BITS at most, so that it can go to every task.
+
+    Beyond 2^24 lines the filter fills up and lets more lines pass as suspects; at some 2^28 nearly all do. Each suspect
+    is counted exactly, after summing up within tasks, so a full filter costs a shuffle of 16 bytes a line, never a result.
+    """
+    t = F.col(f"`{text}`")
+    lines = docs.agg(F.sum(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * max(1, lines)))))
+
+
 def repeat_filter(keys_of, df: DataFrame, column: str, bits: int) -> DataFrame:
     """Pieces of the filter of keys seen at least twice (with false positives, never a miss).
 
     Each task fills its own two filters; two tasks' filters meet as once = a | b and
-    twice = a2 | b2 | (a & b), which holds every key that both have seen. The filter's size is
-    fixed, so a larger corpus only makes more suspects, each of which is then counted exactly.
+    twice = a2 | b2 | (a & b), which holds every key that both have seen.
     """
     made = pa.schema([("piece", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 
@@ -154,7 +168,7 @@ class Suspects:
         return _are_set(self.packed, at)
 
 
-def hot_keys(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int = 25, order: str | None = None) -> DataFrame:
+def hot_keys(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int | None = None, order: str | None = None) -> DataFrame:
     """Digests of the keys that at least min_docs rows hold, counted exactly among the suspects.
 
     Returns (key binary, n long), and with `order` also the key's first place: at (the least value of that
@@ -164,6 +178,7 @@ def hot_keys(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_cha
     docs = only(docs, text=text, **({"at": order} if order else {}))
     suspects = None
     if min_docs > 1:
+        filter_bits = filter_bits or fitting_bits(docs, "text")
         pieces = repeat_filter(lambda t: _document_digests(t, min_chars), docs, "text", filter_bits)
         suspects = Suspects(spark.sparkContext.broadcast(collect_filter(pieces, filter_bits)), filter_bits)
 
@@ -191,7 +206,7 @@ def hot_keys(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_cha
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
 
 
-def rewrite(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars", min_docs: int = 10, min_chars: int = 1, filter_bits: int = 25, broadcast_keys: int = 1 << 19, first_by: str | None = None) -> DataFrame:
+def rewrite(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars", min_docs: int = 10, min_chars: int = 1, filter_bits: int | None = None, broadcast_keys: int = 1 << 19, first_by: str | None = None) -> DataFrame:
     """The same rows and columns with the text that drop_lines() keeps and its number of characters; a null text stays null."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     packed = docs.select(F.struct(F.col(f"`{text}`").isNull().alias("_null"), *others).alias("row"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{first_by}`").alias("at")] if first_by else []))
@@ -202,7 +217,7 @@ def rewrite(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars", mi
 
 
 def drop_lines(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int = 25, broadcast_keys: int = 1 << 19, first_by: str | None = None
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int | None = None, broadcast_keys: int = 1 << 19, first_by: str | None = None
 ) -> DataFrame:
     """Drop every line whose key at least `min_docs` rows hold, in all of them; with first_by, its first occurrence
     (least value of that column, which must be unique, then first line) stays.
@@ -277,7 +292,7 @@ def _arrow_type(df: DataFrame, column: str = "doc_id") -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
-def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 1, filter_bits: int = 25) -> DataFrame:
+def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 1, filter_bits: int | None = None) -> DataFrame:
     """Keep only the first occurrence of each repeated key: smallest doc_id, then first line.
 
     Returns (doc_id, n_lines, n_dropped, kept). doc_id must be unique; ties within a document keep the earlier line.
@@ -290,13 +305,14 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", m
         ids, keys, at = [], [], []
         for i, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for n, k in enumerate(line_keys(value)[1]):
-                if len(k) >= min_chars:
+                if _long_enough(k, min_chars):
                     ids.append(i)
                     keys.append(digest(k))
                     at.append(n)
         return {"doc_id": ids, "key": keys, "line": at} if ids else None
 
-    pieces = repeat_filter(lambda t: [digest(k) for k in line_keys(t)[1] if len(k) >= min_chars], base, "text", filter_bits)
+    filter_bits = filter_bits or fitting_bits(base, "text")
+    pieces = repeat_filter(lambda t: [digest(k) for k in line_keys(t)[1] if _long_enough(k, min_chars)], base, "text", filter_bits)
     suspects = Suspects(docs.sparkSession.sparkContext.broadcast(collect_filter(pieces, filter_bits)), filter_bits)
 
     def suspect(batch):

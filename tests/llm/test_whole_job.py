@@ -176,3 +176,56 @@ def test_language_blocks_give_the_whole_bundle(monkeypatch):
         squeezed = [s for i, s in enumerate(symbols) if s or (i and symbols[i - 1])]
         total = sum((np.roll(signs[a], 2) * np.roll(signs[b], 1) * signs[c] for a, b, c in zip(squeezed, squeezed[1:], squeezed[2:])), np.zeros(64))
         assert np.allclose(row, total / (np.linalg.norm(total) or 1), atol=1e-5)
+
+
+def test_pipeline_by_small_steps(spark, tmp_path):
+    """Every stage of the pipeline against a plain version of it, on nulls, empty texts, copies, common lines and repeated sequences."""
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("aeioubcdfgl") for _ in range(rnd.randint(3, 8))) for _ in range(500)]
+    said = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    texts = [None, "", "12 34 !!", " \n "] + [said(rnd.randint(20, 400)) for _ in range(60)]
+    base = said(300).split()
+    for i in range(5):
+        copy = list(base)
+        copy[i * 7] = "changed"
+        texts.append(" ".join(copy))
+    texts += [texts[10]] * 3 + [said(30) + "\nthe same footer in all of these" for _ in range(12)]
+    rows = [(i, t, "en" if i % 2 else "de", [None, "a", "b"][i % 3], len(t or "")) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    known = stages["language_id"](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in known.collect()} == {i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
+    lined = {r.doc_id: r.text for r in stages["line_dedup"](spark, known, "").collect()}
+    assert lined == {r.doc_id: r.text if r.doc_id < 73 else r.text.split("\n")[0] for r in known.collect()}
+    kept = stages["minhash_dedup"](spark, stages["line_dedup"](spark, known, ""), "")
+    grams = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in lined.items()}
+    root = {i: i for i in lined}
+    for a in lined:
+        for b in lined:
+            if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    assert {r.doc_id for r in kept.collect()} == set(root.values())
+    mixed = stages["source_mixing"](spark, kept, "")
+    assert mixed.columns == docs.columns
+    copies = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert set(copies) <= set(root.values()) and max(copies.values()) <= 3
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    plain = Tokenizer.from_file(TOKENIZER)
+    for i, n in copies.items():
+        for c in range(n):
+            pieces = sorted((r for r in out if r.doc_id == i and r.copy == c), key=lambda r: r.piece)
+            ids = np.concatenate([np.frombuffer(r.ids, "<u2") for r in pieces]).tolist()
+            assert ids == [*plain.encode(lined[i], add_special_tokens=False).ids, 2]
+    assert len({(r.doc_id, r.piece, r.copy) for r in out}) == len(out)
+    filled = {}
+    for r in out:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in filled.values():
+        places.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0 and sum(n for _, n in places) <= 1024
+    empty = tmp_path / "none"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0

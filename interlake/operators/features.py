@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,19 +125,22 @@ def kmeans_clusters(matrix: DataFrame, columns: list[str], most: int, seeds: tup
 
     prob is 1 - distance / largest distance, 1 if all distances are 0. Columns are expected to be scaled. No rows give no rows.
     """
-    rows = matrix.select("id", array_to_vector(F.array(*columns) if len(columns) > 1 else F.col(columns[0])).alias("x")).cache()
-    try:
-        n = rows.limit(most).count()
-        if not n:
+    values = F.array(*columns) if len(columns) > 1 else F.col(columns[0])
+    rows = matrix.select("id", values.alias("v"))
+    kinds = [tuple(r["v"]) for r in rows.select("v").distinct().limit(most + 1).collect()]
+    if len(kinds) <= most:  # each different row is a cluster
+        if not kinds:
             return matrix.sparkSession.createDataFrame([], "id long, cluster int, prob double")
-        models = [KMeans(k=max(2, n), seed=s, featuresCol="x", predictionCol="cluster").fit(rows) for s in (seeds if n > 1 else seeds[:1])]
+        number = reduce(lambda out, kv: F.when(F.col("v") == F.array(*map(F.lit, kv[1])), kv[0]).otherwise(out), enumerate(sorted(kinds)), F.lit(None).cast("int"))
+        return rows.select("id", number.alias("cluster"), F.lit(1.0).alias("prob"))
+    rows = rows.select("id", array_to_vector("v").alias("x")).cache()
+    try:
+        models = [KMeans(k=most, seed=s, featuresCol="x", predictionCol="cluster").fit(rows) for s in seeds]
         best = min(models, key=lambda model: model.summary.trainingCost)
         centers = [c.tolist() for c in best.clusterCenters()]
     finally:
         rows.unpersist()
     centre = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in centers]), F.col("cluster") + 1)
-    from pyspark.ml.functions import vector_to_array
-
     square = F.aggregate(F.zip_with(vector_to_array("x"), centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     placed = best.transform(rows).select("id", "cluster", F.sqrt(square).alias("d"))
     far = placed.agg(F.max("d").alias("far"))

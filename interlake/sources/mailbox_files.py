@@ -1,7 +1,7 @@
 """Mailbox files and raw messages as rows.
 
-A mailbox file is cut at its 'From ' lines by the text source, which also deals large files out by byte ranges. Bytes that
-are not UTF-8 come as replacement characters. A message that can't be parsed gives a null record and stops nothing.
+A mailbox file is cut at its 'From ' lines by the text source, which also deals large files out by byte ranges; its messages stay
+bytes until each part is read by its own character set. A message that can't be parsed gives a record of nulls and stops nothing.
 """
 
 from __future__ import annotations
@@ -9,12 +9,13 @@ from __future__ import annotations
 import email
 import email.errors
 import email.header
+import re
 from email.message import Message
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, StringType, StructField, StructType
 
 #: Field of a record and its header (fixed values).
 HEADERS = {
@@ -50,11 +51,11 @@ def _text(part: Message) -> str:
         return data.decode("utf-8", "replace")
 
 
-def _record(raw: str | None) -> tuple | None:
+def _record(raw: str | bytes | None) -> tuple | None:
     if raw is None:
         return None
     try:
-        message = email.message_from_bytes(raw.encode("utf-8", "replace"))
+        message = email.message_from_bytes(raw.encode("utf-8", "replace") if isinstance(raw, str) else bytes(raw))
         parts = [p for p in message.walk() if not p.is_multipart()]
         shown = [p for p in parts if not _attached(p)]
         plain, rich = ("\n".join(_text(p) for p in shown if p.get_content_type() == kind) for kind in ("text/plain", "text/html"))
@@ -71,16 +72,66 @@ def _records(raw: pd.Series) -> pd.DataFrame:
 
 
 def parse_messages(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """Adds record, the parsed message of a raw RFC 5322 text; a record of nulls where that fails."""
+    """Adds record, the parsed message of a raw RFC 5322 text or its bytes; a record of nulls where that fails."""
     return raw.withColumn("record", _records(F.col(column)))
 
 
+@F.pandas_udf(BinaryType())
+def _message_bytes(chunk: pd.Series) -> pd.Series:
+    """A chunk without its separator's own line, and lines as they were before 'From ' was quoted in them."""
+    return chunk.map(lambda c: re.sub(rb"(?m)^>(>*From )", rb"\1", c.partition(b"\n")[2]))
+
+
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """(raw, raw_size_bytes, record) of every message of mailbox files."""
-    chunks = spark.read.option("lineSep", "\nFrom ").text(path).filter("value <> ''")
-    body = F.regexp_replace("value", r"\A[^\n]*\n", "")  # the separator's own line
-    raw = F.regexp_replace(body, r"(?m)^>(>*From )", "$1")
-    return parse_messages(chunks.select(raw.alias("raw"), F.octet_length("value").cast("long").alias("raw_size_bytes")))
+    """(raw, file, mbox_offset, raw_size_bytes, record) of every message of mailbox files.
+
+    mbox_offset is the byte at which the message's 'From ' line begins; raw_size_bytes counts what follows that line. A running sum
+    inside each byte range and one over the ranges of a file give the offset, so a large file stays dealt out.
+    """
+    cut = len("\nFrom ")
+    read = spark.read.option("lineSep", "\nFrom ").text(path)
+    chunks = read.select(
+        F.col("value").cast("binary").alias("chunk"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")
+    )
+    size = F.octet_length("chunk").cast("long") + cut
+    inside = Window.partitionBy("file", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = chunks.groupBy("file", "block").agg(F.sum(size).alias("bytes")).select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("from"))
+    placed = chunks.withColumn("behind", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(blocks, ["file", "block"]).filter("octet_length(chunk) > 0")
+    at = F.greatest(F.lit(0), F.col("from") + F.col("behind") - cut + 1)
+    rows = placed.select(_message_bytes("chunk").alias("raw"), "file", at.alias("mbox_offset"))
+    return parse_messages(rows.withColumn("raw_size_bytes", F.octet_length("raw").cast("long")))
+
+
+def label_counts(labels: DataFrame, column: str = "labels") -> DataFrame:
+    """(label, count) over the arrays of a column; a label twice in one message counts twice."""
+    return labels.select(F.explode(column).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+
+
+def mailbox_report(messages: DataFrame, *, body: str = "body", attached: str = "has_attachments", labels: str = "labels", top: int = 50) -> DataFrame:
+    """One row of an import: total_emails, emails_with_body, emails_with_attachments, n_labels, the `top` labels with counts, errors.
+
+    A row whose `attached` is null wasn't parsed: it is an error and counts nowhere else. All labels are in label_counts(); here only
+    the report's list of the most frequent ones (ties by name) is kept. No rows give zeros and an empty list.
+    """
+    read = F.col(attached).isNotNull()
+    figures = messages.agg(
+        F.count_if(read).alias("total_emails"), F.count_if(read & (F.col(body) != "")).alias("emails_with_body"), F.count_if(F.col(attached)).alias("emails_with_attachments"), F.count_if(~read).alias("errors")
+    )
+    counts = label_counts(messages.filter(read), labels)
+    first = counts.orderBy(F.desc("count"), "label").limit(top).agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("count"), "label"))).alias("found"))
+    first = first.select(F.transform("found", lambda x: F.struct(x["label"].alias("label"), (-x["count"]).alias("count"))).alias("label_counts"))
+    return figures.crossJoin(F.broadcast(counts.agg(F.count(F.lit(1)).alias("n_labels")))).crossJoin(F.broadcast(first))  # one row each
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """The one row of a report as JSON."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, letters unescaped and nulls kept, one file a partition."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

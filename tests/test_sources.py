@@ -42,6 +42,43 @@ def test_mbox(spark, tmp_path):
     assert got["<2@x>"].body.strip() == got["<2@x>"].body_html.strip() == "<p>rich</p>" and got["<2@x>"].has_attachments
 
 
+def test_mbox_bytes_and_offsets(spark, tmp_path):
+    latin = b"Message-ID: <n%d@x>\nContent-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: 8bit\nX-Gmail-Labels: Inbox\n\ncaf\xe9 %d"
+    messages = [b"From a@x Mon Jan 05\n" + latin % (n, n) + b"\nline" * (n % 7) for n in range(300)]
+    whole = b"\n".join(messages)
+    (tmp_path / "l.mbox").write_bytes(whole)
+    (tmp_path / "m.mbox").write_text("\n" + MBOX)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)  # many byte ranges a file
+    try:
+        rows = mf.read_mbox(spark, str(tmp_path)).select("mbox_offset", "raw_size_bytes", "raw", "record", F.element_at(F.split("file", "/"), -1).alias("f")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    found = sorted((r for r in rows if r.f == "l.mbox"), key=lambda r: r.mbox_offset)
+    at = 0
+    for n, (r, text) in enumerate(zip(found, messages, strict=True)):
+        assert (r.mbox_offset, bytes(r.raw)) == (at, text.partition(b"\n")[2]) and r.raw_size_bytes == len(r.raw)
+        assert r.record.message_id == f"<n{n}@x>" and r.record.body.startswith(f"caf\u00e9 {n}")
+        at += len(text) + 1
+    assert sorted(r.mbox_offset for r in rows if r.f == "m.mbox") == [1, 2 + MBOX.index("\nFrom b@x")]
+
+
+def test_report_and_json_lines(spark, tmp_path):
+    none = spark.createDataFrame([], "body string, has_attachments boolean, labels array<string>")
+    empty = mf.mailbox_report(none).collect()[0]
+    assert (empty.total_emails, empty.errors, empty.n_labels, empty.label_counts) == (0, 0, 0, [])
+    rows = spark.createDataFrame([("h\u00e9", True, ["b", "a"]), ("", False, ["b"]), (None, False, None), (None, None, ["z"])], none.schema)
+    got = mf.mailbox_report(rows, top=1).collect()[0]
+    assert (got.total_emails, got.emails_with_body, got.emails_with_attachments, got.errors, got.n_labels) == (3, 1, 1, 1, 2)
+    assert [tuple(x) for x in got.label_counts] == [("b", 2)]
+    mf.write_report(mf.mailbox_report(rows), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first().errors == 1
+    mf.write_jsonl(rows, str(tmp_path / "lines"))
+    text = "".join(r.value for r in spark.read.text(str(tmp_path / "lines")).collect())
+    assert "h\u00e9" in text and '"labels":null' in text
+    assert mf.read_jsonl(spark, str(tmp_path / "lines"), none.schema).count() == 4
+
+
 def test_raw_nulls_and_empty_texts(spark):
     rows = mf.parse_messages(spark.createDataFrame([(1, None), (2, ""), (3, "no header at all")], "id int, raw string")).select("id", "record.message_id", "record.body").collect()
     assert {r.id: r.message_id for r in rows} == {1: None, 2: None, 3: None}

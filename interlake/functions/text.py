@@ -32,6 +32,7 @@ TYPOGRAPHIC = {"“": '"', "”": '"', "‘": "'", "’": "'", "—": "-", "–"
 ZERO_WIDTH = "[\u200b-\u200d\ufeff]"
 DATE_FORMATS = ["d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
 MARKUP = [r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<head\b.*?</head\s*>", r"(?s)<[^>]*>"]
+NOSCRIPT = r"(?is)<noscript\b.*?</noscript\s*>"
 
 
 def strip(c: Column) -> Column:
@@ -252,9 +253,29 @@ def sanitize(c: Column, *, templates: bool = True, quotes: bool = True, signatur
     )
 
 
-def legacy_clean(c: Column) -> Column:
-    """The older cleaning: markup, templates, then whole quoted lines."""
-    return strip_quotes(strip_template(html_to_text(c)))
+#: Lines that end a message, and heads of lines that belong to a quotation, for the older cleaner (fixed values).
+LEGACY_ENDS = ["--", "---", "Sent from my iPhone", "Sent from my iPad"]
+LEGACY_QUOTED = [r"^>", r"^On [^\n]+ wrote:\z", r"^(From|Sent|To|Subject|Date):"]
+
+
+def legacy_strip_html(c: Column) -> Column:
+    """html_to_text() that also leaves out noscript elements; '' for null."""
+    return html_to_text(F.regexp_replace(F.coalesce(c, F.lit("")), NOSCRIPT, " "))
+
+
+def legacy_strip_templates(c: Column) -> Column:
+    """strip_template() without the percent tags of pages; '' for null."""
+    bare = reduce(lambda t, p: F.regexp_replace(t, p, ""), TEMPLATES[:3], F.coalesce(c, F.lit("")))
+    return strip(F.regexp_replace(bare, WS + "+", " "))
+
+
+def legacy_strip_quotes(c: Column) -> Column:
+    """Lines before the first that ends the message, without quoted and header lines; '' for null."""
+    lines = F.split(F.coalesce(c, F.lit("")), "\n")
+    end = F.array_position(F.transform(lines, lambda x: strip(x).isin(LEGACY_ENDS)), F.lit(True)).cast("int")
+    before = F.when(end > 0, F.slice(lines, F.lit(1), end - 1)).otherwise(lines)
+    quoted = lambda x: reduce(lambda a, b: a | b, [strip(x).rlike(p) for p in LEGACY_QUOTED])
+    return strip(F.array_join(F.filter(before, lambda x: ~quoted(x)), "\n"))
 
 
 def preview_api(c: Column, most: int = 200) -> Column:

@@ -153,9 +153,17 @@ def cluster_dimension(matrix: DataFrame, dimension: str) -> DataFrame:
     return kmeans_clusters(standard_scale(matrix, *columns), columns, MOST_CLUSTERS[dimension])
 
 
-def cluster_content(vectors: DataFrame, most: int = MOST_CLUSTERS["content"]) -> DataFrame:
-    """(id, cluster, prob) of embeddings, without scaling."""
-    return kmeans_clusters(vectors.select("id", F.col("embedding").alias("x")), ["x"], most)
+def cluster_content(vectors: DataFrame, most: int = MOST_CLUSTERS["content"], noise: float = 0.0) -> DataFrame:
+    """(id, cluster, prob) of embeddings, without scaling.
+
+    noise: this share of the rows, those farthest from their centres, gets cluster -1 and prob 0; none by default, and never rows that lie on their centre.
+    """
+    found = kmeans_clusters(vectors.select("id", F.col("embedding").alias("x")), ["x"], most)
+    if not noise:
+        return found
+    edge = found.agg(F.percentile_approx("prob", noise, 10_000).alias("edge"))
+    far = (F.col("prob") <= F.col("edge")) & (F.col("prob") < 1)
+    return found.crossJoin(F.broadcast(edge)).select("id", F.when(far, -1).otherwise(F.col("cluster")).alias("cluster"), F.when(far, 0.0).otherwise(F.col("prob")).alias("prob"))
 
 
 def merge_clusters(people: DataFrame, content: DataFrame, behavior: DataFrame, service: DataFrame, temporal: DataFrame) -> DataFrame:

@@ -52,7 +52,21 @@ def page_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", t.html_to_text(F.col("html")).alias("text"))
 
 
-QUERIES = {"text_features": text_features, "cleaned_text": cleaned_text, "header_values": header_values, "html_to_text": page_text}
+def legacy_page_text(spark, sf_dir):
+    """Text of every page, with a part for readers without scripts, by the older cleaner."""
+    page = F.concat(F.lit("<noscript>no <b>scripts</b></noscript >"), "html")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", t.legacy_strip_html(page).alias("text"))
+
+
+def legacy_cleaners(spark, sf_dir):
+    """The older template and quotation cleaners on every document, between template tags and quoted lines."""
+    tagged = F.concat(F.lit("{% if x %}{{ a\n}} <% stays %>"), F.coalesce("text", F.lit("")), F.lit("{# note #}  end "))
+    ends = F.when(F.col("doc_id") % 2 == 0, " -- ").otherwise("-- Ann")
+    lines = F.concat_ws("\n", F.lit(" > one"), F.lit("On Monday Ann wrote:"), "text", F.lit("Subject: old"), F.lit("On Monday Ann wrote: this"), ends, F.lit("after"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(t.legacy_strip_templates(tagged)).alias("untemplated"), F.md5(t.legacy_strip_quotes(lines)).alias("unquoted"))
+
+
+QUERIES = {"text_features": text_features, "cleaned_text": cleaned_text, "header_values": header_values, "html_to_text": page_text, "legacy_strip_html": legacy_page_text, "legacy_strip": legacy_cleaners}
 
 
 def _replace(text: str, pattern: str, to: str) -> str:
@@ -70,7 +84,29 @@ GAPS = rf"regexp_replace(text, '\n{t.WS}*\n', chr(10) || chr(10), 'g')"
 COLLAPSED = _strip(f"regexp_replace({_replace(GAPS, t.INLINE_WS + '+', ' ')}, ' ?\\n ?', chr(10), 'g')")
 NORMAL = reduce(lambda x, kv: "replace({}, '{}', '{}')".format(x, kv[0], kv[1].replace("'", "''")), t.TYPOGRAPHIC.items(), "nfc_normalize(text)")
 
+#: The entities that the pages hold; the ampersand comes last, so that none is read twice.
+ENTITIES = {"&quot;": '"', "&middot;": "·", "&copy;": "©", "&amp;": "&"}
+
+
+def _page_sql(page: str) -> str:
+    bare = reduce(lambda x, p: _replace(x, p, " "), t.MARKUP, page)
+    return _strip(_replace(reduce(lambda x, kv: f"replace({x}, '{kv[0]}', '{kv[1]}')", ENTITIES.items(), bare), t.WS + "+", " "))
+
+
+NOSCRIPT_PAGE = _replace("('<noscript>no <b>scripts</b></noscript >' || html)", t.NOSCRIPT, " ")
+TAGGED = "('{% if x %}{{ a' || chr(10) || '}} <% stays %>' || coalesce(text, '') || '{# note #}  end ')"
+LEGACY_UNTEMPLATED = _strip(_replace(reduce(lambda x, p: _replace(x, p, ""), t.TEMPLATES[:3], TAGGED), t.WS + "+", " "))
+LEGACY_LINES = "string_split(concat_ws(chr(10), ' > one', 'On Monday Ann wrote:', text, 'Subject: old', 'On Monday Ann wrote: this', CASE WHEN doc_id % 2 = 0 THEN ' -- ' ELSE '-- Ann' END, 'after'), chr(10))"
+LEGACY_ENDS = ", ".join(f"'{x}'" for x in t.LEGACY_ENDS)
+
 ORACLES = {
+    "html_to_text": f"SELECT page_id, {_page_sql('html')} AS text FROM pages",
+    "legacy_strip_html": f"SELECT page_id, {_page_sql(NOSCRIPT_PAGE)} AS text FROM pages",
+    "legacy_strip": rf"""WITH lines AS (SELECT doc_id, md5({LEGACY_UNTEMPLATED}) AS untemplated, unnest({LEGACY_LINES}) AS line, generate_subscripts({LEGACY_LINES}, 1) AS n FROM documents),
+bare AS (SELECT *, {_strip("line")} AS b FROM lines),
+told AS (SELECT *, min(CASE WHEN b IN ({LEGACY_ENDS}) THEN n END) OVER (PARTITION BY doc_id) AS stop FROM bare)
+SELECT doc_id, any_value(untemplated) AS untemplated, md5({_strip("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE (stop IS NULL OR n < stop) AND NOT starts_with(b, '>') AND NOT regexp_matches(b, '^On [^\n]+ wrote:$') AND NOT regexp_matches(b, '^(From|Sent|To|Subject|Date):')), '')")}) AS unquoted
+FROM told GROUP BY doc_id""",
     "text_features": rf"""SELECT doc_id, CAST(coalesce(len(list_filter(regexp_split_to_array(text, '{t.WS}+'), lambda w: w <> '')), 0) AS BIGINT) AS words,
   CASE WHEN text <> '' THEN CASE WHEN length({FLAT}) > 200 THEN left({FLAT}, 200) || '...' ELSE {FLAT} END END AS preview, left(sha256(text), 16) AS hash,
   length(text) // 2 AS tokens, CASE WHEN length(text) > 16000 THEN 16003 ELSE length(text) END AS truncated FROM documents""",

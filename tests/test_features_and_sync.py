@@ -65,6 +65,18 @@ def test_kmeans_invariants(spark):
     assert abs(scaled.m) < 1e-9 and abs(scaled.s - 1) < 1e-9 and scaled.c == 0
 
 
+def test_far_content_is_noise_only_if_asked(spark):
+    rows = [(i, [float(i % 2) * 10 + (0.01 * i if i < 38 else 4.0), 1.0]) for i in range(40)]
+    table = spark.createDataFrame(rows, "id long, embedding array<double>")
+    plain = {r.id: r.cluster for r in features.cluster_content(table, 2).collect()}
+    noisy = {r.id: (r.cluster, r.prob) for r in features.cluster_content(table, 2, noise=0.05).collect()}
+    assert set(plain.values()) == {0, 1}
+    assert {i for i, (c, _) in noisy.items() if c == -1} == {38, 39} and noisy[38] == (-1, 0.0)
+    assert all(noisy[i][0] == plain[i] for i in range(38))
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3)], "id long, embedding array<double>")
+    assert {r.cluster for r in features.cluster_content(same, 2, noise=0.5).collect()} == {0}
+
+
 def test_patches_and_pages(spark):
     rows = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, None, 7)], "k int, x string, y int")
     new = spark.createDataFrame([(1, None), (3, "c"), (9, "z")], "k int, x string")

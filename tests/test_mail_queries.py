@@ -27,7 +27,7 @@ ORACLES = {n: s for p in PLANS for n, s in p.ORACLES.items()}
 def test_oracle(spark, name):
     db = duckdb.connect()
     db.execute("SET TimeZone = 'UTC'")
-    for table in ("events", "documents", "embeddings"):
+    for table in ("events", "documents", "embeddings", "pages"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = QUERIES[name](spark, SF)
     want = db.sql(ORACLES[name])

@@ -38,6 +38,13 @@ def test_cleaners(spark):
     assert values(spark, t.truncate_tokens, ["x" * 16001, "x" * 16000]) == ["x" * 16000 + "...", "x" * 16000]
 
 
+def test_older_cleaners(spark):
+    assert values(spark, t.legacy_strip_html, ["<noscript>n</noscript><p>a&amp;b</p> <head>h</head>c", None, ""]) == ["a&b c", "", ""]
+    assert values(spark, t.legacy_strip_templates, ["a {{ b\nc }} d\n{% if %}e{# f #}<% g %>", None, ""]) == ["a d e<% g %>", "", ""]
+    quoted = ["hi\n> old\n On Monday Ann wrote:\nTo: me\nfrom: kept\n --\nAnn", "--\nx", "-- x\nOn y wrote: z", "Sent from my iPad", None, ""]
+    assert values(spark, t.legacy_strip_quotes, quoted) == ["hi\nfrom: kept", "", "-- x\nOn y wrote: z", "", "", ""]
+
+
 def test_project_status_edges(spark):
     table = spark.createDataFrame([(14,), (15,), (30,), (31,), (None,)], "d int")
     assert [r.s for r in table.select(c.project_status(F.col("d")).alias("s")).collect()] == ["active", "stale", "stale", "completed", "stale"]

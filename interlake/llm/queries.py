@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from interlake.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, suffix_dedup, telephony, token_files, toxicity
+from interlake.llm import embedding_dedup, filter_audit, language_id, line_dedup, minhash_dedup, mixing, packing, sharding, suffix_dedup, telephony, token_files, toxicity, whitening
 from interlake.llm._spark import new_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,6 +82,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer=TOKENIZER, end_id=2)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened values of every usable embedding on the first 16 components, and how well they are white."""
+    return whitening.by_component(whitening.fit_and_apply(table(spark, sf_dir, "embeddings"), scale=64, shift=1_000_000, k=16))
+
+
+def op12_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 contiguous shards of near-equal bytes."""
+    placed = sharding.assign(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at each step of all 120 orders, for each language."""
+    masks = filter_audit.failures(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.with_labels(masks, table(spark, sf_dir, "labels")))
+
+
 OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
@@ -109,6 +126,47 @@ SELECT doc_id, size, CAST(t.source_size AS BIGINT) AS source_size, target,
 FROM run JOIN targets t ON run.source IS NOT DISTINCT FROM t.source
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE powers(n, c, k) AS (
+  SELECT n, n::BIGINT, 0 FROM range(256) t(n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM powers WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS tab FROM powers WHERE k = 8),
+docs AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
+bytes AS (SELECT doc_id, size, list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: ('0x' || p)::BIGINT)) AS b FROM docs),
+summed AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(b, lambda acc, x: xor(acc >> 8, crc.tab[(xor(acc, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, crc),
+run AS (SELECT *, sum(size) OVER () AS total, sum(size) OVER (ORDER BY doc_id ASC NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto,
+    row_number() OVER (ORDER BY doc_id ASC NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS nth FROM summed),
+placed AS (SELECT *, CAST(least(15, (2 * upto - size) * 16 // (2 * total)) AS INTEGER) AS shard FROM run)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(nth - min(nth) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed
+"""
+
+OP13_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+firsts AS (SELECT text, min(doc_id) AS least FROM docs GROUP BY text),
+said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END)
+      + (CASE WHEN 100 * len(regexp_extract_all(d.text, '[A-Z]')) > 10 * length(d.text) THEN 4 ELSE 0 END)
+      + (CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN d.doc_id > least THEN 16 ELSE 0 END) AS mask,
+    count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM worded d JOIN firsts f ON d.text = f.text LEFT JOIN said s ON d.doc_id = s.doc_id GROUP BY ALL),
+letters(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS earlier FROM orders, range(1, 6) t(step)),
+made AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (earlier + bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & earlier > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM steps, cells GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM made
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
@@ -120,6 +178,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_water_filling_mix": op8_water_filling_mix,
     "op9_telephony_audio": op9_telephony_audio,
     "op10_token_files": op10_token_files,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_prefix_sum_shards": op12_prefix_sum_shards,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op8_water_filling_mix": OP8_SQL}
+ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op8_water_filling_mix": OP8_SQL, "op12_prefix_sum_shards": OP12_SQL, "op13_filter_audit": OP13_SQL}

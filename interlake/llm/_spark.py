@@ -8,8 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,3 +63,44 @@ def by_batch(fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch | None], schem
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under fixed names, so that clashing extra columns play no part."""
     return df.select(*[F.col(f"`{src}`").alias(name) for name, src in columns.items()])
+
+
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """Adds `nth`, each row's place from 0 in this order over all rows: range partitions, their counts, and a running number inside each."""
+    parts = checkpointed(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row a partition
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return parts.join(F.broadcast(counts), "part").withColumn("nth", (F.col("base") + inside).cast("long")).drop("part", "base")
+
+
+class Documents:
+    """Rows (doc_id, text) with a whole number `doc` of each document, in the order of doc_id.
+
+    A document is a doc_id with a text: rows equal in both are one, rows of one doc_id with other texts several, in the order of a hash of their texts.
+    Null ids come last (or first). Where doc_id is a whole number, never null and has one text each, doc is doc_id itself; else documents
+    are numbered. `plain` tells which, `repeats` whether a doc_id stands in several rows.
+    """
+
+    def __init__(self, df: DataFrame, doc_id: str, text: str, *, nulls_first: bool = False, keep_row: bool = False):
+        rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if keep_row else []))
+        tagged = rows.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length("text")))
+        whole = isinstance(rows.schema["doc_id"].dataType, IntegralType)
+        # Counts of ids, not of texts, shuffle: 24 bytes a row.
+        per_id = tagged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), (F.min("tag") != F.max("tag")).alias("differs"))
+        found = per_id.agg(F.coalesce(F.max("n") > 1, F.lit(False)).alias("repeats"), F.coalesce(F.bool_or(F.col("differs") | F.col("doc_id").isNull()), F.lit(False)).alias("odd")).first()
+        self.repeats, self.plain = found["repeats"], whole and not found["odd"]
+        if self.plain:
+            self.rows = rows.withColumn("doc", F.col("doc_id").cast("long"))
+            return
+        order = F.col("doc_id").asc_nulls_first() if nulls_first else F.col("doc_id").asc_nulls_last()
+        self.names = checkpointed(numbered(tagged.select("doc_id", "tag").distinct(), order, F.col("tag").asc()).select(F.col("doc_id").alias("name"), F.col("tag").alias("own_tag"), F.col("nth").alias("doc")))
+        both = tagged.join(self.names, tagged["doc_id"].eqNullSafe(self.names["name"]) & (F.col("tag") == F.col("own_tag")))
+        self.rows = both.drop("tag", "own_tag", "name")
+
+    def named(self, df: DataFrame, *columns: str) -> DataFrame:
+        """df with these columns of document numbers turned into doc_ids again."""
+        for c in () if self.plain else columns:
+            names = self.names.select(F.col("doc").alias("own"), F.col("name"))
+            df = df.join(names, df[c] == names["own"]).withColumn(c, F.col("name")).drop("own", "name")
+        return df

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from interlake.llm._spark import by_batch, checkpointed, only, sliced
 
@@ -168,68 +169,80 @@ class Suspects:
         return _are_set(self.packed, at)
 
 
-def hot_keys(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int | None = None, order: str | None = None) -> DataFrame:
-    """Digests of the keys that at least min_docs rows hold, counted exactly among the suspects.
+def _ids_repeat(docs: DataFrame, column: str) -> bool:
+    """Whether a value of the column other than null stands in several rows: ids alone shuffle."""
+    return not docs.select(column).filter(F.col(column).isNotNull()).groupBy(column).count().filter("count > 1").isEmpty()
 
+
+def hot_keys(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int | None = None, order: str | None = None, doc_id: str | None = None) -> DataFrame:
+    """Digests of the keys that at least min_docs documents hold, counted exactly among the suspects.
+
+    Rows of one doc_id are one document; rows of null doc_id, and all rows without doc_id given, are documents of their own. Where no
+    doc_id repeats, keys are summed up within tasks; else (key, doc_id) pairs are told apart first, spread by both.
     Returns (key binary, n long), and with `order` also the key's first place: at (the least value of that
     column) and line. With min_docs 1 every key counts and no filter is needed.
     """
     spark = docs.sparkSession
-    docs = only(docs, text=text, **({"at": order} if order else {}))
+    docs = only(docs, text=text, **({"at": order} if order else {}), **({"doc": doc_id} if doc_id else {}))
     suspects = None
     if min_docs > 1:
         filter_bits = filter_bits or fitting_bits(docs, "text")
         pieces = repeat_filter(lambda t: _document_digests(t, min_chars), docs, "text", filter_bits)
         suspects = Suspects(spark.sparkContext.broadcast(collect_filter(pieces, filter_bits)), filter_bits)
+    by_doc = doc_id is not None and min_docs > 1 and _ids_repeat(docs, "doc")
+    names = ["key", *(["at", "line"] if order else []), *(["doc"] if by_doc else [])]
 
     def emit(batch):
+        ids = batch.column(batch.schema.get_field_index("doc")).to_pylist() if by_doc else [None] * batch.num_rows
+        places = batch.column(batch.schema.get_field_index("at")).to_pylist() if order else [None] * batch.num_rows
         out = []
-        for value in batch.column(0).to_pylist():
-            found = _document_digests(value, min_chars)
-            out += found if suspects is None else [d for d, yes in zip(found, suspects(found), strict=True) if yes]
-        return {"key": out} if out else None
-
-    def emit_places(batch):
-        out = []
-        for value, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = _first_lines(value, min_chars)
+        for value, at, own in zip(batch.column(0).to_pylist(), places, ids, strict=True):
+            found = _first_lines(value, min_chars) if order else [(d, 0) for d in _document_digests(value, min_chars)]
             yes = [True] * len(found) if suspects is None else suspects([d for d, _ in found])
-            out += [(d, at, n) for (d, n), y in zip(found, yes, strict=True) if y]
-        return dict(zip(("key", "at", "line"), zip(*out, strict=True), strict=True)) if out else None
-
-    if order:
-        schema = pa.schema([("key", pa.binary()), ("at", _arrow_type(docs, "at")), ("line", pa.int32())])
-        places = docs.mapInArrow(by_batch(emit_places, schema), f"key binary, at {docs.schema['at'].dataType.simpleString()}, line int")
-        found = places.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "line")).alias("first"))
-        return found.filter(F.col("n") >= min_docs).select("key", "n", "first.at", "first.line")
-    rows = docs.mapInArrow(by_batch(emit, pa.schema([("key", pa.binary())])), "key binary")
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
+            out += [(d, *((at, n) if order else ()), *((own,) if by_doc else ())) for (d, n), y in zip(found, yes, strict=True) if y]
+        return dict(zip(names, zip(*out, strict=True), strict=True)) if out else None
+
+    fields = [("key", pa.binary())] + ([("at", _arrow_type(docs, "at")), ("line", pa.int32())] if order else []) + ([("doc", _arrow_type(docs, "doc"))] if by_doc else [])
+    listed = "key binary" + (f", at {docs.schema['at'].dataType.simpleString()}, line int" if order else "") + (f", doc {docs.schema['doc'].dataType.simpleString()}" if by_doc else "")
+    found = docs.mapInArrow(by_batch(emit, pa.schema(fields)), listed)
+    first = [F.min(F.struct("at", "line")).alias("first")] if order else []
+    if by_doc:  # rows without an id count each
+        pairs = found.groupBy("key", "doc").agg(F.count(F.lit(1)).alias("rows"), *first)
+        first = [F.min("first").alias("first")] if order else []
+        counted = pairs.groupBy("key").agg(F.sum(F.when(F.col("doc").isNull(), F.col("rows")).otherwise(1)).alias("n"), *first)
+    else:
+        counted = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *first)
+    hot = counted.filter(F.col("n") >= min_docs)
+    return hot.select("key", "n", "first.at", "first.line") if order else hot.select("key", "n")
 
 
-def rewrite(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars", min_docs: int = 10, min_chars: int = 1, filter_bits: int | None = None, broadcast_keys: int = 1 << 19, first_by: str | None = None) -> DataFrame:
+def rewrite(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars", min_docs: int = 10, min_chars: int = 1, filter_bits: int | None = None, broadcast_keys: int = 1 << 19, first_by: str | None = None, doc_id: str = "doc_id") -> DataFrame:
     """The same rows and columns with the text that drop_lines() keeps and its number of characters; a null text stays null."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    packed = docs.select(F.struct(F.col(f"`{text}`").isNull().alias("_null"), *others).alias("row"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{first_by}`").alias("at")] if first_by else []))
-    kept = drop_lines(packed, doc_id="row", text="text", min_docs=min_docs, min_chars=min_chars, filter_bits=filter_bits, broadcast_keys=broadcast_keys, first_by="at" if first_by else None)
-    new = F.when(~F.col("doc_id._null"), F.col("kept"))
+    others = [c for c in docs.columns if c != text]
+    row = F.struct(F.col(f"`{text}`").isNull().alias("empty"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    packed = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{first_by}`").alias("at")] if first_by else []), *([F.col(f"`{doc_id}`").alias("doc")] if doc_id in docs.columns else []))
+    kept = drop_lines(
+        packed, doc_id="row", text="text", min_docs=min_docs, min_chars=min_chars, filter_bits=filter_bits, broadcast_keys=broadcast_keys, first_by="at" if first_by else None, count_by="doc" if doc_id in docs.columns else None
+    )
+    new = F.when(~F.col("doc_id.empty"), F.col("kept"))
     made = {text: new, n_chars: F.length(new).cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {text: new}
-    return kept.select(*[(made[c] if c in made else F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns])
+    return kept.select(*[(made[c] if c in made else F.col(f"doc_id.c{others.index(c)}")).alias(c) for c in docs.columns])
 
 
 def drop_lines(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int | None = None, broadcast_keys: int = 1 << 19, first_by: str | None = None
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, filter_bits: int | None = None, broadcast_keys: int = 1 << 19, first_by: str | None = None, count_by: str | None = None
 ) -> DataFrame:
-    """Drop every line whose key at least `min_docs` rows hold, in all of them; with first_by, its first occurrence
-    (least value of that column, which must be unique, then first line) stays.
+    """Drop every line whose key at least `min_docs` documents hold, in all of them; with first_by, its first occurrence
+    (least value of that column, then first line) stays, in each row of that value.
 
-    Returns (doc_id, n_lines, n_dropped, kept). Rows count as documents, also repeated ones. A null
-    text is one empty line and gives the kept text ''. Keys shorter than min_chars stay.
+    Returns (doc_id, n_lines, n_dropped, kept) of every row. Documents are the different values of `count_by` (doc_id if not given);
+    rows where that is null count each. A null text is one empty line and gives the kept text ''. Keys shorter than min_chars stay.
     Other columns play no part. The hot keys go out by broadcast if there are `broadcast_keys` at
     most (16 bytes each); else the lines' digests are joined with them, and each document's
     line numbers come back to it by a join.
     """
     spark = docs.sparkSession
-    hot = checkpointed(hot_keys(docs, text=text, min_docs=min_docs, min_chars=min_chars, filter_bits=filter_bits, order=first_by).drop("n"))
+    hot = checkpointed(hot_keys(docs, text=text, min_docs=min_docs, min_chars=min_chars, filter_bits=filter_bits, order=first_by, doc_id=count_by or (None if isinstance(docs.schema[doc_id].dataType, StructType) else doc_id)).drop("n"))
     base = only(docs, doc_id=doc_id, text=text, **({"at": first_by} if first_by else {}))
     id_type = base.schema["doc_id"].dataType.simpleString()
     some = hot.limit(broadcast_keys + 1).collect()
@@ -295,7 +308,8 @@ def _arrow_type(df: DataFrame, column: str = "doc_id") -> pa.DataType:
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 1, filter_bits: int | None = None) -> DataFrame:
     """Keep only the first occurrence of each repeated key: smallest doc_id, then first line.
 
-    Returns (doc_id, n_lines, n_dropped, kept). doc_id must be unique; ties within a document keep the earlier line.
+    Returns (doc_id, n_lines, n_dropped, kept). doc_id must be unique; ties within a document keep the earlier line. Rows
+    without a doc_id keep all their lines.
     """
     base = only(docs, doc_id=doc_id, text=text)
     id_type = base.schema["doc_id"].dataType.simpleString()

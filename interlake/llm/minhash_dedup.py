@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interlake.llm._spark import checkpointed, only, sliced
+from interlake.llm._spark import Documents, checkpointed, only, sliced
 from interlake.llm._text import mix, shingle_sets
 from interlake.llm.components import connected_components
 
@@ -212,8 +212,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     class_id is the smallest doc_id of the class, and kept is true for that row. Words are runs of
     letters and numbers, lower-cased; a text with fewer than `words` has them all as one shingle; null
-    texts and texts without words are classes of their own. doc_id is an integer and unique; repeated
-    rows share a class.
+    texts and texts without words are classes of their own. doc_id may be of any type that sorts; rows with equal doc_id and
+    text are one document and share a class, rows of one doc_id (or none) with other texts are documents of their own. Null ids
+    come last, so a class has one only if none of its documents has an id.
 
     Documents of equal shingle sets become one first. Candidates share a band key. A bucket is not
     expanded into pairs: its members are compared with three of them (the smallest, the one that meets
@@ -222,7 +223,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     pairs whose estimate lies within five standard widths below the threshold are computed exactly.
     So no link between classes is lost; a pair within a component can't change it.
     """
-    base = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = Documents(docs, doc_id, text)
+    classes = found.named(_classes(found.rows.select(F.col("doc").alias("doc_id"), "text"), words, threshold, bands, rows), "doc_id", "class_id")
+    return classes.select("doc_id", "class_id", "kept")
+
+
+def _classes(base: DataFrame, words: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """near_duplicates() of (doc_id long, text)."""
     sketch = checkpointed(_sketch(base, words, bands, rows))
     same = sketch.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("darts").alias("darts"))
     reps = checkpointed(same)
@@ -255,6 +262,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows, with all their columns, of the document that represents each class: that of the smallest doc_id."""
-    kept = near_duplicates(docs, doc_id=doc_id, text=text, **options).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One row, with all its columns, of the document that represents each class: that of the smallest doc_id.
+
+    Of rows equal in doc_id and text, the first that is met stays: each task keeps one of them before the shuffle.
+    """
+    found = Documents(docs, doc_id, text, keep_row=True)
+    settings = {"words": 5, "threshold": 0.8, "bands": 25, "rows": 5} | options
+    kept = _classes(found.rows.select(F.col("doc").alias("doc_id"), "text"), **settings).filter("kept").select(F.col("doc_id").alias("kept_doc"))
+    if found.repeats:
+        kept = kept.distinct()
+    rows = found.rows.join(kept, F.col("doc") == F.col("kept_doc"), "left_semi")
+    if found.repeats:
+        rows = rows.groupBy("doc").agg(F.first("row").alias("row"))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -77,8 +77,10 @@ def mix(
 
 
 def repeat_mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as mix() takes it; all columns stay. doc_id must be unique or its rows equal in source and size."""
+    """The documents themselves, each as often as mix() takes it; all columns stay, whatever their names. Rows of one doc_id must be equal in source and size, or they are taken as often as that of them that is taken most."""
     key = options.get("doc_id", "doc_id")
-    reps = mix(docs, **options).groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.max("reps").alias("_reps"))
-    both = docs.join(reps, docs[key].eqNullSafe(reps["_mixed_id"]))
-    return both.filter(F.col("_reps") > 0).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_reps")))).select(*[docs[c] for c in docs.columns])
+    reps = mix(docs, **options).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("reps").alias("reps")).filter("reps > 0")
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    both = rows.join(reps, F.col("id").eqNullSafe(F.col("taken_id")))
+    each = both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("reps"))).alias("nth"))
+    return each.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from interlake.llm._spark import by_batch, checkpointed, only
+from interlake.llm._spark import Documents, by_batch, checkpointed
 from interlake.llm._text import mix, prefix_hash, span_hash
 
 GRAM = 24  # bytes of an anchor
@@ -390,13 +391,16 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Removed is each byte under a string of `length` bytes that also starts earlier: in a document of
     smaller doc_id, or before in the same one. Strings are judged on the input. Null texts are
-    empty; doc_id is an integer, null counts as the smallest; rows with equal doc_id and text are one
-    document. What is kept may end within a character, so it is binary.
+    empty. doc_id may be of any type that sorts; null counts as the smallest and comes back as null. Rows with equal doc_id and text are
+    one document; of rows with equal doc_id (or none) and other texts, that of the smaller hash of its text counts as earlier. What is
+    kept may end within a character, so it is binary.
     """
-    base = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    ranges = repeated_ranges(base, length=length).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "nw")).alias("cuts"))
-    both = base.join(ranges, "doc_id", "left").select("doc_id", "text", "cuts")
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    found = Documents(docs, doc_id, text, nulls_first=True)
+    base = found.rows
+    ranges = repeated_ranges(base.select(F.col("doc").alias("doc_id"), "text"), length=length).groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("lo", "nw")).alias("cuts"))
+    both = base.join(ranges, "doc", "left").select("doc_id", "text", "cuts")
+    id_type = both.schema["doc_id"].dataType
+    arrow = pa.schema([("doc_id", to_arrow_type(id_type)), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def cut(batch):
         sizes, removed, spans, kept = [], [], [], []
@@ -418,4 +422,4 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
         return {"doc_id": batch.column(0), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept": kept}
 
-    return both.mapInArrow(by_batch(cut, arrow), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(by_batch(cut, arrow), f"doc_id {id_type.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")

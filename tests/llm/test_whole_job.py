@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from interlake.llm import line_dedup, suffix_dedup, tokens, toxicity
+from interlake.llm import line_dedup, minhash_dedup, mixing, suffix_dedup, tokens, toxicity
 from interlake.llm._text import codepoints
 from tokenizers import Tokenizer
 
@@ -229,3 +229,58 @@ def test_pipeline_by_small_steps(spark, tmp_path):
     empty = tmp_path / "none"
     docs.limit(0).write.parquet(str(empty / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+REPEATED = "doc_id long, text string, lang string, source string, n_chars long, _reps string, _mixed_id string, _nth string, _kept_id string, _null string, tag string, doc string, row map<string,int>"
+
+
+def repeated_docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", len(t or ""), "r", "m", "n", "k", "u", "t", "d", {"a": 1}) for i, t in rows], REPEATED).repartition(3)
+
+
+def test_suffix_dedup_with_repeated_and_null_ids(spark):
+    rnd = random.Random(12)
+    said = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    shared = said(230)
+    rows = [(7, shared + said(300)), (7, said(10) + shared), (None, said(80) + shared), (None, shared), (None, None), (3, said(150)), (9, shared + said(20)), (3, ""), (7, said(10) + shared)]
+    rows[-1] = rows[1]
+    got = suffix_dedup.drop_repeats(repeated_docs(spark, rows)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    by_text = {}
+    for r in got:
+        by_text.setdefault((r["doc_id"], r["n_bytes"]), set()).add((r["n_removed"], bytes(r["kept"])))
+    assert all(len(x) == 1 for x in by_text.values())  # equal rows, equal results
+    # Of all documents that hold the passage, one keeps it: a null id comes first, and of two of them that of the smaller hash.
+    whole = [r for r in got if shared.encode() in bytes(r["kept"])]
+    assert len(whole) == 1 and whole[0]["doc_id"] is None
+    named = spark.createDataFrame([("b", shared), ("a", shared + "x"), (None, "short")], "doc_id string, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.drop_repeats(named).collect()} == {"a": 0, "b": 230, None: 0}
+
+
+def test_lines_count_documents_not_rows(spark):
+    rows = [(1, "only once\nx")] * 12 + [(i, f"ten\nown {i}") for i in range(2, 12)] + [(None, "null line")] * 10
+    got = line_dedup.drop_lines(repeated_docs(spark, rows), min_docs=10, filter_bits=12).collect()
+    assert {(r["doc_id"], r["n_dropped"]) for r in got} == {(1, 0), (None, 1), *((i, 1) for i in range(2, 12))}
+    first = line_dedup.rewrite(repeated_docs(spark, rows), min_docs=10, filter_bits=12, first_by="doc_id")
+    assert first.columns == repeated_docs(spark, rows).columns
+    assert {r["doc_id"]: r["text"] for r in first.collect() if r["doc_id"] is not None} == {1: "only once\nx", 2: "ten\nown 2", **{i: f"own {i}" for i in range(3, 12)}}
+    kept = line_dedup.rewrite(repeated_docs(spark, rows), min_docs=10, filter_bits=12).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, "only once\nx")] * 12 + [(i, f"own {i}") for i in range(2, 12)] + [(0, "")] * 10)
+
+
+def test_repeated_rows_leave_one(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long)] * 4 + [(8, long + " more"), (6, "another text"), (6, "of the same id"), (None, long), (None, "no id"), (None, "no id"), (None, None)]
+    kept = minhash_dedup.keep_representatives(repeated_docs(spark, rows))
+    assert kept.columns == repeated_docs(spark, rows).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, long), (6, "another text"), (6, "of the same id"), (None, "no id"), (None, None)], key=str)
+    classes = minhash_dedup.near_duplicates(repeated_docs(spark, rows)).collect()
+    assert len(classes) == len(rows) and {r["class_id"] for r in classes if r["doc_id"] in (5, 8)} == {5}
+    named = spark.createDataFrame([("b", long), ("a", long + " x"), ("c", "alone")], "doc_id string, text string")
+    assert {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(named).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(i, f"some words {i}") for i in range(20)]
+    mixed = mixing.repeat_mixed(repeated_docs(spark, rows))
+    assert mixed.columns == repeated_docs(spark, rows).columns and mixed.count() == 20

@@ -1,18 +1,25 @@
 """Messages as a mail API gives them: nested JSON payloads, base64url bodies, label ids, and the history of changes.
 
-The envelope is read by from_json to a fixed depth of parts (DEPTH); what lies deeper than that is rare mail within mail within mail.
-Everything is a column expression; no Python runs per row.
+The envelope and its parts down to DEPTH are read by from_json, as column expressions. A payload that goes deeper
+(mail within mail within mail) keeps its JSON text, and only such rows are walked with a stack, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
+import json
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from interlake.functions import text as t
 
+#: Levels of parts that column expressions read; deeper rows take the walk. It decides the plan, not the result.
 DEPTH = 5
 #: Label ids and the flags they stand for (fixed values).
 FLAGS = {"SENT": "is_sent", "INBOX": "is_inbox", "UNREAD": "is_unread", "STARRED": "is_starred", "DRAFT": "is_draft", "SPAM": "is_spam", "TRASH": "is_trash"}
@@ -20,9 +27,9 @@ HEADERS = "array<struct<name:string,value:string>>"
 
 
 def payload_type(depth: int = DEPTH) -> str:
-    """DDL of a payload whose parts nest so deep."""
-    parts = f",parts:array<{payload_type(depth - 1)}>" if depth else ""
-    return f"struct<mimeType:string,filename:string,headers:{HEADERS},body:struct<data:string>{parts}>"
+    """DDL of a payload whose parts nest so deep; those of the last level stay JSON text."""
+    parts = f"array<{payload_type(depth - 1)}>" if depth else "string"
+    return f"struct<mimeType:string,filename:string,headers:{HEADERS},body:struct<data:string>,parts:{parts}>"
 
 
 def message_type() -> str:
@@ -38,10 +45,10 @@ def header_map(headers: Column) -> Column:
 
 
 def decode_base64url(data: Column) -> Column:
-    """UTF-8 text of base64url data, padded or not; null if it can't be read."""
+    """Text of base64url data, padded or not; bytes that aren't UTF-8 become U+FFFD, and what isn't base64 gives null."""
     bare = F.regexp_replace(F.translate(data, "-_", "+/"), "[=\\s]", "")
     full = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), F.lit("="))
-    return F.try_to_binary(full, F.lit("base64")).cast("string")
+    return F.make_valid_utf8(F.try_to_binary(full, F.lit("base64")).cast("string"))
 
 
 def body_of(payload: Column, kind: str, depth: int = DEPTH) -> Column:
@@ -65,15 +72,58 @@ def has_attachments(payload: Column, depth: int = DEPTH) -> Column:
     return F.coalesce(F.exists(payload["parts"], one), F.lit(False))
 
 
+def is_deeper(payload: Column, depth: int = DEPTH) -> Column:
+    """Whether parts lie below the levels that the schema reads."""
+    if not depth:
+        return payload["parts"].isNotNull()
+    return F.coalesce(F.exists(payload["parts"], lambda p: is_deeper(p, depth - 1)), F.lit(False))
+
+
+WALKED = StructType([StructField("body_plain", StringType()), StructField("body_html", StringType()), StructField("has_attachments", BooleanType())])
+
+
+def _decoded(data: str) -> str | None:
+    bare = re.sub(r"[=\s]", "", data.translate(str.maketrans("-_", "+/")))
+    try:
+        return base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True).decode("utf-8", "replace") or None
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _walk(raw: str) -> tuple[str | None, str | None, bool]:
+    """First plain text, first HTML text and whether there is an attachment, over all parts of a message in order, by a stack."""
+    found: dict[str, str | None] = {"text/plain": None, "text/html": None}
+    attached, root = False, json.loads(raw)["payload"]
+    stack = [root]
+    while stack:
+        part = stack.pop()
+        kind, data = part.get("mimeType") or "", (part.get("body") or {}).get("data")
+        for wanted in found:
+            if found[wanted] is None and wanted in kind and data:
+                found[wanted] = _decoded(data)
+        if part is not root:
+            disposed = ((h.get("value") or "") for h in part.get("headers") or [] if (h.get("name") or "").lower() == "content-disposition")
+            attached = attached or bool(part.get("filename")) or any("attachment" in v.lower() for v in disposed)
+        stack += reversed([p for p in part.get("parts") or [] if p])
+    return *found.values(), attached
+
+
+@F.pandas_udf(WALKED)
+def walked(raw: pd.Series) -> pd.DataFrame:
+    """What _walk() finds in each message; nulls for null."""
+    return pd.DataFrame([(None, None, None) if r is None else _walk(r) for r in raw], columns=WALKED.names).astype(object)
+
+
 def label_flags(labels: Column) -> dict[str, Column]:
     """One boolean for each label id that has a flag."""
     return {flag: F.coalesce(F.array_contains(labels, label), F.lit(False)) for label, flag in FLAGS.items()}
 
 
 def parse_payloads(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Messages of raw JSON texts; what isn't JSON gives a row of nulls with parse_error true."""
+    """Messages of raw JSON texts, their parts at any depth; what isn't JSON (or nests beyond the 1,000 levels that Spark's reader takes) gives a row of nulls with parse_error true."""
     m = raw.select("*", F.from_json(column, message_type(), {"mode": "PERMISSIVE"}).alias("m"))
-    m = m.withColumn("h", header_map(F.col("m.payload.headers")))
+    m = m.withColumn("h", header_map(F.col("m.payload.headers"))).withColumn("deep", walked(F.when(is_deeper(F.col("m.payload")), F.col(column))))
+    deep = F.col("deep.has_attachments").isNotNull()
     h = lambda name: F.col("h")[name]
     labels = F.coalesce("m.labelIds", F.array().cast("array<string>"))
     empty = F.array().cast("array<string>")
@@ -82,9 +132,10 @@ def parse_payloads(raw: DataFrame, column: str = "value") -> DataFrame:
         F.col("m.id").alias("api_id"), F.col("m.threadId").alias("thread_id"), F.col("m.historyId").alias("history_id"),
         F.coalesce(h("message-id"), F.lit("")).alias("message_id"), F.coalesce(h("subject"), F.lit("")).alias("subject"), F.coalesce(h("from"), F.lit("")).alias("from_address"),
         t.parse_date_api(h("date")).alias("date_sent"), F.coalesce("m.snippet", F.lit("")).alias("snippet"), F.coalesce("m.sizeEstimate", F.lit(0)).cast("long").alias("size_bytes"),
-        has_attachments(F.col("m.payload")).alias("has_attachments"), labels.alias("label_ids"), addresses("to").alias("to_addresses"), addresses("cc").alias("cc_addresses"),
+        F.coalesce("deep.has_attachments", has_attachments(F.col("m.payload"))).alias("has_attachments"), labels.alias("label_ids"), addresses("to").alias("to_addresses"), addresses("cc").alias("cc_addresses"),
         h("in-reply-to").alias("in_reply_to"), t.parse_references(h("references")).alias("references"),
-        body_of(F.col("m.payload"), "text/plain").alias("body_plain"), body_of(F.col("m.payload"), "text/html").alias("body_html"),
+        F.when(deep, F.col("deep.body_plain")).otherwise(body_of(F.col("m.payload"), "text/plain")).alias("body_plain"),
+        F.when(deep, F.col("deep.body_html")).otherwise(body_of(F.col("m.payload"), "text/html")).alias("body_html"),
         *[flag.alias(name) for name, flag in label_flags(labels).items()], F.col("m.id").isNull().alias("parse_error"),
     )
 

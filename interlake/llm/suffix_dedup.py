@@ -21,7 +21,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from interlake.llm._spark import Documents, by_batch, checkpointed
 from interlake.llm._text import mix, prefix_hash, span_hash
@@ -396,11 +395,10 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     kept may end within a character, so it is binary.
     """
     found = Documents(docs, doc_id, text, nulls_first=True)
-    base = found.rows
-    ranges = repeated_ranges(base.select(F.col("doc").alias("doc_id"), "text"), length=length).groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("lo", "nw")).alias("cuts"))
-    both = base.join(ranges, "doc", "left").select("doc_id", "text", "cuts")
-    id_type = both.schema["doc_id"].dataType
-    arrow = pa.schema([("doc_id", to_arrow_type(id_type)), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    base = found.rows.select(F.col("doc").alias("doc_id"), "text")  # as the snippets' texts are dealt out: one exchange serves both
+    ranges = repeated_ranges(base, length=length).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "nw")).alias("cuts"))
+    both = base.join(ranges, "doc_id", "left").select("doc_id", "text", "cuts")
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def cut(batch):
         sizes, removed, spans, kept = [], [], [], []
@@ -422,4 +420,5 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
         return {"doc_id": batch.column(0), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept": kept}
 
-    return both.mapInArrow(by_batch(cut, arrow), f"doc_id {id_type.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = both.mapInArrow(by_batch(cut, arrow), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return found.named(rows, "doc_id").select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interlake.llm._spark import Documents, checkpointed, only, sliced
+from interlake.llm._spark import Documents, checkpointed, free_shuffles, sliced
 from interlake.llm._text import mix, shingle_sets
 from interlake.llm.components import connected_components
 
@@ -246,7 +246,9 @@ def _classes(base: DataFrame, words: int, threshold: float, bands: int, rows: in
     pairs = checkpointed(member.select("rep", ends.alias("lead")).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).filter("a <> b").distinct())
     nodes = place.select(F.col("rep").alias("doc_id")).distinct()
     sets = checkpointed(_sets(base.join(nodes, "doc_id", "left_semi"), words))
+    free_shuffles(base.sparkSession)  # the texts' exchange is as large as the input
     links = checkpointed(_verified(pairs, sets, threshold))
+    free_shuffles(base.sparkSession)
     parts = connected_components(links)
 
     # What is left: members of one bucket in different components.

@@ -98,7 +98,7 @@ class Documents:
         found = per_id.agg(F.coalesce(F.max("n") > 1, F.lit(False)).alias("repeats"), F.coalesce(F.bool_or(F.col("differs") | F.col("doc_id").isNull()), F.lit(False)).alias("odd")).first()
         self.repeats, self.plain = found["repeats"], whole and not found["odd"]
         if self.plain:
-            self.rows = rows.withColumn("doc", F.col("doc_id").cast("long"))
+            self.rows = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))  # never null, so joins of all kinds read it alike
             return
         order = F.col("doc_id").asc_nulls_first() if nulls_first else F.col("doc_id").asc_nulls_last()
         self.names = checkpointed(numbered(tagged.select("doc_id", "tag").distinct(), order, F.col("tag").asc()).select(F.col("doc_id").alias("name"), F.col("tag").alias("own_tag"), F.col("nth").alias("doc")))

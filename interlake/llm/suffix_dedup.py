@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from interlake.llm._spark import Documents, by_batch, checkpointed
+from interlake.llm._spark import Documents, by_batch, checkpointed, free_shuffles
 from interlake.llm._text import mix, prefix_hash, span_hash
 
 GRAM = 24  # bytes of an anchor
@@ -317,6 +317,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = 100) -> DataFrame:
     where = F.struct("doc_id", "lo")
     found = found.withColumn("first", F.min(where).over(kinds)).withColumn("kinds", F.min("same").over(by_anchor) != F.max("same").over(by_anchor))
     found = checkpointed(found.withColumn("later", F.col("later") | (where > F.col("first"))).filter("later or kinds").select("h", "same", "sides", "doc_id", "lo", "nw", "later"))
+    free_shuffles(docs.sparkSession)  # of a row for each snippet
     copies = found.filter("later").select("doc_id", "lo", "nw")
 
     some = found.filter("not later").drop("later").distinct()

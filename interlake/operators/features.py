@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from interlake.functions import text as t
 from interlake.operators import mail as m
 from interlake.operators import rules as r
+from interlake.storage import checkpointed
 
 #: Clusters at most by dimension (fixed values).
 MOST_CLUSTERS = {"people": 15, "behavior": 8, "service": 8, "temporal": 6, "content": 100}
@@ -127,19 +128,17 @@ def kmeans_clusters(matrix: DataFrame, columns: list[str], most: int, seeds: tup
     """
     values = F.array(*columns) if len(columns) > 1 else F.col(columns[0])
     rows = matrix.select("id", values.alias("v"))
-    kinds = [tuple(r["v"]) for r in rows.select("v").distinct().limit(most + 1).collect()]
-    if len(kinds) <= most:  # each different row is a cluster
+    few = rows.agg(F.count_distinct(F.xxhash64("v")).alias("n")).first()["n"] <= most  # hashes shuffle, not vectors
+    if few:  # each different row is a cluster
+        kinds = [tuple(r["v"]) for r in rows.select("v").distinct().collect()]
         if not kinds:
             return matrix.sparkSession.createDataFrame([], "id long, cluster int, prob double")
         number = reduce(lambda out, kv: F.when(F.col("v") == F.array(*map(F.lit, kv[1])), kv[0]).otherwise(out), enumerate(sorted(kinds)), F.lit(None).cast("int"))
         return rows.select("id", number.alias("cluster"), F.lit(1.0).alias("prob"))
-    rows = rows.select("id", array_to_vector("v").alias("x")).cache()
-    try:
-        models = [KMeans(k=most, seed=s, featuresCol="x", predictionCol="cluster").fit(rows) for s in seeds]
-        best = min(models, key=lambda model: model.summary.trainingCost)
-        centers = [c.tolist() for c in best.clusterCenters()]
-    finally:
-        rows.unpersist()
+    rows = checkpointed(rows.select("id", array_to_vector("v").alias("x")))  # read by every fit and by what places the rows
+    models = [KMeans(k=most, seed=s, featuresCol="x", predictionCol="cluster").fit(rows) for s in seeds]
+    best = min(models, key=lambda model: model.summary.trainingCost)
+    centers = [c.tolist() for c in best.clusterCenters()]
     centre = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in centers]), F.col("cluster") + 1)
     square = F.aggregate(F.zip_with(vector_to_array("x"), centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     placed = best.transform(rows).select("id", "cluster", F.sqrt(square).alias("d"))

@@ -39,7 +39,12 @@ def thread_stats(mail: DataFrame) -> DataFrame:
     Gaps between neighbours in time add up to last less first, so their mean is that over their number and needs no sort; senders are
     made distinct before they are listed. Both passes sum up before they shuffle, so a hot thread is a row a task.
     """
-    rows = mail.groupBy("thread_id", "from_email").agg(
+    return thread_totals(thread_parts(mail))
+
+
+def thread_parts(mail: DataFrame) -> DataFrame:
+    """What thread_stats() needs, by thread and sender; parts of several batches can be summed up."""
+    return mail.groupBy("thread_id", "from_email").agg(
         F.min("subject").alias("subject"),
         F.count(F.lit(1)).alias("n"),
         F.count("date_parsed").alias("dated"),
@@ -50,6 +55,10 @@ def thread_stats(mail: DataFrame) -> DataFrame:
         F.bool_or("has_attachments").alias("has_attachments"),
         F.sum("attachment_count").alias("attached"),
     )
+
+
+def thread_totals(rows: DataFrame) -> DataFrame:
+    """thread_stats() of its parts."""
     span = seconds_between(instant(F.max("most")), instant(F.min("least")))
     return rows.groupBy("thread_id").agg(
         F.min("subject").alias("subject"),
@@ -129,8 +138,13 @@ def contact_profile(mail: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
 
     One exploded pass, summed up by address and thread first: the own address is in nearly every row, but only once in a thread.
     """
+    return contact_totals(contact_parts(mail), own)
+
+
+def contact_parts(mail: DataFrame) -> DataFrame:
+    """What contact_profile() needs, by address and thread; parts of several batches can be summed up."""
     sender = F.col("role") == "from"
-    by_thread = roles(mail).groupBy("email", "thread_id").agg(
+    return roles(mail).groupBy("email", "thread_id").agg(
         F.max(F.when(sender, F.col("from_name"))).alias("name"),
         F.count_if(sender).alias("emails_from"),
         F.count_if(~sender).alias("emails_to"),
@@ -138,6 +152,10 @@ def contact_profile(mail: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
         F.min("date_parsed").alias("first_contact"),
         F.max("date_parsed").alias("last_contact"),
     )
+
+
+def contact_totals(by_thread: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
+    """contact_profile() of its parts."""
     out = by_thread.groupBy("email").agg(
         F.max("name").alias("name"), F.sum("emails_from").alias("emails_from"), F.sum("emails_to").alias("emails_to"), F.count("thread_id").alias("threads_with"),
         F.sum("reply_count").alias("reply_count"), F.min("first_contact").alias("first_contact"), F.max("last_contact").alias("last_contact"),

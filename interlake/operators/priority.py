@@ -7,6 +7,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from interlake.storage import checkpointed
+
 #: Shares of feature score, nearness to answered messages, cluster novelty and sender novelty (fixed values).
 WEIGHTS = [0.35, 0.30, 0.20, 0.15]
 MISSING = 0.5
@@ -47,7 +49,7 @@ def priority_scores(mail: DataFrame, features: DataFrame, actions: DataFrame, ve
     centroids join by key, so their number may grow; a hot sender's rows are split by the adaptive skew join.
     """
     got = mail.filter(~F.col("is_sent")).select("id", "from_email")
-    base = got.join(features, "id").join(actions.select("id", "action"), "id", "left").join(vectors, "id", "left")
+    base = checkpointed(got.join(features, "id").join(actions.select("id", "action"), "id", "left").join(vectors, "id", "left"))  # read by three means and the scores
     replied = centroids(base.filter("action = 'REPLIED'"), F.lit(0).alias("all")).select(F.col("centroid").alias("_replied"))
     by_cluster = centroids(base.filter("cluster <> -1"), "cluster").select("cluster", F.col("centroid").alias("_cluster"))
     by_sender = centroids(base, "from_email").filter("n >= 3").select("from_email", F.col("centroid").alias("_sender"))
@@ -65,7 +67,7 @@ def priority_scores(mail: DataFrame, features: DataFrame, actions: DataFrame, ve
         F.when(has, F.when(F.col("_sender").isNull(), MISSING).otherwise(to("_sender"))).alias("sender_novelty"),
     )
     parts = ["replied_similarity", "cluster_novelty", "sender_novelty"]
-    out = minmax(out, *parts)
+    out = minmax(checkpointed(out), *parts)
     out = out.withColumns({c: F.coalesce(c, F.lit(MISSING)) for c in ["feature_score", *parts]})
     total = sum(F.col(c) * w for c, w in zip(["feature_score", *parts], WEIGHTS, strict=True))
     out = out.withColumn("priority_score", F.round(total, 9))
@@ -80,7 +82,7 @@ def ranked(scores: DataFrame, parts: int = 4096) -> DataFrame:
     Rows are ranked within slices of the score's range; what comes before a slice is a running sum over at most
     `parts` + 1 counts, the only rows that meet in one task.
     """
-    cut = scores.withColumn("_slice", F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("priority_score"))) * parts))
+    cut = checkpointed(scores.withColumn("_slice", F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("priority_score"))) * parts)))  # counted, then ranked
     counts = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_slice", (F.sum("_n").over(Window.orderBy(F.desc("_slice"))) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_slice").orderBy(F.desc("priority_score"), "id"))

@@ -13,7 +13,7 @@ import re
 from email.message import Message
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StringType, StructField, StructType
 
@@ -82,6 +82,25 @@ def _message_bytes(chunk: pd.Series) -> pd.Series:
     return chunk.map(lambda c: re.sub(rb"(?m)^>(>*From )", rb"\1", c.partition(b"\n")[2]))
 
 
+def mbox_text(raw: Column) -> Column:
+    """A message as it stands in a mailbox file: lines that begin with 'From ', quoted or not, get a '>' more."""
+    return F.regexp_replace(raw, r"(?m)^(>*From )", r">$1")
+
+
+def write_mbox(rows: DataFrame, path: str, *, raw: str = "raw", sender: str = "sender", box: str = "box", order: str = "id", boxes: int = 32) -> None:
+    """Write raw messages as mailbox files, one file below path/box=<value> for each value of `box`, in the order given.
+
+    A message begins with a line 'From <sender>'. Values of box are dealt out to `boxes` tasks, so their number bounds what one task writes.
+    """
+    made = rows.select(F.col(box).alias("box"), F.col(order).alias("_at"), F.concat(F.lit("From "), F.col(sender), F.lit("\n"), mbox_text(F.col(raw))).alias("value"))
+    made.repartition(boxes, "box").sortWithinPartitions("box", "_at").drop("_at").write.partitionBy("box").text(path)
+
+
+def observed_errors(messages: DataFrame, seen: Observation) -> DataFrame:
+    """The same rows; what reads or writes them all also counts messages and errors (records of nulls) for `seen`, in the same pass."""
+    return messages.observe(seen, F.count(F.lit(1)).alias("messages"), F.count_if(F.col("record.has_attachments").isNull()).alias("errors"))
+
+
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     """(raw, file, mbox_offset, raw_size_bytes, record) of every message of mailbox files.
 

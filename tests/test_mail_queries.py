@@ -7,7 +7,7 @@ import pytest
 from interlake.operators import mail as m
 from interlake.operators import priority as p
 from interlake.operators import rules as r
-from interlake.plans import change_queries, entity_queries, run_queries, scoring, text_queries
+from interlake.plans import change_queries, entity_queries, feature_queries, ingest_queries, list_queries, run_queries, scoring, text_queries
 from interlake.plans import queries as q
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ def rows(values):
     return sorted(tuple(round(x, 6) if isinstance(x, float) else str(x) for x in r) for r in values)
 
 
-PLANS = [q, scoring, entity_queries, text_queries, change_queries, run_queries]
+PLANS = [q, scoring, entity_queries, text_queries, change_queries, run_queries, feature_queries, list_queries, ingest_queries]
 QUERIES = {n: f for p in PLANS for n, f in p.QUERIES.items()}
 ORACLES = {n: s for p in PLANS for n, s in p.ORACLES.items()}
 
@@ -27,7 +27,7 @@ ORACLES = {n: s for p in PLANS for n, s in p.ORACLES.items()}
 def test_oracle(spark, name):
     db = duckdb.connect()
     db.execute("SET TimeZone = 'UTC'")
-    for table in ("events", "documents", "embeddings", "pages"):
+    for table in ("events", "documents", "embeddings", "pages", "orders", "customer"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = QUERIES[name](spark, SF)
     want = db.sql(ORACLES[name])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,8 +44,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing uses any more; it does so only when the driver collects its garbage."""
+    """Let Spark remove the shuffle files of plans that nothing uses any more; it does so only when the driver collects its garbage.
+
+    Python tells the driver's JVM of objects that are gone a little later, and Spark's listeners hold on to the query that ended
+    last, so a small one takes its place first.
+    """
     gc.collect()
+    time.sleep(0.5)
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -184,3 +184,8 @@ def contact_avg_response(actions: DataFrame, mail: DataFrame) -> DataFrame:
     """(email, avg_response_time_seconds): mean positive answer time to each sender's messages, as a whole number (halves to even, as casts of the original do)."""
     rows = mail.filter(F.col("from_email").isNotNull()).select("id", F.lower(F.trim("from_email")).alias("email")).join(actions.filter("response_seconds > 0").select("id", "response_seconds"), "id")
     return rows.groupBy("email").agg(F.bround(F.avg("response_seconds")).cast("long").alias("avg_response_time_seconds"))
+
+
+def contact_profile(mail: DataFrame, actions: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
+    """m.contact_profile() with avg_response_time_seconds, null for contacts that were never answered."""
+    return m.contact_profile(mail, own).join(contact_avg_response(actions, mail), "email", "left")

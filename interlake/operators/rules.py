@@ -102,12 +102,8 @@ def with_patterns(mail: DataFrame) -> DataFrame:
     return mail.withColumns(found)
 
 
-def handleability(mail: DataFrame, strengths: DataFrame) -> DataFrame:
-    """(id, handleability, reason, action, folder, llm_priority) of received messages: the first rule that holds.
-
-    strengths: (id, relationship_strength); a message without one counts as 0. Only needs_llm has an llm_priority
-    (1 first), and no action. Everything is one projection over one join by id.
-    """
+def _ruled(mail: DataFrame, strengths: DataFrame) -> DataFrame:
+    """Received messages with their patterns, `near` (relationship), and `rule`, the struct of the first rule that holds, or `tier` where none does."""
     got = with_patterns(with_service(mail.filter(~F.col("is_sent")).join(strengths.select("id", "relationship_strength"), "id", "left")))
     near, service, kind = F.coalesce("relationship_strength", F.lit(0.0)), F.col("is_service"), F.coalesce("service_type", F.lit(""))
     has, person = F.col, ~F.col("is_service")
@@ -132,8 +128,16 @@ def handleability(mail: DataFrame, strengths: DataFrame) -> DataFrame:
     first = F.lit(None)
     for holds, *said in reversed(rules):
         first = F.when(holds, F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(("handleability", "reason", "action", "folder"), said, strict=True)])).otherwise(first)
-    ruled = got.select("id", first.alias("rule"), tier.alias("tier"))
-    return ruled.select(
+    return got.withColumns({"near": near, "rule": first, "tier": tier})
+
+
+def handleability(mail: DataFrame, strengths: DataFrame) -> DataFrame:
+    """(id, handleability, reason, action, folder, llm_priority) of received messages: the first rule that holds.
+
+    strengths: (id, relationship_strength); a message without one counts as 0. Only needs_llm has an llm_priority
+    (1 first), and no action. Everything is one projection over one join by id.
+    """
+    return _ruled(mail, strengths).select(
         "id",
         F.coalesce("rule.handleability", F.lit("needs_llm")).alias("handleability"),
         F.coalesce("rule.reason", F.lit("ambiguous")).alias("reason"),
@@ -143,6 +147,20 @@ def handleability(mail: DataFrame, strengths: DataFrame) -> DataFrame:
     )
 
 
+def decision_metadata(mail: DataFrame, strengths: DataFrame) -> DataFrame:
+    """(id, reason, metadata): what a decision is based on, as a JSON object with the fields that the rule has, and all patterns."""
+    reason, body = F.coalesce("rule.reason", F.lit("ambiguous")), lowered("body_text")
+    only_for = lambda value, *reasons: F.when(reason.isin(*reasons), value)
+    fields = {
+        "action": F.col("rule.action"), "folder": F.col("rule.folder"), "track_delivery": only_for(body.contains("shipped") | body.contains("tracking"), "transactional"),
+        "priority": only_for(F.lit("high"), "approval_request", "deadline_request"), "relationship": only_for(F.col("near"), "important_relationship"),
+        "needs_personalization": only_for(F.lit(True), "explicit_reply_request"), "needs_approval": only_for(F.lit(True), "scheduling_request"),
+        "draft_type": F.coalesce(only_for(F.lit("acknowledgment"), "fyi_from_contact"), only_for(F.lit("confirmation"), "confirm_request")),
+        "llm_priority": F.when(F.col("rule").isNull(), F.col("tier")), "patterns": F.struct(*PATTERNS),
+    }
+    return _ruled(mail, strengths).select("id", reason.alias("reason"), F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("metadata"))
+
+
 def category_counts(classified: DataFrame) -> DataFrame:
     """Messages per class."""
     return classified.groupBy("handleability").agg(F.count(F.lit(1)).alias("n"))

@@ -89,3 +89,18 @@ def temporal_enrich(meta: DataFrame, activity: DataFrame) -> DataFrame:
     """Adds the seven temporal columns of content clusters; null for others."""
     found = activity.select(F.lit("content").alias("dimension"), "cluster_id", *TEMPORAL)
     return meta.drop(*TEMPORAL).join(found, ["dimension", "cluster_id"], "left")
+
+
+#: Lines of the status report and the figures that they show, in order (fixed values).
+LINES = [
+    ("Emails imported:        ", "emails"), ("  - Received:           ", "received_emails"), ("  - Sent:               ", "sent_emails"), ("Threads built:          ", "threads"), ("ML features computed:   ", "features"),
+    ("Embeddings generated:   ", "embeddings"), ("Rule-based classified:  ", "ai_classification"), ("LLM classified:         ", "llm_classification"), ("Clusters created:       ", "clusters"), ("Priority computed:      ", "priority"), ("User profiles:          ", "users"),
+]
+
+
+def status_report(status: DataFrame) -> DataFrame:
+    """(report) of pipeline_status(): one text, a line a figure with thousands marked, 0 for what isn't there; the last line only if answers are wanted."""
+    number = lambda c: F.format_number(F.coalesce(F.col(c), F.lit(0)) if c in status.columns else F.lit(0), 0)
+    lines = [F.concat(F.lit(text), number(c)) for text, c in LINES]
+    left = F.when(F.col("llm_remaining") > 0, F.concat(F.lit("Needs LLM (remaining):  "), number("llm_remaining")))
+    return status.select(F.concat_ws("\n", *lines, left).alias("report"))

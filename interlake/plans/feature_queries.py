@@ -36,13 +36,13 @@ def _classified(spark, sf_dir):
     return r.handleability(_mail(spark, sf_dir), m.relationship_features(messages(spark, sf_dir)))
 
 
-def _ranks(spark, sf_dir):
-    return scoring.QUERIES["priority_rank"](spark, sf_dir).filter("id % 10 <> 0")
+def _ranks(spark, sf_dir, whole=False):
+    return scoring.QUERIES["priority_rank"](spark, sf_dir, whole).filter("id % 10 <> 0")
 
 
-def _context(spark, sf_dir):
+def _context(spark, sf_dir, whole=False):
     mail = messages(spark, sf_dir)
-    return mi.with_model_context(mi.wanted_by_model(_mail(spark, sf_dir), _classified(spark, sf_dir)), email_features(spark, sf_dir), m.action_label(mail), m.contact_profile(mail), _ranks(spark, sf_dir))
+    return mi.with_model_context(mi.wanted_by_model(_mail(spark, sf_dir), _classified(spark, sf_dir)), email_features(spark, sf_dir), m.action_label(mail), m.contact_profile(mail), _ranks(spark, sf_dir, whole))
 
 
 def tasks_from_llm(spark, sf_dir):
@@ -113,8 +113,8 @@ QUERIES = {
     "cluster_meta_five": cluster_meta_five,
     "email_clusters": email_clusters,
     "llm_backlog": lambda spark, sf_dir: mi.backlog(_mail(spark, sf_dir), _classified(spark, sf_dir), _answers(spark, sf_dir)),
-    "llm_batch": lambda spark, sf_dir: mi.llm_batch(_context(spark, sf_dir), _answers(spark, sf_dir)).select("id", "llm_priority", "actual_action", "is_important_sender", "priority_rank"),
-    "llm_prompt": lambda spark, sf_dir: mi.filled_prompt(TEMPLATE, mi.prompt_fields(_context(spark, sf_dir))).select("id", F.md5("prompt").alias("prompt_md5")),
+    "llm_batch": lambda spark, sf_dir, whole=False: mi.llm_batch(_context(spark, sf_dir, whole), _answers(spark, sf_dir)).select("id", "llm_priority", "actual_action", "is_important_sender", "priority_rank"),
+    "llm_prompt": lambda spark, sf_dir, whole=False: mi.filled_prompt(TEMPLATE, mi.prompt_fields(_context(spark, sf_dir, whole))).select("id", F.md5("prompt").alias("prompt_md5")),
     "llm_answers": _answers,
     "tasks_from_llm": tasks_from_llm,
     "embedding_text": embedding_text,

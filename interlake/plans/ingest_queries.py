@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
-from interlake.operators import density
+from interlake.functions import text as t
+from interlake.operators import density, features, status
 from interlake.operators import labels as lb
 from interlake.operators import mail as m
 from interlake.operators import model_inputs as mi
 from interlake.operators import priority as p
-from interlake.plans import entity_queries, feature_queries, list_queries, queries, stages, whole_queries
-from interlake.plans.mailbox import MAIL_SQL, VECTORS_SQL, WHOLE_BODY_SQL, messages, vectors
+from interlake.operators import rules as r
+from interlake.plans import entity_queries, feature_queries, list_queries, queries, run_queries, scoring, stages, whole_queries
+from interlake.plans.mailbox import BODY_SQL, MAIL_SQL, VECTORS_SQL, WHOLE_BODY_SQL, messages, vectors
 from interlake.sources import api_messages, history
 from interlake.sources import mailbox_files as mf
 from interlake.storage import new_folder, stored
-from interlake.streaming import figures
+from interlake.streaming import figures, sync
 from interlake.streaming.notifications import notifications
 from interlake.tables import Table
 
@@ -77,10 +81,10 @@ def src_mbox(spark, sf_dir):
     mf.write_mbox(_raw_mail(spark, sf_dir), folder, boxes=BOXES)
     got = mf.read_mbox(spark, f"{folder}/box=*")
     last = lambda x: F.regexp_replace(x, r"\n\z", "")  # noqa: E731  of a file's last message
-    r = "record."
+    at = "record."
     return got.select(
-        F.regexp_extract("file", r"box=(\d+)", 1).cast("long").alias("box"), "mbox_offset", F.octet_length(last(F.col("raw").cast("string"))).cast("long").alias("size"), r + "message_id", r + "subject", F.col(r + "from").alias("sender"), r + "labels",
-        F.md5(last(F.col(r + "body"))).alias("body_md5"), r + "body_html", r + "has_attachments",
+        F.regexp_extract("file", r"box=(\d+)", 1).cast("long").alias("box"), "mbox_offset", F.octet_length(last(F.col("raw").cast("string"))).cast("long").alias("size"), at + "message_id", at + "subject", F.col(at + "from").alias("sender"), at + "labels",
+        F.md5(last(F.col(at + "body"))).alias("body_md5"), at + "body_html", at + "has_attachments",
     )
 
 
@@ -167,7 +171,46 @@ def label_replies(spark, sf_dir):
     return got.select("id", "r.label", "r.confidence", "r.success")
 
 
+def handleability_metadata(spark, sf_dir):
+    mail = messages(spark, sf_dir)
+    return r.decision_metadata(messages(spark, sf_dir, body=True, whole=True), m.relationship_features(mail))
+
+
+def jsonl_round_trip(spark, sf_dir):
+    """All messages with whole bodies as JSON lines, written and read back."""
+    path = new_folder(spark, "lines")
+    rows = messages(spark, sf_dir, body=True, whole=True).select("id", "subject", "from_name", "to_emails", "has_attachments", "body_text")
+    mf.write_jsonl(rows, path)
+    return mf.read_jsonl(spark, path, rows.schema).select("id", "subject", "from_name", F.array_join("to_emails", ",").alias("to_emails"), "has_attachments", F.md5("body_text").alias("body_md5"))
+
+
+def api_texts(spark, sf_dir):
+    """Dates as an API may write them, in four forms, and the plain preview of every document's text."""
+    day = F.col("ts").cast("timestamp_ntz")
+    forms = [F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.concat(F.lit("Mon, "), F.date_format(day, "d MMM yyyy HH:mm:ss"), F.lit(" +0100")), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'+02:00'"), F.lit("soon")]
+    said = F.element_at(F.array(*forms), (F.col("event_id") % 4 + 1).cast("int"))
+    dates = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("date").alias("kind"), F.col("event_id").alias("id"), F.unix_seconds(t.parse_date_api(said)).cast("string").alias("value"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("preview").alias("kind"), F.col("doc_id").alias("id"), F.md5(t.preview_api(F.col("text"))).alias("value"))
+    return dates.union(docs)
+
+
+def phase_model_rows(spark, sf_dir):
+    """What a quick run may ask a model about."""
+    phase = sync.phases(quick_only=True)[0]
+    return sync.for_model(sync.phase_batches(messages(spark, sf_dir), phase), phase).select("id", "batch.day", "batch.n")
+
+
+#: Queries of other modules that read bodies, on whole ones.
+WHOLE = {n: module for module, names in ((list_queries, ["inbox_priority_page", "task_page_created", "task_detail", "task_transition", "tasks_beside_known", "pipeline_status"]), (run_queries, ["extract_all", "extract_again"]), (feature_queries, ["llm_batch", "llm_prompt"])) for n in names}
+
 QUERIES = {
+    "handleability_metadata": handleability_metadata,
+    "jsonl_round_trip": jsonl_round_trip,
+    "api_texts": api_texts,
+    "phase_model_rows": phase_model_rows,
+    "status_report": lambda spark, sf_dir: status.status_report(list_queries.pipeline_status(spark, sf_dir, whole=True)),
+    "contact_profile_response": lambda spark, sf_dir: features.contact_profile(messages(spark, sf_dir), m.action_label(messages(spark, sf_dir))),
+    **{f"{n}_whole": partial(module.QUERIES[n], whole=True) for n, module in WHOLE.items()},
     "dedup_ttl": dedup_ttl,
     "api_payload_depths": api_payload_depths,
     "src_mbox": src_mbox,
@@ -213,7 +256,21 @@ _STAGE_COUNTS = "WITH " + ", ".join(f"stage_{name} AS ({sql})" for name, (sql, _
     [f"SELECT '{name}' AS stage, '{figure}' AS name, count(*) FILTER (WHERE {holds}) AS value FROM stage_{name}" for name, (_, figures_of) in _STAGED.items() for figure, holds in ({"records": "true"} | figures_of).items()]
     + ["SELECT 'threads', 'messages', CAST(sum(email_count) AS BIGINT) FROM stage_threads", "SELECT 'ranks', 'last', max(priority_rank) FROM stage_ranks"]
 )
+_SAID_PATTERNS = " || ',' || ".join(f"'\"{n}\":' || {n}" for n in r.PATTERNS)
+_STATUS_LINES = " || chr(10) || ".join(f"'{text}' || format('{{:,}}', {c})" if c not in ("features", "priority") else f"'{text}0'" for text, c in status.LINES)
 ORACLES = {
+    "handleability_metadata": scoring.HANDLED_SQL.replace(BODY_SQL, WHOLE_BODY_SQL) + f"""SELECT id, reason, '{{' || concat_ws(',', '"action":"' || action || '"', '"folder":"' || folder || '"', CASE WHEN reason = 'transactional' THEN '"track_delivery":' || (contains(b, 'shipped') OR contains(b, 'tracking')) END,
+  CASE WHEN reason IN ('approval_request', 'deadline_request') THEN '"priority":"high"' END, CASE WHEN reason = 'important_relationship' THEN '"relationship":' || near END, CASE WHEN reason = 'explicit_reply_request' THEN '"needs_personalization":true' END,
+  CASE WHEN reason = 'scheduling_request' THEN '"needs_approval":true' END, CASE reason WHEN 'fyi_from_contact' THEN '"draft_type":"acknowledgment"' WHEN 'confirm_request' THEN '"draft_type":"confirmation"' END, CASE WHEN handleability = 'needs_llm' THEN '"llm_priority":' || tier END,
+  '"patterns":{{' || {_SAID_PATTERNS} || '}}') || '}}' AS metadata FROM handled JOIN facts USING (id)""",
+    "jsonl_round_trip": _BASE + "SELECT id, subject, from_name, array_to_string(to_emails, ',') AS to_emails, has_attachments, md5(body_text) AS body_md5 FROM bodies",
+    "api_texts": """SELECT 'date' AS kind, event_id AS id, CAST(CASE event_id % 4 WHEN 0 THEN CAST(floor(epoch(ts)) AS BIGINT) WHEN 1 THEN CAST(floor(epoch(ts)) AS BIGINT) - 3600 WHEN 2 THEN CAST(floor(epoch(ts)) AS BIGINT) - 7200 END AS VARCHAR) AS value FROM events
+UNION ALL SELECT 'preview', doc_id, md5(left(text, 200)) FROM documents""",
+    "phase_model_rows": MAIL_SQL + f""", aged AS (SELECT id, date_parsed, {list_queries.AGE} AS age FROM mail), days AS (SELECT *, CAST(floor(age) AS INTEGER) AS day FROM aged WHERE age < 7)
+SELECT id, day, CAST((row_number() OVER (PARTITION BY day ORDER BY date_parsed DESC, id) - 1) // 100 AS INTEGER) AS n FROM days ORDER BY date_parsed DESC, id LIMIT 50""",
+    "status_report": "WITH found AS (" + list_queries.ORACLES["pipeline_status"].replace(BODY_SQL, WHOLE_BODY_SQL) + f") SELECT {_STATUS_LINES} || CASE WHEN llm_remaining > 0 THEN chr(10) || 'Needs LLM (remaining):  ' || format('{{:,}}', llm_remaining) ELSE '' END AS report FROM found",
+    "contact_profile_response": "WITH a AS (" + queries.ORACLES["contact_profile"] + "), b AS (" + feature_queries.ORACLES["contact_avg_response"] + ") SELECT * FROM a LEFT JOIN b USING (email)",
+    **{f"{n}_whole": module.ORACLES[n].replace(BODY_SQL, WHOLE_BODY_SQL) for n, module in WHOLE.items()},
     "dedup_ttl": f"""WITH RECURSIVE said AS (SELECT DISTINCT 'user' || (user_id % 20) || '@corp.test' AS email, CAST(event_id % 3 AS VARCHAR) AS history_id, ts AS t FROM events WHERE event_id % 17 <> 0),
 links AS (SELECT a.email, a.history_id, a.t, min(b.t) AS further FROM said a LEFT JOIN said b ON a.email = b.email AND a.history_id = b.history_id AND b.t > a.t + INTERVAL {DAY} SECOND GROUP BY ALL),
 kept AS (SELECT email, history_id, min(t) AS t FROM said GROUP BY ALL UNION ALL SELECT k.email, k.history_id, l.further FROM kept k JOIN links l ON k.email = l.email AND k.history_id = l.history_id AND k.t = l.t WHERE l.further IS NOT NULL)

@@ -25,17 +25,17 @@ def _projects(spark, sf_dir):
     return found.withColumns({"created_at": F.col("last_activity"), "is_active": F.col("email_count") > 5}), links
 
 
-def _tasks(spark, sf_dir):
+def _tasks(spark, sf_dir, whole=False):
     """Tasks from signals, every third completed, with project and creation date."""
     mail = messages(spark, sf_dir).select(F.col("id").alias("email_id"), F.col("from_email").alias("project_id"), F.col("date_parsed").alias("created_at"))
-    tasks = entity_queries.tasks_from_signals(spark, sf_dir).join(mail, "email_id")
+    tasks = entity_queries.tasks_from_signals(spark, sf_dir, whole).join(mail, "email_id")
     return tasks.withColumns({"status": F.when(F.col("email_id") % 3 == 0, "completed").otherwise("pending"), "completed_at": F.lit(None).cast("timestamp_ntz")})
 
 
-def inbox_priority_page(spark, sf_dir, limit=100, offset=20):
-    ranks = scoring.QUERIES["priority_rank"](spark, sf_dir).filter("id % 10 <> 0")
+def inbox_priority_page(spark, sf_dir, limit=100, offset=20, whole=False):
+    ranks = scoring.QUERIES["priority_rank"](spark, sf_dir, whole).filter("id % 10 <> 0")
     projects, links = _projects(spark, sf_dir)
-    return inbox.priority_inbox(messages(spark, sf_dir), ranks, entity_queries.priority_contexts(spark, sf_dir), _tasks(spark, sf_dir), links, projects, limit, offset)
+    return inbox.priority_inbox(messages(spark, sf_dir), ranks, entity_queries.priority_contexts(spark, sf_dir, whole), _tasks(spark, sf_dir, whole), links, projects, limit, offset)
 
 
 def _meta(spark, sf_dir):
@@ -68,8 +68,8 @@ def upsert_cluster_meta(spark, sf_dir):
     return keyed.upsert_cluster_meta(target, batch)
 
 
-def task_transition(spark, sf_dir):
-    tasks = _tasks(spark, sf_dir)
+def task_transition(spark, sf_dir, whole=False):
+    tasks = _tasks(spark, sf_dir, whole)
     new = tasks.filter("email_id % 5 < 2").select("task_id", F.when(F.col("email_id") % 5 == 0, "completed").otherwise("dismissed").alias("status"), F.col("created_at").alias("at"))
     return keyed.task_transition(tasks, new).select("task_id", "status", "completed_at")
 
@@ -81,13 +81,13 @@ def upsert_repeated(spark, sf_dir):
     return keyed.upsert_first(mail, batch, ["id"], "date_parsed", "subject")
 
 
-def tasks_beside_known(spark, sf_dir):
+def tasks_beside_known(spark, sf_dir, whole=False):
     """Tasks from signals where some messages have one already."""
     known = messages(spark, sf_dir).filter("id % 2 = 0").select(F.col("id").alias("email_id"))
     contacts = m.contact_profile(messages(spark, sf_dir))
     from interlake.operators import rules as r
 
-    return e.tasks_from_signals(scoring.QUERIES["detect_patterns"](spark, sf_dir), messages(spark, sf_dir), contacts, r.real_person(messages(spark, sf_dir), contacts), known)
+    return e.tasks_from_signals(scoring.QUERIES["detect_patterns"](spark, sf_dir, whole), messages(spark, sf_dir), contacts, r.real_person(messages(spark, sf_dir), contacts), known)
 
 
 def row_validation(spark, sf_dir):
@@ -139,8 +139,8 @@ def _states(spark, sf_dir):
     return _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.lit("idle").alias("status"), F.max("o_orderdate").alias("last_sync_at"), F.count(F.lit(1)).alias("emails_synced"))
 
 
-def pipeline_status(spark, sf_dir):
-    tables = {"emails": messages(spark, sf_dir), "threads": m.thread_stats(messages(spark, sf_dir)), "embeddings": vectors(spark, sf_dir), "ai_classification": scoring.QUERIES["handleability"](spark, sf_dir), "users": m.contact_profile(messages(spark, sf_dir)), "llm_classification": messages(spark, sf_dir).filter("id % 9 = 0"), "clusters": None}
+def pipeline_status(spark, sf_dir, whole=False):
+    tables = {"emails": messages(spark, sf_dir), "threads": m.thread_stats(messages(spark, sf_dir)), "embeddings": vectors(spark, sf_dir), "ai_classification": scoring.QUERIES["handleability"](spark, sf_dir, whole), "users": m.contact_profile(messages(spark, sf_dir)), "llm_classification": messages(spark, sf_dir).filter("id % 9 = 0"), "clusters": None}
     return status.pipeline_status(tables)
 
 
@@ -152,8 +152,8 @@ def _envelope(spark, sf_dir):
 QUERIES = {
     "inbox_priority_page": inbox_priority_page,
     "page_envelope": _envelope,
-    "task_page_created": lambda spark, sf_dir: inbox.page(_tasks(spark, sf_dir), [F.desc_nulls_last("urgency_score"), F.desc("created_at"), F.asc("task_id")]).select("task_id", "urgency_score", "created_at"),
-    "task_detail": lambda spark, sf_dir: inbox.task_detail(_tasks(spark, sf_dir), _projects(spark, sf_dir)[0]).select("task_id", "project_name"),
+    "task_page_created": lambda spark, sf_dir, whole=False: inbox.page(_tasks(spark, sf_dir, whole), [F.desc_nulls_last("urgency_score"), F.desc("created_at"), F.asc("task_id")]).select("task_id", "urgency_score", "created_at"),
+    "task_detail": lambda spark, sf_dir, whole=False: inbox.task_detail(_tasks(spark, sf_dir, whole), _projects(spark, sf_dir)[0]).select("task_id", "project_name"),
     "project_page": lambda spark, sf_dir: inbox.project_page(_projects(spark, sf_dir)[0], active=True).select("project_id", "name", "last_activity"),
     "org_page": lambda spark, sf_dir: inbox.newest_page(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("org_id"), F.col("o_orderdate").alias("created_at")), "org_id", 20, 40),
     "project_count": lambda spark, sf_dir: status.project_count(_projects(spark, sf_dir)[0], active=True),

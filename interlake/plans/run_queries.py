@@ -37,27 +37,27 @@ def header_fields(spark, sf_dir):
     )
 
 
-def _run(spark, sf_dir, **earlier):
+def _run(spark, sf_dir, whole=False, **earlier):
     mail = messages(spark, sf_dir)
     contacts = m.contact_profile(mail)
     content = vectors(spark, sf_dir).select("id", "cluster").join(mail.filter("NOT is_sent").select("id"), "id")
     answers = feature_queries._answers(spark, sf_dir).filter("NOT parse_error")
-    scores = scoring.QUERIES["priority_score"](spark, sf_dir)
-    return extract_all(mail, contacts, r.real_person(mail, contacts), answers, scoring.QUERIES["detect_patterns"](spark, sf_dir), content, scores, m.thread_stats(mail), ME, **earlier)
+    scores = scoring.QUERIES["priority_score"](spark, sf_dir, whole)
+    return extract_all(mail, contacts, r.real_person(mail, contacts), answers, scoring.QUERIES["detect_patterns"](spark, sf_dir, whole), content, scores, m.thread_stats(mail), ME, **earlier)
 
 
-def extract_again(spark, sf_dir):
+def extract_again(spark, sf_dir, whole=False):
     """The counts of a second run over what the first one made."""
-    first = _run(spark, sf_dir)
+    first = _run(spark, sf_dir, whole)
     projects = first["thread_projects"].select("owner_email").unionByName(first["cluster_projects"].select("cluster_id"), allowMissingColumns=True)
-    return _run(spark, sf_dir, tasks=first["tasks"], projects=projects, contexts=first["contexts"])["counts"]
+    return _run(spark, sf_dir, whole, tasks=first["tasks"], projects=projects, contexts=first["contexts"])["counts"]
 
 
 QUERIES = {
     "mailbox_report": mailbox_report,
     "header_fields": header_fields,
     "label_counts": lambda spark, sf_dir: mf.label_counts(messages(spark, sf_dir)),
-    "extract_all": lambda spark, sf_dir: _run(spark, sf_dir)["counts"],
+    "extract_all": lambda spark, sf_dir, whole=False: _run(spark, sf_dir, whole)["counts"],
     "extract_again": extract_again,
 }
 

@@ -46,6 +46,13 @@ def phase_batches(mail: DataFrame, phase: Phase) -> DataFrame:
     return rows.withColumn("batch", F.struct(F.col("_day").alias("day"), F.floor(nth / phase.batch).cast("int").alias("n"))).drop("_age", "_day", "as_of")
 
 
+def for_model(rows: DataFrame, phase: Phase) -> DataFrame:
+    """The phase's rows that a model may be asked about: none where the phase doesn't ask, the newest `model_most` where it has a limit, else all."""
+    if not phase.ask_model:
+        return rows.limit(0)
+    return rows.orderBy(F.desc("date_parsed"), "id").limit(phase.model_most) if phase.model_most is not None else rows
+
+
 def run_phases(mail: DataFrame, todo: list[Phase], work: Callable[[DataFrame, Phase], None]) -> list[str]:
     """work() on each phase's messages, in order; the first that fails stops the run. Returns the names of those done."""
     done = []

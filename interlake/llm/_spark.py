@@ -47,12 +47,13 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing uses any more; it does so only when the driver collects its garbage.
 
     Python tells the driver's JVM of objects that are gone a little later, and Spark's listeners hold on to the query that ended
-    last, so a small one takes its place first.
+    last until they hear of another, so it takes a few rounds, each with a small query.
     """
     gc.collect()
-    time.sleep(0.5)
-    spark.range(1).count()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(4):
+        time.sleep(0.4)
+        spark.range(1).count()
+        spark.sparkContext._jvm.System.gc()
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,15 @@ WORDS = {
     NEGATION: "not no never nor without isn't aren't nicht kein keine keinen nie niemals pas jamais aucun sin nunca ningún tampoco",
     REPORT: "said says say wrote writes quoted reported claims claimed called according sagte sagt schrieb laut dit écrit selon dijo dice escribió según",
 }
+#: Stems and endings of the verbs of threat, by language: every stem takes every ending of its row.
+THREAT_FORMS = [
+    ("kill hurt destroy burn stab crush beat shoot", ["", "s", "es", "ed", "en", "ing"]),
+    ("töt vernicht verbrenn schlag", ["en", "e", "st", "est", "t", "et", "te", "ten", "ete", "eten", "end"]),
+    ("tu frapp brûl", ["er", "e", "es", "ent", "ons", "ez", "é", "ée", "és", "ant", "erai", "eras", "era", "erons", "erez", "eront", "erais", "erait"]),
+    ("mat golpe quem", ["ar", "o", "as", "a", "amos", "an", "é", "aste", "ó", "aron", "aré", "arás", "ará", "aremos", "arán", "aría", "ando", "ado", "ada"]),
+    ("détrui", ["re", "s", "t", "sent", "rai", "ras", "ra", "ront", "sant", "te"]),
+    ("destru", ["ir", "yo", "yes", "ye", "yen", "iré", "irás", "irá", "irán", "yó", "ido", "yendo"]),
+]
 ROOTS = (4, 5, 6)
 #: How many words each memory lasts.
 LASTS = {NEGATION: 3, TARGET: 4, REPORT: 12}
@@ -41,7 +50,9 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 
 @lru_cache(1)
 def closed_classes() -> dict[str, int]:
-    return {w: kind for kind, words in WORDS.items() for w in words.split()}
+    """Symbol of every listed word, and of every form of a verb of threat that isn't listed otherwise."""
+    forms = {stem + ending: THREAT for stems, endings in THREAT_FORMS for stem in stems.split() for ending in endings}
+    return forms | {w: kind for kind, words in WORDS.items() for w in words.split()}
 
 
 @lru_cache(1)

@@ -79,7 +79,7 @@ def test_line_dedup(spark, texts):
     assert {r["doc_id"]: r["kept"] for r in line_dedup.keep_first(docs, filter_bits=12).collect()} == first
 
 
-def test_suffix_dedup(spark, texts, monkeypatch):
+def test_suffix_dedup(spark, texts):
     seen, want = set(), {}
     for i, t in enumerate(texts):
         b = (t or "").encode()
@@ -97,6 +97,17 @@ def test_suffix_array_and_common_prefixes():
     for text in (b"banana", b"a" * 50, bytes(random.Random(2).choices(b"ab", k=400))):
         order = suffix_dedup.suffix_array(np.frombuffer(text, np.uint8))
         assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        # Windows of two snippets; each one's common prefix with the window before it, 9 bytes at most.
+        starts, counts = np.array([0, len(text) // 2]), np.array([len(text) // 3, len(text) // 3])
+        windows = {s + k for s, c in zip(starts.tolist(), counts.tolist()) for k in range(c)}
+        own = np.array([i for i in order.tolist() if i in windows])
+        got = suffix_dedup.common_prefixes(np.frombuffer(text, np.uint8), own, starts, counts, 9)
+        for before, i in zip([None, *own.tolist()], own.tolist()):
+            common = 0
+            while before is not None and common < 9 and max(i, before) + common < len(text) and text[i + common] == text[before + common]:
+                common += 1
+            assert got[i] == common
+        assert all(got[i] == -1 for i in range(len(text)) if i not in windows)
 
 
 def test_near_duplicates(spark, texts):
@@ -198,6 +209,36 @@ def test_packing(spark, texts):
         assert [r["offset"] for r in held] == np.cumsum([0, *[r["length"] for r in held[:-1]]]).tolist() and sum(r["length"] for r in held) <= 64
 
 
+def test_packing_takes_the_least_sum_of_squares():
+    for seed, capacity, least in ((1, 12, 1), (2, 40, 5), (3, 100, 1), (4, 7, 7)):
+        rnd = random.Random(seed)
+        lengths = [rnd.randint(least, capacity) if rnd.random() < 0.7 else capacity // 3 + 1 for _ in range(300)]
+        gaps, want = [], {}  # of each bin its gap
+        stack = {g: [] for g in range(capacity + 1)}  # bins by gap, the last to come first
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            s = lengths[i]
+
+            def total(g, s=s):
+                """The sum of squared counts of open bins by gap, once this piece is in a bin of gap g."""
+                after = [*gaps]
+                after[after.index(g)] = g - s
+                return sum(n * n for left, n in Counter(after).items() if left)
+
+            able = sorted({g for g in gaps if g >= s})
+            if able:
+                gap = min(able, key=lambda g: (total(g), g))
+                b = stack[gap].pop()
+            else:
+                gap, b = capacity, len(gaps)
+                gaps.append(capacity)
+            want[i] = (b, capacity - gap)
+            gaps[b] = gap - s
+            if gap > s:
+                stack[gap - s].append(b)
+        which, offset = packing.sum_of_squares(np.array(lengths), capacity)
+        assert [(int(b), int(o)) for b, o in zip(which, offset)] == [want[i] for i in range(len(lengths))]
+
+
 def test_token_files(spark, texts):
     got = {r["doc_id"]: r for r in token_files.round_trip(table(spark, texts), tokenizer=TOKENIZER, partitions=3).collect()}
     plain, start = Tokenizer.from_file(TOKENIZER), 0
@@ -271,6 +312,55 @@ def test_toxicity(spark):
     assert all(got[i] == int(i % 4 == 0) for i in range(200)) and got[200] == got[201] == 0
 
 
+def test_lexicon_equals_counts_by_hand(spark):
+    rnd = random.Random(10)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 5))) for _ in range(60)]
+    texts = []
+    for i in range(160):
+        w = [rnd.choice(words) for _ in range(25)]
+        if i % 3 == 0:
+            w[rnd.randrange(25)] = rnd.choice(["dumbos", "dumboes", "dumbox", "dumbony", "dumb"])
+        texts.append((" ".join(w).title() if i % 2 else ", ".join(w), int(i % 3 == 0)))
+    texts += [texts[0]] * 4 + [("", 1), ("", 0)]
+    limits = {"support": 4, "odds": 0.5, "surprise": 1.0}
+    got = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, toxic int"), **limits)
+    held, follow = {0: Counter(), 1: Counter()}, {}
+    for text, toxic in texts:
+        w = re.split(r"[^a-z]+", text.lower())
+        held[toxic].update(x for x in set(w) if len(x) > 2)
+        if toxic:
+            for a, b in zip(w, [*w[1:], ""]):
+                follow.setdefault(a, set()).add(b)
+    t = {w: min(held[1][w], len(follow.get(w, ()))) for w in {*held[0], *held[1]}}
+    c = {w: held[0][w] for w in t}
+    share = sum(t.values()) / (sum(t.values()) + sum(c.values()))
+
+    def strong(t, c, least):
+        odd = np.log((t + 0.5) / (c + 0.5)) - np.log(share / (1 - share))
+        ratio = 2 * ((t * np.log(t / ((t + c) * share)) if t else 0) + (c * np.log(c / ((t + c) * (1 - share))) if c else 0))
+        return odd if t >= least and odd >= limits["odds"] and ratio >= limits["surprise"] else None
+
+    want = {w: strong(t[w], c[w], limits["support"]) for w in t}
+    roots = {}
+    for w in t:
+        for n in toxicity.ROOTS:
+            if len(w) > n:
+                roots.setdefault(w[:n], []).append(w)
+    rooted = {r: strong(sum(t[w] for w in ws), sum(c[w] for w in ws), 2 * limits["support"]) for r, ws in roots.items() if sum(t[w] > 0 for w in ws) >= 4}
+    assert got.words == pytest.approx({w: o for w, o in want.items() if o is not None}) and len(got.words) > 2
+    assert got.roots == pytest.approx({r: o for r, o in rooted.items() if o is not None}) and "dumb" in got.roots
+
+
+def test_inflected_threats():
+    lexicon = toxicity.Lexicon({}, {})
+    at = dict(zip(toxicity.CHANNELS, range(8)))
+    for said in ("he is killing them", "they destroyed you", "er tötet dich", "wir vernichteten sie", "il te brûlera", "te mataré", "destruyeron y destruyen", "ils frappaient, ils frappent"):
+        assert lexicon.channels(said)[4:].sum() >= 1, said
+    assert lexicon.channels("nobody will ever be killed by you")[at["threat_targeted"]] == 1
+    assert lexicon.channels("tu es là")[4:].sum() == 0  # a pronoun, no verb
+    assert lexicon.candidates(["they destroyed it", "nothing here"]).tolist() == [True, False]
+
+
 def test_toxicity_grammar_channels():
     lexicon = toxicity.Lexicon({"nitwit": 2.0}, {"bloc": 1.0})
     at = dict(zip(toxicity.CHANNELS, range(8)))

@@ -56,6 +56,29 @@ class Query:
         self.planes = [pack_signs(((level >> k) & 1).astype(np.int8)) for k in range(4)]
         self.total = level.sum(1, dtype=np.int64)
 
+    def stored(self) -> list[bytes]:
+        """Each row as bytes, to be stored beside its code: half a byte a dimension and three numbers."""
+        words = np.concatenate(self.planes, 1).view(np.uint8)
+        return [w.tobytes() + np.array([a, b, t], np.float64).tobytes() for w, a, b, t in zip(words, self.least, self.step, self.total, strict=True)]
+
+    @classmethod
+    def read(cls, rows: list[bytes], dims: int) -> Query:
+        """Rows that stored() gave."""
+        out = cls.__new__(cls)
+        raw = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+        out.dims, wide = dims, (raw.shape[1] - 3) // 4
+        out.planes = [np.ascontiguousarray(raw[:, k * wide : (k + 1) * wide]) for k in range(4)]
+        figures = np.ascontiguousarray(raw[:, 4 * wide :]).view(np.float64)
+        out.least, out.step, out.total = figures[:, 0].copy(), figures[:, 1].copy(), figures[:, 2].astype(np.int64)
+        return out
+
+    def some(self, at: np.ndarray) -> Query:
+        """These rows alone."""
+        out = type(self).__new__(type(self))
+        out.dims, out.planes = self.dims, [p[at] for p in self.planes]
+        out.least, out.step, out.total = self.least[at], self.step[at], self.total[at]
+        return out
+
     def estimate(self, rows: slice, codes: np.ndarray, ones: np.ndarray, factor: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
         """Estimated cosines of these rows with coded ones, and a bound of their error at `sure` standard widths of code and steps.
 
@@ -118,6 +141,23 @@ def _links(a: dict, b: dict | None, threshold: float, sure: float):
             yield i[good], j[good]
 
 
+def _near(query: Query, codes: np.ndarray, factor: np.ndarray, sides: tuple, threshold: float, sure: float) -> np.ndarray:
+    """True for the rows that have a partner whose estimate doesn't rule the threshold out: rows of sides[0] with one another, or with those of sides[1]."""
+    left, right = sides[0], sides[0] if sides[1] is None else sides[1]
+    out = np.zeros(len(codes), bool)
+    asked, other, own = query.some(left), codes[right], factor[right]
+    ones = np.bitwise_count(other).sum(1, dtype=np.int64)
+    for first in range(0, len(left), 256):
+        rows = slice(first, min(first + 256, len(left)))
+        got, width = asked.estimate(rows, other, ones, own, sure)
+        close = got + width >= threshold
+        if sides[1] is None:
+            close[np.arange(rows.stop - rows.start), np.arange(rows.start, rows.stop)] = False
+        out[left[rows]] |= close.any(1)
+        out[right] |= close.any(0)
+    return out
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     """Rows of length 1; scaled by their largest component first, so that no square overflows or vanishes."""
     raw = raw / np.abs(raw).max(1, keepdims=True)
@@ -160,7 +200,8 @@ def link_vectors(
     is found with probability `recall` (of meeting in a bucket) times that of the bound, and links above it more likely.
 
     Equal vectors of a label become one row with a count. Bits and tables follow each label's
-    count, so buckets keep their size as data grows. A bucket above BLOCK rows, as a dense
+    count, so buckets keep their size as data grows. Buckets first get codes and quantised rows only, and tell which rows have a partner that
+    the estimate doesn't rule out; those rows' vectors alone are fetched for the exact cosines. A bucket above BLOCK rows, as a dense
     cluster or a hot label makes, is compared in blocks by several tasks. Each pair counts in
     the first table where it meets. What leaves a task is a number of links for each vector and
     the edges of a spanning forest, never the pairs. Repeated vec_ids count as rows of their own
@@ -177,7 +218,7 @@ def link_vectors(
     per_label = reps.groupBy("label").agg(F.count(F.lit(1)).alias("of_label"))
     reps = checkpointed(reps.join(per_label, "label"))
 
-    keyed = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("rep", pa.int64()), ("n", pa.int64()), ("vector", pa.list_(pa.float32() if kind == "float" else pa.float64())), ("keys", pa.list_(pa.int64())), ("code", pa.binary()), ("factor", pa.float64())])
+    keyed = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("rep", pa.int64()), ("n", pa.int64()), ("vector", pa.list_(pa.float32() if kind == "float" else pa.float64())), ("keys", pa.list_(pa.int64())), ("code", pa.binary()), ("factor", pa.float64()), ("steps", pa.binary())])
 
     def key(batches):
         for batch in sliced(batches, 4096):
@@ -185,22 +226,40 @@ def link_vectors(
             sizes, dims = t["of_label"].to_numpy(), np.array([len(v) for v in t["vector"]])
             keys: list = [None] * len(sizes)
             codes: list = [None] * len(sizes)
+            steps: list = [None] * len(sizes)
             factors = np.zeros(len(sizes))
             for size, d in sorted(set(zip(sizes.tolist(), dims.tolist(), strict=True))):
                 at = np.flatnonzero((sizes == size) & (dims == d))
                 raw = np.array(t["vector"].take(at).to_pylist(), np.float64)
                 unit = _unit(raw)
                 signs, factors[at] = encode(unit)
-                for i, k, code in zip(at, bucket_keys(unit, *plan(size, threshold, recall)), pack_signs(signs), strict=True):
-                    keys[i], codes[i] = k, code.tobytes()
-            yield pa.RecordBatch.from_arrays([t["label"].combine_chunks(), pa.array(dims, pa.int32()), t["rep"].combine_chunks(), t["n"].combine_chunks(), t["vector"].combine_chunks(), pa.array(keys, pa.list_(pa.int64())), pa.array(codes, pa.binary()), pa.array(factors)], schema=keyed)
-
-    coded = reps.select("label", "rep", "n", "vector", "of_label").mapInArrow(key, f"label string, dims int, rep long, n long, vector array<{kind}>, keys array<long>, code binary, factor double")
-    places = coded.select("*", F.posexplode("keys").alias("t", "key"))
+                asked = Query(unit @ rotation(d, 1)).stored()
+                for i, k, code, q in zip(at, bucket_keys(unit, *plan(size, threshold, recall)), pack_signs(signs), asked, strict=True):
+                    keys[i], codes[i], steps[i] = k, code.tobytes(), q
+            yield pa.RecordBatch.from_arrays([t["label"].combine_chunks(), pa.array(dims, pa.int32()), t["rep"].combine_chunks(), t["n"].combine_chunks(), t["vector"].combine_chunks(), pa.array(keys, pa.list_(pa.int64())), pa.array(codes, pa.binary()), pa.array(factors), pa.array(steps, pa.binary())], schema=keyed)
+
+    made = reps.select("label", "rep", "n", "vector", "of_label").mapInArrow(key, f"label string, dims int, rep long, n long, vector array<{kind}>, keys array<long>, code binary, factor double, steps binary")
+    coded = checkpointed(made)
+    # Codes and steps go to the buckets, about a byte a dimension; vectors follow only where an estimate leaves a partner.
+    places = coded.select("label", "dims", "rep", "code", "factor", "steps", F.posexplode("keys").alias("t", "key"))
     sizes = places.groupBy("label", "dims", "t", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     spread = places.join(sizes, ["label", "dims", "t", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    near_schema = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("t", pa.int32()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("own", pa.int32()), ("rep", pa.int64())])
+
+    def sides_of(own: np.ndarray, lo: int, hi: int) -> tuple:
+        return np.flatnonzero(own == lo), None if lo == hi else np.flatnonzero(own == hi)
+
+    def estimate_block(rows: pa.Table) -> pa.Table:
+        codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        query = Query.read(rows["steps"].to_pylist(), rows["dims"][0].as_py())
+        near = _near(query, codes, rows["factor"].to_numpy(), sides_of(rows["own"].to_numpy(), rows["lo"][0].as_py(), rows["hi"][0].as_py()), threshold, sure)
+        return rows.select(near_schema.names).filter(pa.array(near)).cast(near_schema)
+
+    block = ["label", "dims", "t", "key", "lo", "hi"]
+    slim = spread.select(*block, "own", "rep", "code", "factor", "steps").groupBy(*block).applyInArrow(estimate_block, "label string, dims int, t int, key long, lo int, hi int, own int, rep long")
+    spread = slim.join(coded.select("label", "dims", "rep", "n", "vector", "keys", "code", "factor"), ["label", "dims", "rep"])
 
     found_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
@@ -208,7 +267,7 @@ def link_vectors(
         table, lo, hi = rows["t"][0].as_py(), rows["lo"][0].as_py(), rows["hi"][0].as_py()
         block = _block(rows)
         own = rows["own"].to_numpy()
-        sides = (np.flatnonzero(own == lo), None if lo == hi else np.flatnonzero(own == hi))
+        sides = sides_of(own, lo, hi)
         parts = [None if s is None else {k: v[s] for k, v in block.items()} for s in sides]
         count = np.zeros(len(own), np.int64)
         pairs = []

@@ -463,6 +463,24 @@ def test_bit_estimate_holds_its_bound():
     assert abs(error.mean()) < 0.005 and (np.abs(error) <= width).mean() > 0.999
 
 
+def test_stored_steps_and_rows_with_partners():
+    rnd = np.random.default_rng(19)
+    centres = rnd.standard_normal((40, 70))
+    x = np.concatenate([centres, centres[:15] + 0.1 * rnd.standard_normal((15, 70))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    made = embedding_dedup.Query(x @ embedding_dedup.rotation(70, 1))
+    back = embedding_dedup.Query.read(made.stored(), 70)
+    assert all((a == b).all() for a, b in zip([*made.planes, made.least, made.step, made.total], [*back.planes, back.least, back.step, back.total]))
+    signs, factor = embedding_dedup.encode(x)
+    codes = embedding_dedup.pack_signs(signs)
+    close = x @ x.T >= 0.93
+    np.fill_diagonal(close, False)
+    alone = embedding_dedup._near(back, codes, factor, (np.arange(55), None), 0.93, 4.0)
+    assert close.any(1).sum() == 30 and alone[close.any(1)].all() and alone.sum() < 45  # none missed, most others ruled out
+    two = embedding_dedup._near(back, codes, factor, (np.arange(40), np.arange(40, 55)), 0.93, 4.0)
+    assert two[close.any(1)].all() and not two[15:40].all()
+
+
 def test_strays_of_a_full_bucket(spark, monkeypatch):
     """Members of a bucket in other components than the largest meet all of it, block by block."""
     monkeypatch.setattr(minhash_dedup, "BLOCK", 4)

@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, doc_id: str =
     Null texts are empty and have the end id alone. Null doc_ids are written as the smallest long,
     first. A range of ids goes to each task, which writes one file under a temporary
     name and renames it, so an attempt that dies leaves nothing that counts and a repeated one
-    replaces its own file. Rows of equal doc_id go by text.
+    replaces its own file. Rows of equal doc_id go by a hash of their text, within files and across them, equal hashes by text.
     """
     base = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     keys = [F.col("doc_id"), F.xxhash64("text")]
@@ -153,7 +153,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, doc_id: str =
             system.move(trial, name)
             yield pa.RecordBatch.from_pydict({"file": [f"part-{part:06d}.zst"], "part": [part], "n_docs": [n_docs], "n_tokens": [n_tokens]}, schema=schema)
 
-    return ranged.sortWithinPartitions("doc_id", "text").mapInArrow(run, "file string, part int, n_docs long, n_tokens long")
+    return ranged.sortWithinPartitions(*keys, F.col("text")).mapInArrow(run, "file string, part int, n_docs long, n_tokens long")
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:

@@ -249,7 +249,8 @@ def fit(labelled: DataFrame, lexicon: Lexicon, *, sample_rows: int = 20_000) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", broadcast_labels: int = 1 << 20, **options) -> dict:
-    """Lexicon and channel weights from the labelled rows for which `learn` (on doc_id) holds. Null labels and texts are left out.
+    """Lexicon and channel weights from the labelled rows for which `learn` (on doc_id) holds. Null labels, texts and ids are left out; a doc_id with several
+    label rows, or several texts, counts with each pair.
 
     Labels (two numbers each) go to the texts by broadcast if there are `broadcast_labels` at most; else both sides shuffle.
     """

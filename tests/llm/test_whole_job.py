@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import zlib
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from interlake.llm import line_dedup, minhash_dedup, mixing, suffix_dedup, tokens, toxicity
+from interlake.llm import language_id, line_dedup, minhash_dedup, mixing, packing, suffix_dedup, telephony, token_files, tokens, toxicity
 from interlake.llm._text import codepoints
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -284,3 +287,51 @@ def test_mixing_keeps_columns_of_any_name(spark):
     rows = [(i, f"some words {i}") for i in range(20)]
     mixed = mixing.repeat_mixed(repeated_docs(spark, rows))
     assert mixed.columns == repeated_docs(spark, rows).columns and mixed.count() == 20
+
+
+def test_repeated_null_and_long_documents_everywhere(spark, tmp_path):
+    """Ids that repeat or are null, repeated rows and a text above 1 MiB: every row comes out, equal texts with equal results."""
+    rnd = random.Random(31)
+    words = ["water", "school", "the", "nitwit", "of", "Haus", "l'eau", "día"]
+    long = " ".join(rnd.choice(words) for _ in range(250_000))
+    assert len(long) > 1 << 20
+    rows = [(None, "the school"), (None, None), (5, "the same water"), (5, "the same water"), (5, "another of them"), (6, long), (None, "the school"), (7, ""), (5, None)]
+    docs = repeated_docs(spark, rows)
+    want = sorted(map(str, (i for i, _ in rows)))
+    named = lambda got: sorted(str(r["doc_id"]) for r in got)
+
+    model = language_id.train(docs, learn=F.lit(True))
+    got = language_id.predict(docs, model).collect()
+    assert named(got) == want and len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 5}) <= 3
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    sizes = [len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows]
+    pieces = packing.pack(packing.tokenized_pieces(docs, tokenizer=TOKENIZER), n_rows=20, capacity=1024).collect()
+    assert sum(r["length"] for r in pieces) == sum(sizes) and len(pieces) == sum(-(-n // 1024) for n in sizes)
+    held = {}
+    for r in pieces:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in sorted(x)[:k]) == sorted(x)[k][0] for x in held.values() for k in range(len(x)))
+
+    labels = spark.createDataFrame([(5, 1), (5, 1), (6, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert named(scored) == want and all(0 <= r["score"] <= 1 for r in scored)
+
+    media = telephony.decode_media(telephony.store_payloads(docs).select(F.struct("doc_id", "n_bytes").alias("row"), "media"), key="row", digests=True).collect()
+    padded = [(t or "").encode() for _, t in rows]
+    padded = [b + b"\xff" * (-len(b) % 576 if b else 576) for b in padded]
+    assert sorted(r["payload_sha256"] for r in media) == sorted(hashlib.sha256(b).hexdigest() for b in padded)
+    assert sorted(r["tail_crc32"] for r in media) == sorted(zlib.crc32(b[-32:]) for b in padded)
+    by_payload = {}
+    for r in media:
+        by_payload.setdefault(r["payload_sha256"], set()).add((r["media_sha256"], r["media_bytes"], r["feature"], r["tail_crc32"]))
+    assert all(len(x) == 1 for x in by_payload.values())
+
+    folder = str(tmp_path / "tokens")
+    manifest = token_files.write_tokens(docs, folder, tokenizer=TOKENIZER, partitions=3)
+    files = spark.createDataFrame(manifest.collect(), manifest.schema)
+    read = sorted(token_files.read_tokens(spark, folder, files, with_ids=True).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in read] == sorted(-(1 << 63) if i is None else i for i, _ in rows)
+    assert sum(r["n_tokens"] for r in read) == sum(sizes) and all(len(r["ids"]) == r["n_tokens"] and r["ids"][-1] == 2 for r in read)
+    assert [r["start"] for r in read] == [sum(r["n_tokens"] for r in read[:k]) for k in range(len(read))]
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in read)

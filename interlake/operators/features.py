@@ -121,24 +121,26 @@ def standard_scale(matrix: DataFrame, *columns: str) -> DataFrame:
     return out.withColumns(scaled).drop(*figures.columns)
 
 
-def kmeans_clusters(matrix: DataFrame, columns: list[str], most: int, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
-    """(id, cluster, prob): KMeans with `most` clusters, or as many as there are different rows; the seed with the least cost wins.
+def kmeans_clusters(matrix: DataFrame, columns: list[str], most: int, seeds: tuple[int, ...] = tuple(range(42, 52))) -> DataFrame:
+    """(id, cluster, prob): KMeans with `most` clusters, or as many as there are different rows; of ten starts the one with the least cost wins.
 
-    prob is 1 - distance / largest distance, 1 if all distances are 0. Columns are expected to be scaled. No rows give no rows.
+    Equal rows are one row with a weight in the fits, so few kinds of rows cost little however many rows there are. prob is 1 - distance /
+    largest distance, 1 if all distances are 0. Columns are expected to be scaled. No rows give no rows.
     """
     values = F.array(*columns) if len(columns) > 1 else F.col(columns[0])
-    rows = matrix.select("id", values.alias("v"))
-    few = rows.agg(F.count_distinct(F.xxhash64("v")).alias("n")).first()["n"] <= most  # hashes shuffle, not vectors
-    if few:  # each different row is a cluster
-        kinds = [tuple(r["v"]) for r in rows.select("v").distinct().collect()]
+    rows = checkpointed(matrix.select("id", values.alias("v")))  # read by the count of kinds and by what places the rows
+    different = checkpointed(rows.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    if different.count() <= most:  # each different row is a cluster
+        kinds = [tuple(r["v"]) for r in different.select("v").collect()]
         if not kinds:
             return matrix.sparkSession.createDataFrame([], "id long, cluster int, prob double")
         number = reduce(lambda out, kv: F.when(F.col("v") == F.array(*map(F.lit, kv[1])), kv[0]).otherwise(out), enumerate(sorted(kinds)), F.lit(None).cast("int"))
         return rows.select("id", number.alias("cluster"), F.lit(1.0).alias("prob"))
-    rows = checkpointed(rows.select("id", array_to_vector("v").alias("x")))  # read by every fit and by what places the rows
-    models = [KMeans(k=most, seed=s, featuresCol="x", predictionCol="cluster").fit(rows) for s in seeds]
+    points = checkpointed(different.select(array_to_vector("v").alias("x"), "w"))
+    models = [KMeans(k=most, seed=s, featuresCol="x", weightCol="w", predictionCol="cluster").fit(points) for s in seeds]
     best = min(models, key=lambda model: model.summary.trainingCost)
     centers = [c.tolist() for c in best.clusterCenters()]
+    rows = rows.select("id", array_to_vector("v").alias("x"))
     centre = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in centers]), F.col("cluster") + 1)
     square = F.aggregate(F.zip_with(vector_to_array("x"), centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     placed = best.transform(rows).select("id", "cluster", F.sqrt(square).alias("d"))

@@ -256,10 +256,11 @@ class _Hierarchy:
 
     def clusters(self, many_trees: bool) -> DataFrame:
         """(cluster, parent, stability, able, death): stability sums sizes times levels above the cluster's birth; the only tree's root isn't able to be chosen."""
-        made = _union(self.made).filter("kind = 'split'")
-        events = _union([self.leaves, *[f.select("cluster", "size", "level") for f in self.falls], made.select("cluster", F.col("upto").alias("size"), _level(F.col("e.w")).alias("level"))])
+        splits = [made.filter("kind = 'split'") for made in self.made]  # none where all vectors are equal
+        events = _union([self.leaves, *[f.select("cluster", "size", "level") for f in self.falls], *[s.select("cluster", F.col("upto").alias("size"), _level(F.col("e.w")).alias("level")) for s in splits]])
         sizes = events.groupBy("cluster").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("level")).alias("area"), F.max("level").alias("death"))
-        sides = made.select(F.col("cluster").alias("parent"), _level(F.col("e.w")).alias("birth"), F.explode(F.array("one", "two")).alias("cluster"))
+        none = self.leaves.limit(0).select(F.col("cluster").alias("parent"), F.col("level").alias("birth"), "cluster")
+        sides = _union([none, *[s.select(F.col("cluster").alias("parent"), _level(F.col("e.w")).alias("birth"), F.explode(F.array("one", "two")).alias("cluster")) for s in splits]])
         both = sizes.join(sides, "cluster", "left")
         stability = F.col("area") - F.col("size") * F.coalesce("birth", F.lit(0.0))
         return stored(both.select("cluster", "parent", stability.alias("stability"), (F.col("parent").isNotNull() | F.lit(many_trees)).alias("able"), "death"))

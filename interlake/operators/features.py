@@ -136,10 +136,11 @@ def kmeans_clusters(matrix: DataFrame, columns: list[str], most: int, seeds: tup
             return matrix.sparkSession.createDataFrame([], "id long, cluster int, prob double")
         number = reduce(lambda out, kv: F.when(F.col("v") == F.array(*map(F.lit, kv[1])), kv[0]).otherwise(out), enumerate(sorted(kinds)), F.lit(None).cast("int"))
         return rows.select("id", number.alias("cluster"), F.lit(1.0).alias("prob"))
-    points = checkpointed(different.select(array_to_vector("v").alias("x"), "w"))
+    points = different.select(array_to_vector("v").alias("x"), "w").persist()  # gone through some hundred times; what is lost is read from the checkpoint again
     models = [KMeans(k=most, seed=s, featuresCol="x", weightCol="w", predictionCol="cluster").fit(points) for s in seeds]
     best = min(models, key=lambda model: model.summary.trainingCost)
     centers = [c.tolist() for c in best.clusterCenters()]
+    points.unpersist()
     rows = rows.select("id", array_to_vector("v").alias("x"))
     centre = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in centers]), F.col("cluster") + 1)
     square = F.aggregate(F.zip_with(vector_to_array("x"), centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)

@@ -12,6 +12,7 @@ from interlake.operators import model_inputs as mi
 from interlake.operators import rules as r
 from interlake.plans import queries, scoring
 from interlake.plans.mailbox import BODY_SQL, MAIL_SQL, ME, VECTORS_SQL, WHOLE_BODY_SQL, messages, vectors
+from interlake.storage import checkpointed
 
 TEMPLATE = "From {from_email} on {date}, about {subject}: {body_preview} [{relationship_level}, answered {reply_rate} %, important {is_important}, service {is_service}, score {priority_score}, rank {priority_rank}, tier {llm_priority}, {unknown}]"
 
@@ -68,14 +69,14 @@ def _stand_ins(spark, sf_dir):
     return one(15, "true"), one(7, "id % 3 > 0"), one(8, "id % 5 > 0"), one(6, "true"), one(4, "id % 2 = 0")
 
 
-def _matrices(spark, sf_dir):
-    features = email_features(spark, sf_dir)
+def _matrices(spark, sf_dir, keep=False):
+    features = checkpointed(email_features(spark, sf_dir)) if keep else email_features(spark, sf_dir)
     return {"people": f.people_matrix(features), "behavior": f.behavior_matrix(m.action_label(messages(spark, sf_dir))), "service": f.service_matrix(features), "temporal": f.temporal_matrix(features)}
 
 
 def email_clusters(spark, sf_dir):
     """Five KMeans clusterings, merged by message."""
-    got = _matrices(spark, sf_dir)
+    got = _matrices(spark, sf_dir, keep=True)  # three matrices are made of the features, each scaled in two passes
     content = f.cluster_content(vectors(spark, sf_dir))
     return f.merge_clusters(f.cluster_dimension(got["people"], "people"), content, *[f.cluster_dimension(got[d], d) for d in ("behavior", "service", "temporal")])
 

@@ -45,6 +45,12 @@ def test_older_cleaners(spark):
     assert values(spark, t.legacy_strip_quotes, quoted) == ["hi\nfrom: kept", "", "-- x\nOn y wrote: z", "", "", ""]
 
 
+def test_references_need_their_semicolon(spark):
+    pages = ["and&amp Ly.&amp;&amp; x", "a&ampb &amp", "&copy;&quot;&#65;&#x42;&#67", "&notit; &nosuch; &amp;amp", "&copy;&amp;quot;"]
+    told = ["and&amp Ly.&& x", "a&ampb &amp", '©"AB&#67', "&notit; &nosuch; &amp", "©&quot;"]
+    assert values(spark, t.html_to_text, pages) == told and values(spark, t.legacy_strip_html, pages) == told
+
+
 def test_project_status_edges(spark):
     table = spark.createDataFrame([(14,), (15,), (30,), (31,), (None,)], "d int")
     assert [r.s for r in table.select(c.project_status(F.col("d")).alias("s")).collect()] == ["active", "stale", "stale", "completed", "stale"]

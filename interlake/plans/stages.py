@@ -70,7 +70,7 @@ def _scores(table: Tables, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: In order; each reads the tables of those before it.
 STAGES = [
-    Stage("mail", lambda table, spark, sf_dir: messages(spark, sf_dir, body=True, whole=True), {"sent": "count_if(is_sent)", "with_body": "count_if(body_text <> '')"}),
+    Stage("mail", lambda table, spark, sf_dir: messages(spark, sf_dir, whole=True, facts=True), {"sent": "count_if(is_sent)", "with_body": "count_if(body_length > 0)"}),
     Stage("threads", lambda table, spark, sf_dir: m.thread_stats(table("mail")), {"messages": "sum(email_count)"}),
     Stage("actions", lambda table, spark, sf_dir: m.action_label(table("mail")), {a.lower(): f"count_if(action = '{a}')" for a in ("REPLIED", "ARCHIVED", "IGNORED", "PENDING")}),
     Stage("relationships", lambda table, spark, sf_dir: m.relationship_features(table("mail")), {"close": "count_if(relationship_strength > 0.5)"}),

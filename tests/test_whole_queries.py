@@ -5,7 +5,10 @@ from __future__ import annotations
 import duckdb
 import pytest
 from interlake.plans import scoring, whole_queries
-from interlake.plans.mailbox import messages
+from interlake.functions import text as t
+from interlake.operators import features as f
+from interlake.operators import rules as r
+from interlake.plans.mailbox import messages, with_collapsed, with_previews
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +49,21 @@ def test_no_half_of_the_mailbox_is_left_out(spark):
     assert target.count() == batch.count() == n
     kept = whole_queries.QUERIES["delete_by_predicate_whole"](spark, SF)
     assert kept.filter("id % 2 = 1").count() > 0 and kept.count() + target.filter("from_email LIKE '%@svc.test'").count() == n
+
+
+def test_facts_of_bodies_equal_those_of_their_texts(spark, tmp_path):
+    """What a document tells once, put together with the phrase, is what the whole body tells; also across the seam of the two."""
+    texts = ["", None, " \n\n  led <b>x</b>\n \n y ", "of end of", "\n\n", "<!-- unsubscribe --> a&amp;b", "unsubscribe", "k.", "\u00a0 z\u00a0", "\nq", "end of day\u0130?", "  two  words "]
+    spark.read.parquet(f"{SF}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    path = str(tmp_path)
+    whole, facts = messages(spark, path, body=True, whole=True), messages(spark, path, whole=True, facts=True)
+    said = lambda rows: rows.select("id", "is_service", "service_confidence", *r.PATTERNS)
+    a, b = (said(r.with_patterns(r.with_service(x))) for x in (whole, facts))
+    assert a.exceptAll(b).count() == 0 and b.count() == whole.count()
+    a, b = f.email_features(whole), f.email_features(facts)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    ids = messages(spark, path).select("id")
+    a = whole.select("id", t.collapse_whitespace(F.col("body_text")).alias("body"), F.left("body_text", F.lit(20)).alias("body_preview"))
+    b = with_previews(spark, path, with_collapsed(spark, path, ids), 20).select("id", "body", "body_preview")
+    assert a.exceptAll(b).count() == 0 and b.count() == whole.count()

@@ -10,12 +10,15 @@ import email
 import email.errors
 import email.header
 import re
+from collections.abc import Iterator
 from email.message import Message
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 #: Field of a record and its header (fixed values).
 HEADERS = {
@@ -23,6 +26,7 @@ HEADERS = {
     "from": "From", "to": "To", "cc": "Cc", "bcc": "Bcc", "subject": "Subject", "labels": "X-Gmail-Labels",
 }
 RECORD = StructType([StructField(n, StringType()) for n in [*HEADERS, "body", "body_html"]] + [StructField("has_attachments", BooleanType())])
+CUT = len("\nFrom ")
 PUSH = "emailAddress string, historyId string"
 
 
@@ -82,6 +86,20 @@ def _message_bytes(chunk: pd.Series) -> pd.Series:
     return chunk.map(lambda c: re.sub(rb"(?m)^>(>*From )", rb"\1", c.partition(b"\n")[2]))
 
 
+def _behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each chunk how many bytes stand before it in its byte range; a range is read by one task, from its beginning."""
+    at, seen = None, 0
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("chunk")).to_pylist()
+        out = []
+        for place, size in zip(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True), sizes, strict=True):
+            if place != at:
+                at, seen = place, 0
+            out.append(seen)
+            seen += size + CUT
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "behind"])
+
+
 def mbox_text(raw: Column) -> Column:
     """A message as it stands in a mailbox file: lines that begin with 'From ', quoted or not, get a '>' more."""
     return F.regexp_replace(raw, r"(?m)^(>*From )", r">$1")
@@ -105,18 +123,19 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     """(raw, file, mbox_offset, raw_size_bytes, record) of every message of mailbox files.
 
     mbox_offset is the byte at which the message's 'From ' line begins; raw_size_bytes counts what follows that line. A running sum
-    inside each byte range and one over the ranges of a file give the offset, so a large file stays dealt out.
+    inside each byte range, taken where the range is read, and one over the ranges of a file give the offset, so a large file stays
+    dealt out and no message goes through a shuffle.
     """
-    cut = len("\nFrom ")
+    cut = CUT
     read = spark.read.option("lineSep", "\nFrom ").text(path)
     chunks = read.select(
-        F.col("value").cast("binary").alias("chunk"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")
+        F.col("value").cast("binary").alias("chunk"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
     size = F.octet_length("chunk").cast("long") + cut
-    inside = Window.partitionBy("file", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = chunks.groupBy("file", "block").agg(F.sum(size).alias("bytes")).select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("from"))
-    placed = chunks.withColumn("behind", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(blocks, ["file", "block"]).filter("octet_length(chunk) > 0")
+    behind = chunks.mapInArrow(_behind, StructType([*chunks.schema, StructField("behind", LongType())]))
+    placed = behind.join(F.broadcast(blocks), ["file", "block"]).filter("octet_length(chunk) > 0")  # a row a byte range
     at = F.greatest(F.lit(0), F.col("from") + F.col("behind") - cut + 1)
     rows = placed.select(_message_bytes("chunk").alias("raw"), "file", at.alias("mbox_offset"))
     return parse_messages(rows.withColumn("raw_size_bytes", F.octet_length("raw").cast("long")))

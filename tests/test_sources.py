@@ -101,3 +101,18 @@ def test_changes_on_empty_and_repeated_keys(spark):
     assert c.insert_if_absent(some, none, "k", "v").count() == 0
     assert c.upsert(some, none, "k").count() == 3 and c.upsert(none, some, "k").count() == 3
     assert c.delete_where(some, "v = 'a'").count() == 2
+
+
+def test_mbox_offsets_without_a_shuffle_of_messages(spark, tmp_path):
+    """Running sums go on over Arrow batches, and what is shuffled is a row a byte range."""
+    (tmp_path / "a.mbox").write_text("".join(f"From a@x\nMessage-ID: <{n}@x>\n\n{'x' * n}\n" for n in range(9)))
+    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = mf.read_mbox(spark, str(tmp_path))
+        text = (tmp_path / "a.mbox").read_text()
+        got = {r.i: r.mbox_offset for r in found.select(F.col("record.message_id").alias("i"), "mbox_offset").collect()}
+        assert got == {f"<{n}@x>": text.index(f"From a@x\nMessage-ID: <{n}@x>") for n in range(9)}
+        assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)

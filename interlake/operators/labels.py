@@ -11,17 +11,24 @@ TERM = r"\p{L}{3,}"
 LONGEST, CUT = 100, 50
 
 
+def terms(text: Column) -> Column:
+    """The terms of a text in lower case, as often as they stand in it."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+
+
 def term_weights(texts: DataFrame, *, keys: tuple[str, ...] = ("dimension", "cluster_id")) -> DataFrame:
     """(keys, term, n, weight) of texts (keys, text): how much more often a cluster has a term than the clusters have it on average.
 
     weight = n / terms of the cluster * ln(1 + mean terms of a cluster / times the term stands anywhere). Terms are counted within
-    tasks before they shuffle; a term or a cluster may be in any share of the texts. Rows of a null key are left out.
+    tasks before they shuffle; a term or a cluster may be in any share of the texts. Rows of a null key are left out. A column `times`
+    says how often a text counts (else once), and `terms` may stand for the text: its terms().
     """
     listed = list(keys)
     for k in listed:
         texts = texts.filter(F.col(k).isNotNull())
-    terms = texts.select(*listed, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
-    counts = terms.groupBy(*listed, "term").agg(F.count(F.lit(1)).alias("n"))
+    found = F.col("terms") if "terms" in texts.columns else terms(F.col("text"))
+    times = F.col("times") if "times" in texts.columns else F.lit(1).cast("long")
+    counts = texts.select(*listed, times.alias("times"), F.explode(found).alias("term")).groupBy(*listed, "term").agg(F.sum("times").alias("n"))
     sizes = counts.groupBy(*listed).agg(F.sum("n").alias("_size"))
     mean = sizes.agg(F.avg("_size").alias("_mean"))
     everywhere = counts.groupBy("term").agg(F.sum("n").alias("_all"))

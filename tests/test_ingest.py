@@ -188,3 +188,27 @@ def test_payloads_of_any_depth(spark):
         plain, rich, attached = api_messages._walk(raw)
         own = got[json.loads(raw)["id"]]
         assert (plain, rich, attached) == (own.body_plain, own.body_html, own.has_attachments)
+
+
+def test_terms_of_shared_texts_count_as_often_as_they_are_used(spark):
+    texts = [("content", 1, "alpha beta"), ("content", 1, "alpha beta"), ("content", 2, "alpha gamma")]
+    one = spark.createDataFrame(texts, "dimension string, cluster_id long, text string")
+    few = one.groupBy("dimension", "cluster_id", "text").agg(F.count(F.lit(1)).alias("times"))
+    few = few.select("dimension", "cluster_id", "times", lb.terms(F.col("text")).alias("terms"))
+    a, b = lb.term_weights(one), lb.term_weights(few)
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count() == 4
+
+
+def test_kept_figures_are_written_by_all_tasks(spark, tmp_path):
+    from interlake.plans import ingest_queries, mailbox
+
+    spark.range(400).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), "id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props")).withColumnRenamed("id", "user_id").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    made = []
+    real = ingest_queries.new_folder
+    ingest_queries.new_folder = lambda *a: made.append(real(*a)) or made[-1]
+    try:
+        got = ingest_queries._kept(spark, str(tmp_path)).thread_stats()
+    finally:
+        ingest_queries.new_folder = real
+    assert got.agg(F.sum("email_count")).first()[0] == mailbox.messages(spark, str(tmp_path)).count() == 400
+    assert len(spark.read.parquet(f"{made[0]}/in").inputFiles()) > 5

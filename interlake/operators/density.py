@@ -1,7 +1,7 @@
 """Clusters by density with noise, and the reduction of vectors before it.
 
-1. Vectors meet in windows of `window` rows along several random orders (bits of random half spaces, sorted). Each window gives its rows'
-   nearest neighbours; of all windows' a row's distance to its `min_samples`-th neighbour is its core distance.
+1. Vectors meet in windows of `window` rows along several random orders (bits of random half spaces, sorted). Each window gives as many of its
+   rows' nearest neighbours as their core distances can need; of all windows' a row's distance to its `min_samples`-th neighbour is its core distance.
 2. The weight of a pair is the largest of their distance and both core distances. Each window gives the minimum spanning tree of its
    rows; the spanning forest of all windows' trees together is that of all pairs that ever met. Ties go by the pair's ids.
 3. Boruvka's rounds on those edges contract every vertex with its lightest edge. The edges that one round contracts into a vertex
@@ -31,21 +31,31 @@ BITS = 48  # half spaces of an order
 LEAST = 1e-12  # smaller weights count as this, so that no level is infinite
 
 
-def reduced(vectors: DataFrame, dims: int = 50, column: str = "embedding") -> DataFrame:
+def reduced(vectors: DataFrame, dims: int = 50, column: str = "embedding", times: str | None = None) -> DataFrame:
     """The column by its first `dims` principal components (all of them if it has no more); null vectors stay null.
 
     One pass sums up the centred products of all rows tree-wise (dims x dims numbers), whose eigenvectors are taken on the driver.
+    times: a column that says for how many equal rows each one stands.
     """
     head = vectors.filter(F.col(column).isNotNull()).select(F.size(column).alias("n")).first()
     if head is None or head["n"] <= dims:
         return vectors
-    rows = vectors.filter(F.col(column).isNotNull()).select(array_to_vector(F.col(column).cast("array<double>")).alias("v"))
+    rows = vectors.filter(F.col(column).isNotNull())
+    rows = _weighted(rows, column, times) if times else rows.select(array_to_vector(F.col(column).cast("array<double>")).alias("v"))
     model = PCA(k=dims, inputCol="v", outputCol="r").fit(rows)
     there = vectors.filter(F.col(column).isNotNull()).withColumn("v", array_to_vector(F.col(column).cast("array<double>")))
     turned = model.transform(there).withColumn(column, vector_to_array("r")).drop("v", "r")
     return turned.unionByName(vectors.filter(F.col(column).isNull()).withColumn(column, F.lit(None).cast("array<double>")))
 
 
+def _weighted(rows: DataFrame, column: str, times: str) -> DataFrame:
+    """(v): rows of mean 0 with the principal components of rows that each count `times`: centred, times the root of that number, with both signs."""
+    x = F.col(column).cast("array<double>")
+    mean = rows.groupBy(F.lit(0).alias("all")).agg(vector_to_array(Summarizer.mean(array_to_vector(x), F.col(times).cast("double"))).alias("m")).first()["m"]
+    both = F.explode(F.array(F.sqrt(times), -F.sqrt(times))).alias("by")
+    return rows.select(F.zip_with(x, F.array(*map(F.lit, mean)), lambda a, b: a - b).alias("x"), both).select(array_to_vector(F.transform("x", lambda a: a * F.col("by"))).alias("v"))
+
+
 def explained_variance(vectors: DataFrame, dims: int = 50, column: str = "embedding") -> list[float]:
     """The share of the variance on each of the first principal components."""
     rows = vectors.filter(F.col(column).isNotNull()).select(array_to_vector(F.col(column).cast("array<double>")).alias("v"))
@@ -110,23 +120,36 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.square(x - y).sum(-1))
 
 
-def nearest(ids: np.ndarray, n: np.ndarray, core: np.ndarray, x: np.ndarray, k: int = 24) -> pa.RecordBatch:
-    """(id, other, distance, n of the other): the k nearest rows of each row of a window, or all."""
+def nearest(ids: np.ndarray, n: np.ndarray, core: np.ndarray, x: np.ndarray, k: int = 24, least: int = 24) -> pa.RecordBatch:
+    """(id, near): of each row's k nearest rows in a window (d, other, n of the other), from the nearest on as many as make `least` with the row's own copies.
+
+    What comes before a row in the order of all windows' together is no less than in its window's, so none of those that count is left out.
+    """
     k = min(k, len(ids) - 1)
-    if k <= 0:
-        return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64())], names=["id", "other", "d", "n"])
-    own, other, d = [], [], []
+    need = least - (n - 1)
+    todo = np.flatnonzero(need > 0) if k > 0 else []
+    sizes, own, other, d = [], [], [], []
     squares = np.square(x).sum(1)
-    for first in range(0, len(ids), 512):
-        rows = np.arange(first, min(first + 512, len(ids)))
+    for first in range(0, len(todo), 512):
+        rows = todo[first : first + 512]
         far = squares[None, :] - 2 * (x[rows] @ x.T)
         far[np.arange(len(rows)), rows] = np.inf
         near = np.argpartition(far, k - 1, axis=1)[:, :k]
-        own.append(np.repeat(ids[rows], k))
-        other.append(near.ravel())
-        d.append(_distances(x[rows][:, None, :], x[near]).ravel())
-    at = np.concatenate(other)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids[at]), pa.array(np.concatenate(d)), pa.array(n[at])], names=["id", "other", "d", "n"])
+        apart = _distances(x[rows][:, None, :], x[near])
+        order = np.lexsort((ids[near], apart))
+        near, apart = np.take_along_axis(near, order, 1), np.take_along_axis(apart, order, 1)
+        keep = np.cumsum(n[near], 1) - n[near] < need[rows][:, None]  # the first ones
+        own.append(ids[rows])
+        sizes.append(keep.sum(1))
+        other.append(near[keep])
+        d.append(apart[keep])
+    put = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    at, ends = put(other, np.int64), np.concatenate([[0], np.cumsum(put(sizes, np.int64))])
+    pairs = pa.StructArray.from_arrays([pa.array(put(d, np.float64)), pa.array(ids[at]), pa.array(n[at])], names=["d", "other", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(put(own, np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["id", "near"])
+
+
+NEAR = "array<struct<d:double,other:bigint,n:bigint>>"
 
 
 def spanning_tree(ids: np.ndarray, n: np.ndarray, core: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
@@ -152,12 +175,11 @@ def spanning_tree(ids: np.ndarray, n: np.ndarray, core: np.ndarray, x: np.ndarra
 
 def core_distances(found: DataFrame, points: DataFrame, min_samples: int, k: int) -> DataFrame:
     """(id, n, x, core): the distance at which a row's own copies and its neighbours, with theirs, are `min_samples` besides itself."""
-    near = found.groupBy("id", "other").agg(F.min("d").alias("d"), F.first("n").alias("n")).groupBy("id")
-    near = near.agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other", "n"))), 1, k).alias("near"))  # some windows times k at most
+    near = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))  # some windows times k at most
     both = points.join(near, "id", "left")
     start = F.struct((F.col("n") - 1).alias("have"), F.when(F.col("n") - 1 >= min_samples, 0.0).alias("core"))
     step = lambda acc, o: F.struct((acc["have"] + o["n"]).alias("have"), F.coalesce(acc["core"], F.when(acc["have"] + o["n"] >= min_samples, o["d"])).alias("core"))
-    reached = F.aggregate(F.coalesce("near", F.array().cast("array<struct<d:double,other:bigint,n:bigint>>")), start, step)["core"]
+    reached = F.aggregate(F.coalesce("near", F.array().cast(NEAR)), start, step)["core"]
     return both.select("id", "n", F.coalesce(reached, F.element_at("near", -1)["d"], F.lit(0.0)).alias("core"), "x")
 
 
@@ -168,11 +190,11 @@ def contracted(edges: DataFrame) -> tuple[list[DataFrame], int]:
     to the chain: two for a chain's lightest edge, else one.
     """
     e = F.struct("w", "lo", "hi").alias("e")
-    left = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"), e).union(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"), e))
-    left = stored(left)
+    left = stored(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"), e))  # one row a pair, seen from both sides below
     pending, chains, level, count = None, [], 0, 0
     while True:
-        light = stored(left.groupBy("u").agg(F.min(F.struct("e", "v")).alias("m")).select("u", "m.e", "m.v"))
+        sides = left.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("s"), "e").select("s.u", "s.v", "e")
+        light = stored(sides.groupBy("u").agg(F.min(F.struct("e", "v")).alias("m")).select("u", "m.e", "m.v"))
         over = light.isEmpty()
         if pending is not None:  # what lies in a vertex, and isn't heavier than its lightest way out, is in the vertex's chain
             met = pending.join(light.select(F.col("u").alias("own"), F.col("e").alias("out")), pending["v"] == F.col("own"), "left")
@@ -199,8 +221,8 @@ def contracted(edges: DataFrame) -> tuple[list[DataFrame], int]:
         pending = stored(pending)
         count += joined.count()
         a, b = up.select("u", F.col("p").alias("a")), up.select(F.col("u").alias("v"), F.col("p").alias("b"))
-        left = left.join(a, "u").join(b, "v").filter("a <> b").groupBy("a", "b").agg(F.min("e").alias("e"))
-        left = stored(left.select(F.col("a").alias("u"), F.col("b").alias("v"), "e"))
+        left = left.join(a, "u").join(b, "v").filter("a <> b")
+        left = stored(left.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("e").alias("e")))
         level += 1
 
 
@@ -315,7 +337,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def density_clusters(
-    vectors: DataFrame, *, id: str = "id", column: str = "embedding", min_cluster_size: int = 50, min_samples: int = 10, tables: int = 8, window: int = 2048, neighbours: int = 24, seed: int = 5
+    vectors: DataFrame, *, id: str = "id", column: str = "embedding", times: str | None = None, min_cluster_size: int = 50, min_samples: int = 10, tables: int = 8, window: int = 2048, neighbours: int = 24, seed: int = 5
 ) -> DataFrame:
     """(id, cluster, prob) of every row: cluster -1 and prob 0 for noise, else prob is the level at which the row leaves its cluster, over the cluster's highest.
 
@@ -323,21 +345,26 @@ def density_clusters(
     than most, are noise. Equal vectors count with their number and share a result. Up to `window` different vectors are all compared with
     one another, and the result is that of all pairs; beyond that, neighbours that never meet in a window of one of the `tables`
     orders are missed. Trees that no window links are apart as by an infinite distance. neighbours must be at least min_samples.
+    times: a column that says for how many equal rows, with no smaller id, each one stands.
     """
     if neighbours < min_samples:
         raise ValueError("neighbours must be at least min_samples")
     x = F.col(f"`{column}`").cast("array<double>")
     good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
-    rows = vectors.select(F.col(f"`{id}`").alias("row_id"), F.when(good, F.transform(x, lambda v: v + F.lit(0.0))).alias("x"))
-    length = rows.filter("x is not null").groupBy(F.size("x").alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
+    rows = vectors.select(F.col(f"`{id}`").alias("row_id"), F.when(good, F.transform(x, lambda v: v + F.lit(0.0))).alias("x"), (F.col(f"`{times}`").cast("long") if times else F.lit(1).cast("long")).alias("n"))
+    length = rows.filter("x is not null").groupBy(F.size("x").alias("s")).agg(F.sum("n").alias("count")).orderBy(F.desc("count"), F.desc("s")).first()
     empty = rows.select(F.col("row_id").alias("id"), F.lit(NOISE).alias("cluster"), F.lit(0.0).alias("prob"))
     if length is None:
         return empty
     rows = rows.withColumn("x", F.when(F.size("x") == length["s"], F.col("x")))
     unnamed = -1 - F.pmod(F.xxhash64("x"), F.lit(1 << 48))  # a vector of rows without an id
-    points = stored(rows.filter("x is not null").groupBy("x").agg(F.coalesce(F.min("row_id"), unnamed).alias("id"), F.count(F.lit(1)).alias("n")))
+    points = stored(rows.filter("x is not null").groupBy("x").agg(F.coalesce(F.min("row_id"), unnamed).alias("id"), F.sum("n").alias("n")))
     count = points.count()
-    near = _Windows(points.withColumn("core", F.lit(0.0)), count, tables, window, seed).map(lambda *w: nearest(*w, k=neighbours), "id long, other long, d double, n long")
+    schema = f"id long, near {NEAR}"
+    if points.filter(F.col("n") <= min_samples).isEmpty():  # copies alone make all core distances 0
+        near = points.sparkSession.createDataFrame([], schema)
+    else:
+        near = _Windows(points.withColumn("core", F.lit(0.0)), count, tables, window, seed).map(lambda *w: nearest(*w, k=neighbours, least=min_samples), schema)
     cored = stored(core_distances(near, points, min_samples, neighbours))
     edges = _Windows(cored, count, tables, window, seed).map(spanning_tree, "w double, lo long, hi long")
     chains, joined = contracted(edges.distinct())

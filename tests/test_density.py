@@ -152,3 +152,31 @@ def test_reduction_equals_numpy(spark):
     assert np.abs(np.linalg.norm(y[:150] - y[150:], axis=1) - np.linalg.norm(want[:150] - want[150:], axis=1)).max() < 1e-6
     assert np.abs(np.array(density.explained_variance(table, dims=7)) - values[::-1][:7] / values.sum()).max() < 1e-6
     assert density.reduced(table, dims=20) is table
+
+
+def test_rows_that_stand_for_many_equal_ones(spark):
+    """A vector with a count is that many rows of it, in the clusters and in the reduction; nearest rows are those that count."""
+    x = blobs(5, 300)
+    times = np.random.default_rng(5).integers(1, 9, len(x))
+    few = spark.createDataFrame([(i * 10, v, int(n)) for i, (v, n) in enumerate(zip(x.tolist(), times, strict=True))], "id long, embedding array<double>, times long").repartition(3)
+    many = spark.createDataFrame([(i * 10 + j, v) for i, (v, n) in enumerate(zip(x.tolist(), times, strict=True)) for j in range(n)], "id long, embedding array<double>")
+    a = {r["id"]: (r["cluster"], round(r["prob"], 9)) for r in density.density_clusters(few, times="times", min_cluster_size=20, min_samples=6).collect()}
+    b = {r["id"]: (r["cluster"], round(r["prob"], 9)) for r in density.density_clusters(many, min_cluster_size=20, min_samples=6).collect()}
+    assert {i: b[i] for i in a} == a and len({c for c, _ in a.values()}) > 3
+    a = {r["id"]: r["embedding"] for r in density.reduced(few, 3, times="times").collect()}
+    b = {r["id"]: r["embedding"] for r in density.reduced(many, 3).collect()}
+    far = lambda got: [math.dist(got[i], got[i + 10]) for i in range(0, 2990, 10)]  # noqa: E731  signs are free
+    assert np.abs(np.array(far(a)) - np.array(far(b))).max() < 1e-9
+
+
+def test_nearest_rows_of_windows_hold_the_core_distance():
+    """No more than what a core distance needs is sent: nothing for rows with enough copies."""
+    rng = np.random.default_rng(7)
+    x, n, ids = rng.standard_normal((700, 4)), rng.integers(1, 14, 700), np.arange(700) * 3
+    got = {r["id"]: r["near"] for r in density.nearest(ids, n, np.zeros(700), x, k=24, least=10).to_pylist()}
+    assert set(got) == set(ids[n <= 10].tolist())
+    for i in np.flatnonzero(n <= 10):
+        d = np.sqrt(np.square(x - x[i]).sum(1))
+        order = [j for j in np.argsort(d) if j != i]
+        last = int(np.flatnonzero(np.cumsum(n[order]) >= 10 - (n[i] - 1))[0])
+        assert [r["other"] for r in got[i * 3]] == ids[order[: last + 1]].tolist() and got[i * 3][-1]["d"] == d[order[last]]

@@ -18,7 +18,7 @@ from interlake.operators import features as f
 from interlake.operators import mail as m
 from interlake.operators import priority as p
 from interlake.operators import rules as r
-from interlake.plans.mailbox import messages, vectors
+from interlake.plans.mailbox import messages, shared_vectors
 from interlake.storage import exists, file_system, new_folder
 
 Tables = Callable[[str], DataFrame]
@@ -64,8 +64,15 @@ def _services(table: Tables, spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.with_service(table("mail").filter("NOT is_sent")).select("id", "is_service", "service_confidence", "service_type", "service_importance")
 
 
+def _embeddings(table: Tables, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, vec_id, cluster): which vector a message has. The vectors, which messages share, stay in the table that holds them."""
+    uses, held = shared_vectors(spark, sf_dir)
+    return uses.join(held.select("vec_id", "cluster"), "vec_id")
+
+
 def _scores(table: Tables, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.priority_scores(table("mail"), table("relationships").join(table("services"), "id"), table("actions"), table("embeddings"))
+    held = shared_vectors(spark, sf_dir)[1]
+    return p.priority_scores(table("mail"), table("relationships").join(table("services"), "id"), table("actions"), held, table("embeddings"))
 
 
 #: In order; each reads the tables of those before it.
@@ -77,7 +84,7 @@ STAGES = [
     Stage("services", _services, {"services": "count_if(is_service)"}),
     Stage("contacts", lambda table, spark, sf_dir: m.contact_profile(table("mail")), {"important": "count_if(is_important)"}),
     Stage("handleability", lambda table, spark, sf_dir: r.handleability(table("mail"), table("relationships")), {"needs_llm": "count_if(handleability = 'needs_llm')"}),
-    Stage("embeddings", lambda table, spark, sf_dir: vectors(spark, sf_dir), {"noise": "count_if(cluster = -1)"}, kind="embedding"),
+    Stage("embeddings", _embeddings, {"noise": "count_if(cluster = -1)"}, kind="embedding"),
     Stage("scores", _scores, {"high": "count_if(llm_reason = 'high_priority')"}),
     Stage("ranks", lambda table, spark, sf_dir: p.ranked(table("scores")).select("id", "priority_score", "priority_rank"), {"last": "max(priority_rank)"}),
     Stage("features", lambda table, spark, sf_dir: f.email_features(table("mail")), {"attached": "count_if(has_attachments)"}),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import duckdb
 import pytest
 from interlake.operators import mail as m
@@ -50,6 +52,21 @@ def test_worked_scores(spark):
     assert {r.id: r.priority_rank for r in p.ranked(tied, parts=4).collect()} == {4: 1, 2: 2, 1: 3, 3: 4, 5: 5}
 
 
+def test_shared_vectors_score_like_a_vector_a_message(spark):
+    """Messages that name a vector get what they got with a copy of it each: null and zero vectors, senders of few and none, noise, unknown names."""
+    mail = spark.createDataFrame([(i, None if i % 11 == 0 else f"s{i % 7 if i < 60 else i}@x", i % 5 == 0) for i in range(70)], "id long, from_email string, is_sent boolean")
+    got = mail.filter("NOT is_sent")
+    features = got.selectExpr("id", "id % 10 / 10.0D AS relationship_strength", "0.5D AS urgency_score", "id % 3 = 0 AS is_service", "0.4D AS service_importance")
+    actions = got.selectExpr("id", "element_at(array('REPLIED', 'IGNORED', 'PENDING'), int(id % 3) + 1) AS action")
+    held = [(v, None if v == 3 else [0.0] * 4 if v == 5 else [math.sin(v * 3.0 + j) for j in range(4)], v % 4 - 1) for v in range(12)]
+    held = spark.createDataFrame(held, "vec_id long, embedding array<double>, cluster int")
+    uses = mail.selectExpr("id", "id % 14 AS vec_id")
+    each = uses.join(held, "vec_id").drop("vec_id")
+    told = lambda df: {r.id: tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.collect()}
+    want, found = told(p.priority_scores(mail, features, actions, each)), told(p.priority_scores(mail, features, actions, held, uses))
+    assert found == want and len(found) == got.count() and len({r[4] for r in found.values()}) > 10
+
+
 def test_rules_with_nulls_and_empty_tables(spark):
     schema = "id long, from_email string, subject string, body_text string, is_sent boolean"
     strengths = spark.createDataFrame([(1, 0.9)], "id long, relationship_strength double")

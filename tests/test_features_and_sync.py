@@ -107,3 +107,14 @@ def test_phases_and_micro_batches(spark, tmp_path):
     query = sync.micro_batches(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), [lambda b, n: seen.append(b.count()), lambda b, n: seen.append(b.agg(F.max("id")).first()[0])], str(tmp_path / "at"))
     query.awaitTermination(60)
     assert sum(seen[::2]) == 400 and max(seen[1::2]) == 399
+
+
+def test_rows_that_stand_for_many_equal_ones_weigh_as_many(spark):
+    """A clustering of kinds with their numbers is that of all rows: a heavy kind pulls the centre, and with it what the others get."""
+    kinds = [(g * 10 + j, [g * 50.0 + j, g * 20.0 - j], 40 if j == 0 else 1) for g in range(3) for j in range(4)]
+    few = spark.createDataFrame(kinds, "id long, embedding array<double>, times int")
+    many = spark.createDataFrame([(i * 100 + n, v) for i, v, times in kinds for n in range(times)], "id long, embedding array<double>")
+    a = {r.id: (r.cluster, round(r.prob, 9)) for r in features.cluster_content(few, 3, times="times").collect()}
+    b = {r.id: (r.cluster, round(r.prob, 9)) for r in features.cluster_content(many, 3).collect()}
+    assert {i: b[i * 100][1] for i in a} == {i: p for i, (_, p) in a.items()}
+    assert len({(a[i][0], b[i * 100][0]) for i in a}) == 3 == len({c for c, _ in a.values()})

@@ -10,6 +10,7 @@ from interlake.operators import entities as e
 from interlake.operators import mail as m
 from interlake.plans import entity_queries, queries, scoring
 from interlake.plans.mailbox import MAIL_SQL, ME, messages, vectors
+from interlake.storage import stored
 from interlake.sources import api_messages
 from interlake.streaming import sync
 
@@ -33,9 +34,10 @@ def _tasks(spark, sf_dir, whole=False):
 
 
 def inbox_priority_page(spark, sf_dir, limit=100, offset=20, whole=False):
-    ranks = scoring.QUERIES["priority_rank"](spark, sf_dir, whole).filter("id % 10 <> 0")
+    scores = stored(scoring.QUERIES["priority_score"](spark, sf_dir, whole))  # ranked, and told with each message of the page
+    ranks = scoring.QUERIES["priority_rank"](spark, sf_dir, whole, scores).filter("id % 10 <> 0")
     projects, links = _projects(spark, sf_dir)
-    return inbox.priority_inbox(messages(spark, sf_dir), ranks, entity_queries.priority_contexts(spark, sf_dir, whole), _tasks(spark, sf_dir, whole), links, projects, limit, offset)
+    return inbox.priority_inbox(messages(spark, sf_dir), ranks, entity_queries.priority_contexts(spark, sf_dir, whole, scores), _tasks(spark, sf_dir, whole), links, projects, limit, offset)
 
 
 def _meta(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
-from interlake.plans import scoring, whole_queries
+from interlake.plans import list_queries, scoring, whole_queries
 from interlake.functions import text as t
 from interlake.operators import features as f
 from interlake.operators import rules as r
@@ -67,3 +67,11 @@ def test_facts_of_bodies_equal_those_of_their_texts(spark, tmp_path):
     a = whole.select("id", t.collapse_whitespace(F.col("body_text")).alias("body"), F.left("body_text", F.lit(20)).alias("body_preview"))
     b = with_previews(spark, path, with_collapsed(spark, path, ids), 20).select("id", "body", "body_preview")
     assert a.exceptAll(b).count() == 0 and b.count() == whole.count()
+
+
+def test_scores_of_a_page_are_made_once(spark, monkeypatch):
+    """The ranks and the contexts of the page by rank read the same scores."""
+    made = []
+    real = scoring.p.priority_scores
+    monkeypatch.setattr(scoring.p, "priority_scores", lambda *args: made.append(1) or real(*args))
+    assert list_queries.QUERIES["inbox_priority_page"](spark, SF, whole=True).count() == 100 and len(made) == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -86,3 +87,21 @@ def test_entry_without_subpackage_queries():
     import __spark_entry__ as entry
 
     assert set(q.QUERIES) <= set(entry.queries()) and set(q.ORACLES) <= set(entry.oracle_sql())
+
+
+def test_vectors_go_to_their_senders_once(spark, monkeypatch):
+    """The mean of a sender's vectors and their distances from it come from one exchange by sender."""
+    rows = [(i, i % 4, [float(i % 3), 1.0]) for i in range(24)]
+    mail = spark.createDataFrame([(i, False, f"s{s}@x") for i, s, _ in rows], "id long, is_sent boolean, from_email string")
+    features = spark.createDataFrame([(i, 0.5, 0.5, False, 0.0) for i, _, _ in rows], "id long, relationship_strength double, urgency_score double, is_service boolean, service_importance double")
+    actions = spark.createDataFrame([(i, "REPLIED") for i, _, _ in rows], "id long, action string")
+    vectors = spark.createDataFrame([(i, v, 0) for i, _, v in rows], "id long, embedding array<float>, cluster int")
+    plans, real = [], p.stored
+    monkeypatch.setattr(p, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert p.priority_scores(mail, features, actions, vectors).count() == 24
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert len(re.findall(r"Exchange hashpartitioning\(from_email#\d+, \d+\)", plans[-1])) == 1

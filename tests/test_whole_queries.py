@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
-from interlake.plans import list_queries, scoring, whole_queries
+from interlake.plans import feature_queries, list_queries, scoring, whole_queries
 from interlake.functions import text as t
 from interlake.operators import features as f
 from interlake.operators import rules as r
@@ -75,3 +75,14 @@ def test_scores_of_a_page_are_made_once(spark, monkeypatch):
     real = scoring.p.priority_scores
     monkeypatch.setattr(scoring.p, "priority_scores", lambda *args: made.append(1) or real(*args))
     assert list_queries.QUERIES["inbox_priority_page"](spark, SF, whole=True).count() == 100 and len(made) == 1
+
+
+def test_a_batch_is_drawn_before_its_context_and_texts_are_read_once(spark, monkeypatch):
+    """The context is joined to the 50 messages drawn, and what documents tell is found once for classes, scores and features."""
+    joined, read = [], []
+    context, found = feature_queries.mi.with_model_context, feature_queries.messages
+    monkeypatch.setattr(feature_queries.mi, "with_model_context", lambda wanted, *more: joined.append(wanted.count()) or context(wanted, *more))
+    for module in (feature_queries, scoring):
+        monkeypatch.setattr(module, "messages", lambda *args, facts=False, **more: read.append(facts) or found(*args, facts=facts, **more))
+    got = feature_queries.QUERIES["llm_batch"](spark, SF, whole=True).collect()
+    assert len(got) == 50 and joined == [50] and sum(read) == 1

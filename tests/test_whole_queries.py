@@ -8,7 +8,7 @@ from interlake.plans import feature_queries, list_queries, scoring, whole_querie
 from interlake.functions import text as t
 from interlake.operators import features as f
 from interlake.operators import rules as r
-from interlake.plans.mailbox import messages, with_collapsed, with_previews
+from interlake.plans.mailbox import BODY_SQL, WHOLE_BODY_SQL, messages, with_collapsed, with_previews
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +86,18 @@ def test_a_batch_is_drawn_before_its_context_and_texts_are_read_once(spark, monk
         monkeypatch.setattr(module, "messages", lambda *args, facts=False, **more: read.append(facts) or found(*args, facts=facts, **more))
     got = feature_queries.QUERIES["llm_batch"](spark, SF, whole=True).collect()
     assert len(got) == 50 and joined == [50] and sum(read) == 1
+
+
+def test_prompts_show_scores_of_whole_texts(spark, tmp_path):
+    """Services that only the end of a text gives away count in the scores and ranks that a prompt shows."""
+    spark.read.parquet(f"{SF}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    spark.read.parquet(f"{SF}/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(n, "word " * 300 + "unsubscribe" * (n % 2)) for n in range(7)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute("SET TimeZone = 'UTC'")
+    for table in ("events", "documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    sql = feature_queries.ORACLES["llm_prompt"]
+    whole = rows(db.sql(sql.replace(BODY_SQL, WHOLE_BODY_SQL)).fetchall())
+    assert whole and rows(feature_queries.QUERIES["llm_prompt"](spark, str(tmp_path)).select("id", "prompt_md5").collect()) == whole
+    assert BODY_SQL not in sql

@@ -15,10 +15,9 @@ from email.message import Message
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 #: Field of a record and its header (fixed values).
 HEADERS = {
@@ -27,13 +26,14 @@ HEADERS = {
 }
 RECORD = StructType([StructField(n, StringType()) for n in [*HEADERS, "body", "body_html"]] + [StructField("has_attachments", BooleanType())])
 CUT = len("\nFrom ")
+QUOTED = re.compile(rb"(?m)^>(>*From )")
 PUSH = "emailAddress string, historyId string"
 
 
 def _decoded(value: str | None) -> str | None:
     """An RFC 2047 header as text; unknown character sets are read as UTF-8."""
-    if value is None:
-        return None
+    if value is None or (isinstance(value, str) and "=?" not in value):
+        return value
     out = []
     for part, charset in email.header.decode_header(str(value)):
         try:
@@ -60,11 +60,13 @@ def _record(raw: str | bytes | None) -> tuple | None:
         return None
     try:
         message = email.message_from_bytes(raw.encode("utf-8", "replace") if isinstance(raw, str) else bytes(raw))
-        parts = [p for p in message.walk() if not p.is_multipart()]
-        shown = [p for p in parts if not _attached(p)]
-        plain, rich = ("\n".join(_text(p) for p in shown if p.get_content_type() == kind) for kind in ("text/plain", "text/html"))
-        named = any(_attached(p) or (p.get_content_maintype() != "text" and p.get_filename()) for p in parts)
-        return (*[_decoded(message.get(h)) for h in HEADERS.values()], plain or rich, rich or None, bool(message.is_multipart() and named))
+        parts = [(p, p.get_content_type(), _attached(p)) for p in message.walk() if not p.is_multipart()]
+        plain, rich = ("\n".join(_text(p) for p, own, attached in parts if own == kind and not attached) for kind in ("text/plain", "text/html"))
+        named = any(attached or (not own.startswith("text/") and p.get_filename()) for p, own, attached in parts)
+        first = {}
+        for name, value in message.items():
+            first.setdefault(name.lower(), value)
+        return (*[_decoded(first.get(h.lower())) for h in HEADERS.values()], plain or rich, rich or None, bool(message.is_multipart() and named))
     except (email.errors.MessageError, ValueError, AttributeError):
         return None
 
@@ -80,29 +82,31 @@ def parse_messages(raw: DataFrame, column: str = "raw") -> DataFrame:
     return raw.withColumn("record", _records(F.col(column)))
 
 
-@F.pandas_udf(BinaryType())
-def _message_bytes(chunk: pd.Series) -> pd.Series:
-    """A chunk without its separator's own line, and lines as they were before 'From ' was quoted in them."""
-    return chunk.map(lambda c: re.sub(rb"(?m)^>(>*From )", rb"\1", c.partition(b"\n")[2]))
-
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (chunk, file, block): a chunk without its separator's own line, its lines as they were before 'From ' was quoted in them.
 
-def _behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to each chunk how many bytes stand before it in its byte range; a range is read by one task, from its beginning."""
+    behind: how many bytes stand before the chunk in its byte range; a range is read by one task, from its beginning. Empty chunks go.
+    """
     at, seen = None, 0
     for batch in batches:
-        sizes = pc.binary_length(batch.column("chunk")).to_pylist()
-        out = []
-        for place, size in zip(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True), sizes, strict=True):
+        chunks, files, blocks = batch.columns
+        raws, kept, out = [], [], []
+        for i, (chunk, *place) in enumerate(zip(chunks.to_pylist(), files.to_pylist(), blocks.to_pylist(), strict=True)):
             if place != at:
                 at, seen = place, 0
-            out.append(seen)
-            seen += size + CUT
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "behind"])
+            if chunk:
+                raw = chunk.partition(b"\n")[2]
+                raws.append(QUOTED.sub(rb"\1", raw) if b">From " in raw else raw)
+                kept.append(i)
+                out.append(seen)
+            seen += len(chunk) + CUT
+        kept = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(raws, pa.binary()), files.take(kept), blocks.take(kept), pa.array(out, pa.int64())], names=["raw", "file", "block", "behind"])
 
 
 def mbox_text(raw: Column) -> Column:
     """A message as it stands in a mailbox file: lines that begin with 'From ', quoted or not, get a '>' more."""
-    return F.regexp_replace(raw, r"(?m)^(>*From )", r">$1")
+    return F.when(F.contains(raw, F.lit("From ")), F.regexp_replace(raw, r"(?m)^(>*From )", r">$1")).otherwise(raw)
 
 
 def write_mbox(rows: DataFrame, path: str, *, raw: str = "raw", sender: str = "sender", box: str = "box", order: str = "id", boxes: int = 32) -> None:
@@ -110,10 +114,19 @@ def write_mbox(rows: DataFrame, path: str, *, raw: str = "raw", sender: str = "s
 
     A message begins with a line 'From <sender>'. Values of box are dealt out to `boxes` tasks, so their number bounds what one task writes.
     """
-    made = rows.select(F.col(box).alias("box"), F.col(order).alias("_at"), F.concat(F.lit("From "), F.col(sender), F.lit("\n"), mbox_text(F.col(raw))).alias("value"))
+    made = rows.select(F.col(box).alias("box"), F.col(order).alias("_at"), _entry(raw, sender))
     made.repartition(boxes, "box").sortWithinPartitions("box", "_at").drop("_at").write.partitionBy("box").text(path)
 
 
+def write_box(rows: DataFrame, path: str, *, raw: str = "raw", sender: str = "sender") -> None:
+    """Write raw messages, which come in one partition and in order, as one mailbox file below path; nothing is shuffled or sorted."""
+    rows.select(_entry(raw, sender)).write.text(path)
+
+
+def _entry(raw: str, sender: str) -> Column:
+    return F.concat(F.lit("From "), F.col(sender), F.lit("\n"), mbox_text(F.col(raw))).alias("value")
+
+
 def observed_errors(messages: DataFrame, seen: Observation) -> DataFrame:
     """The same rows; what reads or writes them all also counts messages and errors (records of nulls) for `seen`, in the same pass."""
     return messages.observe(seen, F.count(F.lit(1)).alias("messages"), F.count_if(F.col("record.has_attachments").isNull()).alias("errors"))
@@ -134,11 +147,10 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     size = F.octet_length("chunk").cast("long") + cut
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = chunks.groupBy("file", "block").agg(F.sum(size).alias("bytes")).select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("from"))
-    behind = chunks.mapInArrow(_behind, StructType([*chunks.schema, StructField("behind", LongType())]))
-    placed = behind.join(F.broadcast(blocks), ["file", "block"]).filter("octet_length(chunk) > 0")  # a row a byte range
+    found = chunks.mapInArrow(_cut, "raw binary, file string, block long, behind long")
+    placed = found.join(F.broadcast(blocks), ["file", "block"])  # a row a byte range
     at = F.greatest(F.lit(0), F.col("from") + F.col("behind") - cut + 1)
-    rows = placed.select(_message_bytes("chunk").alias("raw"), "file", at.alias("mbox_offset"))
-    return parse_messages(rows.withColumn("raw_size_bytes", F.octet_length("raw").cast("long")))
+    return parse_messages(placed.select("raw", "file", at.alias("mbox_offset"), F.octet_length("raw").cast("long").alias("raw_size_bytes")))
 
 
 def label_counts(labels: DataFrame, column: str = "labels") -> DataFrame:

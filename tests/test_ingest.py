@@ -5,8 +5,11 @@ from __future__ import annotations
 import base64
 import json
 import random
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from interlake import storage
 from interlake.operators import labels as lb
 from interlake.operators import mail as m
 from interlake.plans import stages
@@ -212,3 +215,39 @@ def test_kept_figures_are_written_by_all_tasks(spark, tmp_path):
         ingest_queries.new_folder = real
     assert got.agg(F.sum("email_count")).first()[0] == mailbox.messages(spark, str(tmp_path)).count() == 400
     assert len(spark.read.parquet(f"{made[0]}/in").inputFiles()) > 5
+
+
+def test_only_some_boxes_of_a_mailbox_are_on_disk(spark, monkeypatch):
+    """Boxes are written, read and removed one after the other, and a text that they show is kept once a box, not once a message."""
+    from interlake.plans import ingest_queries
+
+    monkeypatch.setattr(ingest_queries, "AT_ONCE", 1, raising=False)
+    monkeypatch.setattr(ingest_queries, "GROUP", 1, raising=False)
+    folders, there, kept = [], [], []
+    folder, read, ordered = ingest_queries.new_folder, mf.read_mbox, getattr(ingest_queries, "in_order_with_texts", None)
+    boxes = lambda: list(Path(folders[0].removeprefix("file://")).rglob("box=*/*.txt"))
+    monkeypatch.setattr(ingest_queries, "new_folder", lambda *args: folders.append(folder(*args)) or folders[-1])
+    monkeypatch.setattr(mf, "read_mbox", lambda *args: there.append(len({f.parent for f in boxes()})) or read(*args))
+    monkeypatch.setattr(ingest_queries, "in_order_with_texts", lambda rows, texts, *more: kept.append(texts.count()) or ordered(rows, texts, *more), raising=False)
+    found = ingest_queries.src_mbox(spark, SF)
+    mail = messages(spark, SF)
+    assert found.count() == mail.count() and there == [1] * 32 and boxes() == []
+    shown = mail.filter("id % 3 <> 0 AND id % 50 <> 7")
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert sum(kept) == shown.selectExpr(f"id % {n}", "id % 32").distinct().count() < shown.count()
+
+
+def test_rows_in_order_take_texts_from_one_copy(spark):
+    texts = spark.createDataFrame([(1, "one"), (2, "zwei ü"), (2, "two"), (3, None), (4, ""), (None, "none"), (9, "unused")], "doc long, text string")
+    rows = spark.createDataFrame([(n, n % 7 if n % 7 < 6 else None, ["x"] * (n % 3)) for n in range(40)], "id long, doc long, labels array<string>").repartition(5)
+    got = list(map(tuple, storage.in_order_with_texts(rows, texts, "doc", "text", "id").collect()))
+    said = {1: ["one"], 2: ["zwei ü", "two"], 4: [""]}
+    assert [g[0] for g in got] == [n for n in range(40) for _ in said.get(n % 7, [None])]
+    assert sorted(map(str, got)) == sorted(str((n, n % 7 if n % 7 < 6 else None, ["x"] * (n % 3), text)) for n in range(40) for text in said.get(n % 7, [None]))
+
+
+def test_texts_are_handed_on_in_small_batches(monkeypatch):
+    monkeypatch.setattr(storage, "BATCH", 5000)
+    batch = pa.RecordBatch.from_pydict({"_key": pa.array([1] * 31, pa.int64()), "text": pa.array(["x" * 1000] + [None] * 30), "_row": pa.array([None] + [{"id": n} for n in range(30)])})
+    out = list(storage._looked_up(iter([batch])))
+    assert [b.num_rows for b in out] == [5] * 6 and [r["id"] for b in out for r in b.column("_row").to_pylist()] == list(range(30))
